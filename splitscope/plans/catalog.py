@@ -258,3 +258,146 @@ def platform_summary(spark, sf):
 @register("region_summary")
 def region_summary(spark, sf):
     return _r(breakdowns.region_summary(pipeline.template_users(spark, sf, TP), TP))
+
+
+# ---- H: significance tests -------------------------------------------------
+from splitscope.operators import decision, reports, significance  # noqa: E402
+
+
+def _tests(spark, sf):
+    return pipeline.notebook_tests(spark, sf)
+
+
+def _drop_stats_noise(df: DataFrame) -> DataFrame:
+    """Drop the raw t/z/dof columns (kept by the library, not part of the published tables)."""
+    return df.drop(*[c for c in df.columns if c.endswith(("t_stat", "z_stat", "dof"))])
+
+
+@register("metric_suffstats")
+def metric_suffstats(spark, sf):
+    return _r(significance.metric_suffstats(_users(spark, sf), NB))
+
+
+@register("sample_size_gate")
+def sample_size_gate(spark, sf):
+    return significance.sample_size_gate(_users(spark, sf), NB)
+
+
+for _lvl in ("global", "platform", "region"):
+    def _mk(lvl):
+        def welch_q(spark, sf):
+            return _r(_drop_stats_noise(significance.welch_ttest(_users(spark, sf), NB.primary_metric, NB, (lvl,))))
+
+        def prop_q(spark, sf):
+            return _r(_drop_stats_noise(significance.prop_ztest(_users(spark, sf), NB, (lvl,))))
+
+        def session_q(spark, sf):
+            return _r(_drop_stats_noise(
+                significance.welch_ttest(_users(spark, sf), NB.continuous_metric, NB, (lvl,))))
+
+        def mw_q(spark, sf):
+            return _r(significance.mannwhitney(_users(spark, sf), NB.median_metric, NB, (lvl,)))
+
+        REGISTRY[f"welch_ttest_{lvl}"] = welch_q
+        REGISTRY[f"prop_ztest_{lvl}"] = prop_q
+        REGISTRY[f"session_ttest_{lvl}"] = session_q
+        REGISTRY[f"mannwhitney_{lvl}"] = mw_q
+    _mk(_lvl)
+
+
+@register("full_analysis")
+def full_analysis(spark, sf):
+    return _r(reports.template_analysis(pipeline.template_tests(spark, sf, TP)))
+
+
+@register("format_results")
+def format_results(spark, sf):
+    return reports.format_results(_tests(spark, sf).where("segment_type = 'global'"))
+
+
+# ---- I: decisions ----------------------------------------------------------
+def _verdicts(spark, sf, level):
+    return decision.verdicts(_tests(spark, sf), level, NB)
+
+
+@register("verdict_global")
+def verdict_global(spark, sf):
+    return _r(_verdicts(spark, sf, "global"))
+
+
+@register("verdict_platform")
+def verdict_platform(spark, sf):
+    return _r(_verdicts(spark, sf, "platform"))
+
+
+@register("verdict_region")
+def verdict_region(spark, sf):
+    return _r(_verdicts(spark, sf, "region"))
+
+
+@register("verdict_reasons")
+def verdict_reasons(spark, sf):
+    t = _tests(spark, sf).where("segment_type = 'global'").where(F.col("cohort").isin(*NB.candidates))
+    return decision.verdict_reasons(t)
+
+
+@register("verdict_template")
+def verdict_template(spark, sf):
+    return _r(decision.template_verdict(reports.template_analysis(pipeline.template_tests(spark, sf, TP))))
+
+
+@register("results_summary")
+def results_summary(spark, sf):
+    tv = decision.template_verdict(reports.template_analysis(pipeline.template_tests(spark, sf, TP)))
+    return _r(reports.results_summary(tv))
+
+
+ALL_LEVELS = ("global", "platform", "region")
+
+
+def _winners(spark, sf):
+    return decision.segment_winners(decision.verdicts(_tests(spark, sf), ALL_LEVELS, NB), NB)
+
+
+@register("segment_winner")
+def segment_winner(spark, sf):
+    return _r(_winners(spark, sf))
+
+
+@register("recommendations")
+def recommendations(spark, sf):
+    v = decision.verdicts(_tests(spark, sf), ALL_LEVELS, NB)
+    recs = decision.recommendations(decision.segment_winners(v, NB))
+    call = decision.variant_callout(v.where(F.col("segment_type") == "global"), NB)
+    return recs.unionByName(call)
+
+
+@register("variant_callout")
+def variant_callout(spark, sf):
+    return decision.variant_callout(_verdicts(spark, sf, "global"), NB)
+
+
+# ---- J: exports --------------------------------------------------------------
+@register("export_arpu_global")
+def export_arpu_global(spark, sf):
+    return _r(reports.arpu_global_detailed(_tests(spark, sf)))
+
+
+@register("export_d1_global")
+def export_d1_global(spark, sf):
+    return _r(reports.d1_global_detailed(_tests(spark, sf)))
+
+
+@register("export_session_global")
+def export_session_global(spark, sf):
+    return _r(reports.session_global_detailed(_tests(spark, sf)))
+
+
+@register("export_platform_detailed")
+def export_platform_detailed(spark, sf):
+    return _r(reports.platform_detailed(_tests(spark, sf), NB))
+
+
+@register("export_region_detailed")
+def export_region_detailed(spark, sf):
+    return _r(reports.region_detailed(_tests(spark, sf), NB))

@@ -40,3 +40,26 @@ def template_users(spark: SparkSession, sf_dir: str, spec: ExperimentSpec = TEMP
                    materialized: bool = False) -> DataFrame:
     df = user_metrics.user_activity(template_clean(spark, sf_dir, spec), spec)
     return materialize(df) if materialized else df
+
+
+def notebook_tests(spark: SparkSession, sf_dir: str, spec: ExperimentSpec = NOTEBOOK_SPEC,
+                   levels=("global", "platform", "region"), users: DataFrame | None = None,
+                   materialized: bool = False) -> DataFrame:
+    """All four tests for every (segment, tested cohort): two aggregates over the user table."""
+    from splitscope.operators import significance
+
+    u = users if users is not None else user_metrics_table(spark, sf_dir, spec)
+    df = significance.all_tests(u, spec, levels)
+    return materialize(df) if materialized else df
+
+
+def template_tests(spark: SparkSession, sf_dir: str, spec: ExperimentSpec = TEMPLATE_SPEC,
+                   users: DataFrame | None = None) -> DataFrame:
+    """The template runner: candidates only, regions without 'Other', platforms from the data."""
+    from pyspark.sql import functions as F
+
+    from splitscope.operators import significance
+
+    u = users if users is not None else template_users(spark, sf_dir, spec)
+    df = significance.all_tests(u, spec, cohorts=spec.candidates)
+    return df.where(~((F.col("segment_type") == "region") & (F.col("segment") == "Other")))
