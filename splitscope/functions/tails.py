@@ -1,12 +1,15 @@
 """Two-sided p-values of the normal and Student t distributions.
 
-Spark SQL has no erf or incomplete beta, so the tails are Arrow-batched
-pandas UDFs. They run on the per-(segment, cohort) result frame only (tens to
-thousands of rows), never on user or session rows.
-
 Student t: P(|T| > t) = I_x(df/2, 1/2) with x = df / (df + t^2), the
-regularised incomplete beta function evaluated by its continued fraction
-(DLMF 8.17.22) with the modified Lentz method.
+regularised incomplete beta function. Normal: P(|Z| > z) = erfc(|z| / sqrt 2).
+
+Spark SQL has no erf or incomplete beta. The JVM path calls the special
+functions of Apache Commons Math (a dependency of Spark's ML module, present
+in Spark distributions) through the built-in `java_method`, so no Python
+worker is involved. Where that class is missing (e.g. a trimmed classpath)
+the same functions run as Arrow-batched pandas UDFs, evaluated by the
+continued fraction of DLMF 8.17.22 (modified Lentz method). Either path runs
+on the per-(segment, cohort) result frame only, never on user rows.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,13 +91,47 @@ def _z_p(z: pd.Series) -> pd.Series:
     return pd.Series([normal_two_sided(a) for a in z.astype("float64")])
 
 
+_BETA = "org.apache.commons.math3.special.Beta"
+_ERF = "org.apache.commons.math3.special.Erf"
+_JVM_TAILS: dict[int, bool] = {}
+
+
+def jvm_tails_available(spark: SparkSession | None = None) -> bool:
+    """Whether the JVM special functions can be called (checked once per session)."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return False
+    key = id(spark)
+    if key not in _JVM_TAILS:
+        try:
+            spark.range(1).select(F.java_method(F.lit(_ERF), F.lit("erfc"), F.lit(1.0))).collect()
+            _JVM_TAILS[key] = True
+        except Exception:  # noqa: BLE001 - class not on the classpath
+            _JVM_TAILS[key] = False
+    return _JVM_TAILS[key]
+
+
+def _jvm_double(cls: str, method: str, *args: Column) -> Column:
+    return F.java_method(F.lit(cls), F.lit(method), *args).cast("double")
+
+
 def t_pvalue(t: Column, df: Column) -> Column:
     """Two-sided Student t p-value; NULL when t or df is NULL/undefined."""
+    ok = t.isNotNull() & df.isNotNull() & (df > 0)
+    if jvm_tails_available():
+        x = df / (df + t * t)
+        p = F.when(F.isnan(t) | F.isnan(df), F.lit(None).cast("double")).otherwise(
+            _jvm_double(_BETA, "regularizedBeta", x, df / 2, F.lit(0.5))
+        )
+        return F.when(ok, F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
     p = _t_p(F.coalesce(t, F.lit(float("nan"))), F.coalesce(df, F.lit(float("nan"))))
-    return F.when(t.isNotNull() & df.isNotNull(), F.nanvl(p, F.lit(None).cast("double")))
+    return F.when(ok, F.nanvl(p, F.lit(None).cast("double")))
 
 
 def z_pvalue(z: Column) -> Column:
     """Two-sided standard normal p-value; NULL when z is NULL."""
+    if jvm_tails_available():
+        p = _jvm_double(_ERF, "erfc", F.abs(z) / F.lit(math.sqrt(2.0)))
+        return F.when(z.isNotNull() & ~F.isnan(z), F.least(F.lit(1.0), p))
     p = _z_p(F.coalesce(z, F.lit(float("nan"))))
     return F.when(z.isNotNull(), F.nanvl(p, F.lit(None).cast("double")))

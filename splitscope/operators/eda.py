@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from splitscope.operators.quantiles import join_on, quantiles
+from splitscope.operators.quantiles import join_on, quantiles  # noqa: F401
 from splitscope.spec import ExperimentSpec, NOTEBOOK_SPEC
 
 
@@ -19,13 +19,20 @@ def session_length_distribution(sessions: DataFrame, spec: ExperimentSpec = NOTE
                                 mode: str = "exact") -> DataFrame:
     """Count, mean, stddev, p10/p50/p90 and the 5 % trimmed mean (bounds inclusive) per cohort.
 
-    The limits frame has one row per cohort; joining it back to the sessions is
-    a broadcast at any data size (AQE sees its real size).
+    All five quantiles come from one quantile pass; its result has one row per
+    cohort, so joining the limits back to the sessions is a broadcast at any
+    data size (AQE sees its real size).
     """
     cohort, length = spec.cohort_col, F.col(spec.length_col)
-    limits = percentile_limits(sessions, spec, mode)
-    joined = sessions.join(limits, spec.cohort_col, "inner")
-    moments = joined.groupBy(cohort).agg(
+    qs = quantiles(
+        sessions, [cohort], spec.length_col,
+        {"p05_limit": 0.05, "p95_limit": 0.95, "median_session_length": 0.5,
+         "p10_session_length": 0.10, "p90_session_length": 0.90},
+        mode,
+    )
+    moments = sessions.join(qs, spec.cohort_col, "inner").groupBy(
+        cohort, "median_session_length", "p10_session_length", "p90_session_length"
+    ).agg(
         F.count(length).alias("total_sessions"),
         F.round(F.avg(length), 2).alias("avg_session_length_sec"),
         F.round(F.stddev_samp(length), 2).alias("stddev_session_length"),
@@ -33,14 +40,7 @@ def session_length_distribution(sessions: DataFrame, spec: ExperimentSpec = NOTE
             F.avg(F.when((length >= F.col("p05_limit")) & (length <= F.col("p95_limit")), length)), 2
         ).alias("trimmed_mean_5pct"),
     )
-    qs = quantiles(
-        sessions,
-        [cohort],
-        spec.length_col,
-        {"median_session_length": 0.5, "p10_session_length": 0.10, "p90_session_length": 0.90},
-        mode,
-    )
-    return join_on(moments, qs, [cohort]).select(
+    return moments.select(
         cohort, "total_sessions", "avg_session_length_sec", "stddev_session_length", "median_session_length",
         "p10_session_length", "p90_session_length", "trimmed_mean_5pct",
     ).orderBy(F.desc("avg_session_length_sec"))

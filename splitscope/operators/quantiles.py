@@ -52,7 +52,8 @@ def running_counts(
     count_cols: Sequence[str],
     buckets: int | None = None,
 ) -> DataFrame:
-    """Add `before_<c>`: the sum of count column c over strictly smaller values of the group.
+    """Add `before_<c>` (sum of count column c over strictly smaller values of the group)
+    and `total_<c>` (its sum over the whole group).
 
     `hist` must hold one row per (group, value).
     """
@@ -65,12 +66,15 @@ def running_counts(
     )
     h = join_on(hist, bounds, group_cols)
     h = h.withColumn("_bucket", F.size(F.filter("_bounds", lambda x: x < v.cast("double")))).drop("_bounds")
+    # groups x buckets rows: offsets of each bucket and the group totals
     totals = h.groupBy(*group_cols, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in count_cols])
-    w_bucket = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    w_group = Window.partitionBy(*group_cols)
+    w_before = w_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *group_cols,
         "_bucket",
-        *[F.coalesce(F.sum(f"_t_{c}").over(w_bucket), F.lit(0)).cast("bigint").alias(f"_o_{c}") for c in count_cols],
+        *[F.coalesce(F.sum(f"_t_{c}").over(w_before), F.lit(0)).cast("bigint").alias(f"_o_{c}") for c in count_cols],
+        *[F.sum(f"_t_{c}").over(w_group).cast("bigint").alias(f"total_{c}") for c in count_cols],
     )
     h = join_on(h, offsets, group_cols + ["_bucket"])
     w_in = Window.partitionBy(*group_cols, "_bucket").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
@@ -111,9 +115,7 @@ def exact_quantiles(
     v = F.col(value_col)
     hist = df.where(v.isNotNull()).groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_f"))
     h = running_counts(hist, group_cols, value_col, ["_f"], buckets)
-    n = hist.groupBy(*group_cols).agg(F.sum("_f").alias("_n"))
-    h = join_on(h, n, group_cols)
-    before, f, nn = F.col("before__f"), F.col("_f"), F.col("_n")
+    before, f, nn = F.col("before__f"), F.col("_f"), F.col("total__f")
     aggs = []
     for name, q in qs.items():
         if kind == "disc":

@@ -209,13 +209,11 @@ def rank_statistics(users: DataFrame, metric: str, spec: ExperimentSpec = NOTEBO
         u, spec, levels, ["_v"], [F.count_if(F.col(spec.cohort_col) == c).alias(f) for c, f in zip(cohorts, fcols)]
     )
     h = running_counts(hist, SEG, "_v", fcols, buckets)
-    ns = hist.groupBy(*SEG).agg(*[F.sum(f).alias(f"_n{i}") for i, f in enumerate(fcols)])
-    h = join_on(h, ns, SEG)
     v = F.col("_v")
     f0, c0 = F.col("_f0").cast("double"), F.col("before__f0").cast("double")
     aggs = []
     for i, f in enumerate(fcols):
-        n, fi, before = F.col(f"_n{i}"), F.col(f), F.col(f"before_{f}")
+        n, fi, before = F.col(f"total_{f}"), F.col(f), F.col(f"before_{f}")
         pos = (n - 1).cast("double") * F.lit(0.5)
         aggs += [
             F.max(n).alias(f"n{i}"),

@@ -231,7 +231,8 @@ def d1_retention_join(spark, sf):
 
 @register("user_activity")
 def user_activity(spark, sf):
-    return _r(pipeline.template_users(spark, sf, TP), 4, ("total_revenue",))
+    users = _r(pipeline.template_users(spark, sf, TP), 4, ("total_revenue",))
+    return _r(users, 6, ("avg_session_length", "median_session_length"))
 
 
 # ---- G: breakdowns ---------------------------------------------------------

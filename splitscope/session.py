@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
+    log_dir = os.environ.get("SPLITSCOPE_EVENT_LOG_DIR")
+    if log_dir:  # stage/task timings for profiling, written to a scratch folder
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", f"file://{log_dir}")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -51,11 +55,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint into the shared checkpoint folder.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage by writing a parquet table into the shared checkpoint folder.
 
-    The data is written to the cluster's shared storage, so a lost executor
-    re-reads it instead of recomputing the whole upstream plan.
+    The data lands on the cluster's shared storage, so a lost executor re-reads
+    it instead of recomputing the upstream plan. Unlike an RDD checkpoint
+    (which runs the plan once to count and again to write), the plan runs
+    once, the table is columnar, and its real size feeds AQE's join choices.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/splitscope-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
