@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitscope.operators.quantiles import join_on, quantiles  # noqa: F401
@@ -78,11 +78,11 @@ def revenue_distribution(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SP
 def revenue_vs_control(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC, mode: str = "exact") -> DataFrame:
     """Revenue distribution plus each cohort's difference from control's rounded total.
 
-    The control total is picked by a window over the aggregated result (one row
-    per cohort), so there is no second scan and no cross join; no control -> NULL.
+    The control total is an uncorrelated scalar subquery over the aggregated
+    result (at most one row per cohort); no control row gives NULL.
     """
     dist = revenue_distribution(sessions, spec, mode)
-    ctrl = F.max(F.when(F.col(spec.cohort_col) == spec.control, F.col("total_revenue"))).over(Window.partitionBy())
+    ctrl = dist.where(F.col(spec.cohort_col) == spec.control).select("total_revenue").scalar()
     return dist.withColumn("increase_in_total_revenue", F.round(F.col("total_revenue") - ctrl, 6)).orderBy(
         F.desc("total_revenue")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitscope.functions.columns import pct_of
@@ -57,11 +57,11 @@ def invalid_rows(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC) -> D
 def cohort_balance(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC) -> DataFrame:
     """Users per cohort and their share of the sum over cohorts.
 
-    The window has no partition key, but it runs on the aggregated result
-    (one row per cohort value), never on session rows.
+    The denominator is an uncorrelated scalar subquery over the aggregated
+    result (one row per cohort value), never a window over session rows.
     """
     per = sessions.groupBy(spec.cohort_col).agg(F.count_distinct(spec.user_col).alias("users"))
-    total = F.sum("users").over(Window.partitionBy())
+    total = per.select(F.sum("users")).scalar()
     return per.withColumn("pct", F.round(pct_of(F.col("users"), total), 2))
 
 
