@@ -402,3 +402,29 @@ def export_platform_detailed(spark, sf):
 @register("export_region_detailed")
 def export_region_detailed(spark, sf):
     return _r(reports.region_detailed(_tests(spark, sf), NB))
+
+
+# ---- a second session source: the events table ------------------------------
+def _event_sessions(spark, sf):
+    return testdata.ingest(testdata.sessions_from_events(spark, sf))
+
+
+@register("events_profile_date_range")
+def events_profile_date_range(spark, sf):
+    return profiling.date_range(_event_sessions(spark, sf), NB)
+
+
+@register("events_profile_cohort")
+def events_profile_cohort(spark, sf):
+    return profiling.sessions_and_users_by(_event_sessions(spark, sf), "ab_cohort_name", NB)
+
+
+@register("events_d1_retention")
+def events_d1_retention(spark, sf):
+    return user_metrics.d1_retention(cleaning.sessions_clean(_event_sessions(spark, sf), NB), NB)
+
+
+@register("events_platform_breakdown")
+def events_platform_breakdown(spark, sf):
+    users = user_metrics.user_metrics_full(cleaning.sessions_clean(_event_sessions(spark, sf), NB), NB)
+    return breakdowns.platform_breakdown(users, NB)

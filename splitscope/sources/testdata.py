@@ -132,3 +132,33 @@ def template_sessions(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR) -> Data
         F.col("session_number_").alias("session_number"),
         F.col("open_at").alias("created_at"),
     )
+
+
+def sessions_from_events(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR) -> DataFrame:
+    """A second, duplicate-free session source: one `events` row is one session.
+
+    Cohort, platform and country are residues of the user id (as above), the
+    length is the event value, revenue is the value of purchase events.
+    """
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    uid = F.col("user_id")
+    platform = F.when(F.expr("(user_id div 6) % 2") == 0, F.lit("android")).otherwise(F.lit("ios"))
+    etype = F.col("event_type")
+    return ev.select(
+        F.col("event_id").cast("string").alias("session_id"),
+        uid.cast("bigint").alias("user_id"),
+        platform.alias("platform"),
+        _pick(uid % 13, COUNTRY_BY_RESIDUE).alias("country"),
+        F.col("ts").cast("timestamp_ntz").alias("open_at"),
+        F.to_date("ts").cast("timestamp_ntz").alias("acquired_at"),
+        F.lit("ad_frequency").alias("ab_name"),
+        _pick(uid % 6, COHORT_BY_RESIDUE).alias("ab_cohort_name"),
+        F.concat(platform, F.lit("_new_users")).alias("segment_name"),
+        F.lit(1).cast("int").alias("session_number_"),
+        F.col("value").cast("double").alias("session_length"),
+        F.when(etype == "purchase", F.col("value")).otherwise(F.lit(0.0)).alias("publisher_revenue"),
+        (etype == "view").cast("bigint").alias("fs_shown"),
+        (etype == "click").cast("bigint").alias("rv_shown"),
+        F.lit(1).cast("bigint").alias("game_count"),
+        F.lit(0).cast("bigint").alias("offline_game_count"),
+    )
