@@ -21,6 +21,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from splitscope.session import materialize
+
 APPROX_ACCURACY = 10000
 
 
@@ -114,7 +116,9 @@ def exact_quantiles(
     group_cols = list(group_cols)
     v = F.col(value_col)
     hist = df.where(v.isNotNull()).groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_f"))
-    h = running_counts(hist, group_cols, value_col, ["_f"], buckets)
+    # the histogram feeds three branches (bounds, bucket totals, prefix sums):
+    # written once, it is aggregated once
+    h = running_counts(materialize(hist, "value_histogram"), group_cols, value_col, ["_f"], buckets)
     before, f, nn = F.col("before__f"), F.col("_f"), F.col("total__f")
     aggs = []
     for name, q in qs.items():

@@ -19,12 +19,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitscope.functions.columns import delta_pct, nan_to_null
 from splitscope.functions.tails import t_pvalue, z_pvalue
 from splitscope.operators.quantiles import join_on, running_counts
+from splitscope.session import materialize
 from splitscope.spec import ExperimentSpec, NOTEBOOK_SPEC, Thresholds
 
 LEVELS = ("global", "platform", "region")
@@ -91,13 +92,19 @@ def metric_suffstats(users: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC, lev
 def pair_with_control(stats: DataFrame, spec: ExperimentSpec, cohorts: Sequence[str]) -> DataFrame:
     """Each tested cohort's row next to its segment's control row (`ctl_` columns).
 
-    A left join: a segment without control users keeps its cohort rows (gated).
+    The control values are picked by a window over each segment's rows (one row
+    per cohort, so a window partition holds at most len(cohorts) + 1 rows). The
+    stats aggregate is computed once; a self-join would push a different cohort
+    filter into each side and aggregate twice. A segment without control users
+    keeps its cohort rows, with NULL control columns (gated).
     """
     value_cols = [c for c in stats.columns if c not in SEG + ["cohort"]]
-    ctl = stats.where(F.col("cohort") == spec.control).select(
-        *SEG, *[F.col(c).alias(f"ctl_{c}") for c in value_cols]
+    w = Window.partitionBy(*SEG)
+    is_ctl = F.col("cohort") == spec.control
+    paired = stats.select(
+        *stats.columns, *[F.max(F.when(is_ctl, F.col(c))).over(w).alias(f"ctl_{c}") for c in value_cols]
     )
-    return join_on(stats.where(F.col("cohort").isin(*cohorts)), ctl, SEG, "left")
+    return paired.where(F.col("cohort").isin(*cohorts))
 
 
 def _gate(n1: Column, n0: Column, spec: ExperimentSpec) -> Column:
@@ -208,7 +215,7 @@ def rank_statistics(users: DataFrame, metric: str, spec: ExperimentSpec = NOTEBO
     hist = segmented_agg(
         u, spec, levels, ["_v"], [F.count_if(F.col(spec.cohort_col) == c).alias(f) for c, f in zip(cohorts, fcols)]
     )
-    h = running_counts(hist, SEG, "_v", fcols, buckets)
+    h = running_counts(materialize(hist, "rank_histogram"), SEG, "_v", fcols, buckets)
     v = F.col("_v")
     f0, c0 = F.col("_f0").cast("double"), F.col("before__f0").cast("double")
     aggs = []
