@@ -12,6 +12,10 @@ a per-group value map (held by one task) or a window over the whole group, we
    and add the bucket offset.
 
 Each window partition then holds about distinct_values / buckets rows.
+The histogram is written once (it feeds several branches) and counted: when
+the whole histogram has at most SINGLE_WINDOW_MAX_ROWS rows, no group can
+exceed that either, and one window per group replaces steps 2-4 (a size-checked
+plan choice, like a guarded broadcast).
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from splitscope.session import materialize
 
 APPROX_ACCURACY = 10000
+SINGLE_WINDOW_MAX_ROWS = 2_000_000
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -60,7 +65,17 @@ def running_counts(
     `hist` must hold one row per (group, value).
     """
     group_cols = list(group_cols)
-    b = buckets or default_buckets(hist)
+    if buckets is None:
+        buckets = 1 if hist.count() <= SINGLE_WINDOW_MAX_ROWS else default_buckets(hist)
+    if buckets <= 1:
+        w_group = Window.partitionBy(*group_cols)
+        w_before = w_group.orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+        return hist.select(
+            *hist.columns,
+            *[F.coalesce(F.sum(c).over(w_before), F.lit(0)).cast("bigint").alias(f"before_{c}") for c in count_cols],
+            *[F.sum(c).over(w_group).cast("bigint").alias(f"total_{c}") for c in count_cols],
+        )
+    b = buckets
     fracs = [i / b for i in range(1, b)]
     v = F.col(value_col)
     bounds = hist.groupBy(*group_cols).agg(

@@ -14,6 +14,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # coalesce shuffle partitions to the advisory size, not to one per core
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
 }
 
 
@@ -26,7 +28,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SPLITSCOPE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # no per-call Python call-site capture (three JVM round trips per column function)
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
+    advisory = os.environ.get("SPLITSCOPE_ADVISORY_PARTITION_SIZE")
+    if advisory:
+        builder = builder.config("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
     log_dir = os.environ.get("SPLITSCOPE_EVENT_LOG_DIR")
