@@ -31,9 +31,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         # no per-call Python call-site capture (three JVM round trips per column function)
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
-    advisory = os.environ.get("SPLITSCOPE_ADVISORY_PARTITION_SIZE")
-    if advisory:
-        builder = builder.config("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+    # Local mode has 8 cores and small inputs: 8 MB advisory partitions keep
+    # CPU-bound stages (join + projection + parquet encoding) spread over the
+    # cores while tiny stages still coalesce to one task. A cluster session
+    # keeps its own (larger) advisory size.
+    advisory = os.environ.get("SPLITSCOPE_ADVISORY_PARTITION_SIZE", "8m")
+    builder = builder.config("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
     log_dir = os.environ.get("SPLITSCOPE_EVENT_LOG_DIR")
