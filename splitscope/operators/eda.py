@@ -58,15 +58,18 @@ def trimmed_mean(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC, mode
     )
 
 
-def revenue_distribution(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC, mode: str = "exact") -> DataFrame:
+def _revenue_base(sessions: DataFrame, spec: ExperimentSpec) -> DataFrame:
     rev = F.col(spec.revenue_col)
-    base = sessions.groupBy(spec.cohort_col).agg(
+    return sessions.groupBy(spec.cohort_col).agg(
         F.count_distinct(spec.user_col).alias("users"),
         F.round(F.sum(rev), 4).alias("total_revenue"),
         F.round(F.avg(rev), 6).alias("avg_revenue_per_session"),
         F.round(F.stddev_samp(rev), 2).alias("stddev_revenue_per_session"),
         F.round(F.try_divide(F.sum(rev), F.count_distinct(spec.user_col).cast("double")), 6).alias("revenue_per_user"),
     )
+
+
+def _with_median(base: DataFrame, sessions: DataFrame, spec: ExperimentSpec, mode: str) -> DataFrame:
     med = quantiles(sessions, [spec.cohort_col], spec.revenue_col, {"_median": 0.5}, mode)
     return join_on(base, med, [spec.cohort_col]).select(
         spec.cohort_col, "users", "total_revenue", "avg_revenue_per_session",
@@ -75,14 +78,19 @@ def revenue_distribution(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SP
     )
 
 
+def revenue_distribution(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC, mode: str = "exact") -> DataFrame:
+    return _with_median(_revenue_base(sessions, spec), sessions, spec, mode)
+
+
 def revenue_vs_control(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC, mode: str = "exact") -> DataFrame:
     """Revenue distribution plus each cohort's difference from control's rounded total.
 
-    The control total is an uncorrelated scalar subquery over the aggregated
-    result (at most one row per cohort); no control row gives NULL.
+    The control total is an uncorrelated scalar subquery over the per-cohort
+    aggregate (at most one row per cohort); no control row gives NULL.
     """
-    dist = revenue_distribution(sessions, spec, mode)
-    ctrl = dist.where(F.col(spec.cohort_col) == spec.control).select("total_revenue").scalar()
+    base = _revenue_base(sessions, spec)
+    ctrl = base.where(F.col(spec.cohort_col) == spec.control).select("total_revenue").scalar()
+    dist = _with_median(base, sessions, spec, mode)
     return dist.withColumn("increase_in_total_revenue", F.round(F.col("total_revenue") - ctrl, 6)).orderBy(
         F.desc("total_revenue")
     )

@@ -428,3 +428,14 @@ def events_d1_retention(spark, sf):
 def events_platform_breakdown(spark, sf):
     users = user_metrics.user_metrics_full(cleaning.sessions_clean(_event_sessions(spark, sf), NB), NB)
     return breakdowns.platform_breakdown(users, NB)
+
+
+# ---- sketch-quantile modes (rows-only checks; rank error is tested in pytest) ----
+@register("cohort_percentile_limits_approx")
+def cohort_percentile_limits_approx(spark, sf):
+    return eda.percentile_limits(_clean(spark, sf), NB, "approx")
+
+
+@register("session_length_distribution_approx")
+def session_length_distribution_approx(spark, sf):
+    return eda.session_length_distribution(_clean(spark, sf), NB, "approx")
