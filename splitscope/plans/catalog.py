@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from splitscope.operators import breakdowns, cleaning, eda, profiling, quality, user_metrics
+from splitscope.operators import (
+    breakdowns, cleaning, decision, eda, profiling, quality, reports, significance, user_metrics,
+)
 from splitscope.plans import pipeline
 from splitscope.sources import testdata
 from splitscope.spec import NOTEBOOK_SPEC as NB, TEMPLATE_SPEC as TP
@@ -262,9 +264,6 @@ def region_summary(spark, sf):
 
 
 # ---- H: significance tests -------------------------------------------------
-from splitscope.operators import decision, reports, significance  # noqa: E402
-
-
 def _tests(spark, sf):
     return pipeline.notebook_tests(spark, sf)
 

@@ -42,3 +42,26 @@ def test_jvm_and_python_paths_agree(spark):
             continue
         assert r.p == pytest.approx(tails.student_t_two_sided(r.t, r.dof), abs=1e-12)
         assert r.pz == pytest.approx(tails.normal_two_sided(r.t), abs=1e-12)
+
+
+def test_pandas_udf_fallback_matches_jvm(spark):
+    rows = [(0.3, 437.2), (1.6, 40.5), (2.5, 3.3), (6.7, 300.0), (None, 10.0)]
+    df = spark.createDataFrame(rows, "t double, dof double")
+
+    def run():
+        return df.select(tails.t_pvalue(F.col("t"), F.col("dof")).alias("p"),
+                         tails.z_pvalue(F.col("t")).alias("pz")).collect()
+
+    jvm = run()
+    key = id(spark)
+    saved = tails._JVM_TAILS.get(key)
+    tails._JVM_TAILS[key] = False
+    try:
+        py = run()
+    finally:
+        tails._JVM_TAILS[key] = saved if saved is not None else True
+    for a, b in zip(jvm, py):
+        if a.p is None:
+            assert b.p is None and b.pz is None
+        else:
+            assert a.p == pytest.approx(b.p, abs=1e-12) and a.pz == pytest.approx(b.pz, abs=1e-12)
