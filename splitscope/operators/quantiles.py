@@ -12,10 +12,11 @@ a per-group value map (held by one task) or a window over the whole group, we
    and add the bucket offset.
 
 Each window partition then holds about distinct_values / buckets rows.
-The histogram is written once (it feeds several branches) and counted: when
+The histogram is written once (it feeds several branches) and counted. When
 the whole histogram has at most SINGLE_WINDOW_MAX_ROWS rows, no group can
 exceed that either, and one window per group replaces steps 2-4 (a size-checked
-plan choice, like a guarded broadcast).
+plan choice, like a guarded broadcast); above it, the bucket count follows the
+histogram size (`buckets_for`).
 """
 
 from __future__ import annotations
@@ -29,15 +30,20 @@ from splitscope.session import materialize
 
 APPROX_ACCURACY = 10000
 SINGLE_WINDOW_MAX_ROWS = 2_000_000
+BUCKET_TARGET_ROWS = 1_000_000  # rows per (group, bucket) window partition
+MAX_BUCKETS = 1024  # bucket assignment compares a value with every bound
 
 
-def default_buckets(df: DataFrame) -> int:
-    """Buckets per group: the session's shuffle parallelism (scales with the cluster)."""
-    try:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # noqa: BLE001 - unset or adaptive value
-        n = 200
-    return max(4, n)
+def buckets_for(hist_rows: int) -> int:
+    """Buckets per group for a histogram of `hist_rows` rows.
+
+    One bucket (a single window per group) up to SINGLE_WINDOW_MAX_ROWS; above
+    that, enough buckets for about BUCKET_TARGET_ROWS rows per window partition
+    (the largest group has at most `hist_rows` rows), capped at MAX_BUCKETS.
+    """
+    if hist_rows <= SINGLE_WINDOW_MAX_ROWS:
+        return 1
+    return min(MAX_BUCKETS, -(-hist_rows // BUCKET_TARGET_ROWS))
 
 
 def join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
@@ -66,7 +72,7 @@ def running_counts(
     """
     group_cols = list(group_cols)
     if buckets is None:
-        buckets = 1 if hist.count() <= SINGLE_WINDOW_MAX_ROWS else default_buckets(hist)
+        buckets = buckets_for(hist.count())
     if buckets <= 1:
         w_group = Window.partitionBy(*group_cols)
         w_before = w_group.orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)

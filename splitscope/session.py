@@ -78,3 +78,27 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{base}/splitscope-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized for a cluster run over `input_bytes` of session data.
+
+    - file splits of `target_partition_bytes`, so a scan task reads one
+      executor-sized block;
+    - shuffle partitions at least one per target-sized block of input (the
+      dedupe shuffles the whole raw table) and a whole number of waves of the
+      cluster's cores; AQE coalesces the small shuffles after aggregation back
+      to the advisory size, and splits skewed join partitions.
+    Quantile buckets do not depend on these: they follow the histogram size.
+    """
+    blocks = max(1, -(-input_bytes // target_partition_bytes))
+    waves = max(1, -(-blocks // max(1, total_cores)))
+    partitions = waves * max(1, total_cores)
+    conf = dict(REQUIRED_CONF)
+    conf.update({
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    })
+    return conf

@@ -53,3 +53,21 @@ def test_entry_smoke(spark):
     rows = out.collect()
     assert len(rows) > 0
     assert out.columns[:3] == ["platform", "ab_cohort_name", "total_users"]
+
+
+def test_cluster_conf_sizes_partitions_to_the_input():
+    from splitscope.session import cluster_conf
+
+    conf = cluster_conf(100 * 2 ** 40, total_cores=8000)  # 100 TB on 1000 executors x 8 cores
+    parts = int(conf["spark.sql.shuffle.partitions"])
+    assert parts % 8000 == 0 and parts * (256 << 20) >= 100 * 2 ** 40
+    assert conf["spark.sql.adaptive.enabled"] == "true"
+    assert conf["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+
+
+def test_quantile_buckets_follow_histogram_size():
+    from splitscope.operators.quantiles import MAX_BUCKETS, buckets_for
+
+    assert buckets_for(10) == 1 and buckets_for(2_000_000) == 1
+    assert buckets_for(2_000_001) == 3
+    assert buckets_for(10 ** 12) == MAX_BUCKETS
