@@ -57,14 +57,17 @@ def user_days(sessions: DataFrame, spec: ExperimentSpec) -> DataFrame:
     return sessions.select(F.col(spec.user_col), F.to_date(F.col(spec.time_col)).alias("session_date")).distinct()
 
 
-def d1_retention(sessions_clean: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC) -> DataFrame:
+def d1_retention(sessions_clean: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC,
+                 exclude_censored: bool = False) -> DataFrame:
     """returned_d1 = 1 if the user has a session exactly one calendar day after the first.
 
-    Users first seen on the last day count as not returned (right-censored, as published).
+    As published, users first seen on the last day count as not returned
+    (right-censored). With `exclude_censored=True` they get NULL instead, so
+    they leave the D1 rate; the last day is an uncorrelated scalar subquery.
     """
     days = user_days(sessions_clean, spec)
     first = F.min("session_date").over(Window.partitionBy(spec.user_col))
-    return (
+    out = (
         days.withColumn("first_session_date", first)
         .groupBy(spec.user_col, "first_session_date")
         .agg(
@@ -73,6 +76,12 @@ def d1_retention(sessions_clean: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC
             )
         )
     )
+    if exclude_censored:
+        last_day = days.select(F.max("session_date")).scalar()
+        out = out.withColumn(
+            "returned_d1", F.when(F.col("first_session_date") < last_day, F.col("returned_d1"))
+        )
+    return out
 
 
 def user_metrics_full(sessions_clean: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC) -> DataFrame:

@@ -52,3 +52,13 @@ def test_user_base_and_arpu_denominator(spark):
     assert by[1].avg_session_length == 27.46  # exact mean 27.455 rounds half away from zero
     b = breakdowns.cohort_breakdown(users, ["platform"]).first()
     assert b.arpu == 4.0 and b.total_users == 2  # the all-NULL revenue user leaves the ARPU mean
+
+
+def test_d1_censored_users_can_be_excluded(spark):
+    rows = [dict(session_id="a", user_id=1, open_at=ts("2020-02-10")),
+            dict(session_id="b", user_id=1, open_at=ts("2020-02-11")),
+            dict(session_id="c", user_id=2, open_at=ts("2020-02-11"))]  # first seen on the last day
+    s = with_region(session_rows(spark, rows))
+    kept = {r.user_id: r.returned_d1 for r in user_metrics.d1_retention(s).collect()}
+    excl = {r.user_id: r.returned_d1 for r in user_metrics.d1_retention(s, exclude_censored=True).collect()}
+    assert kept == {1: 1, 2: 0} and excl == {1: 1, 2: None}
