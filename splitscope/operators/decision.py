@@ -181,6 +181,8 @@ def variant_callout(global_verdicts: DataFrame, spec: ExperimentSpec = NOTEBOOK_
     return v.select(
         F.lit(f"{spec.call_out} (Overall)").alias("Segment"),
         F.when(passed, F.lit("RECOMMENDED")).otherwise(F.lit(CALLOUT_NOT_RECOMMENDED)).alias("Recommendation"),
-        F.format_string("%+.2f%%", F.col("arpu_delta_pct")).alias("ARPU_Uplift"),
+        # NULL when the variant's ARPU test is gated (format_string would print "null")
+        F.when(F.col("arpu_delta_pct").isNotNull(), F.format_string("%+.2f%%", F.col("arpu_delta_pct")))
+        .alias("ARPU_Uplift"),
         F.when(passed, F.lit(RATIONALE_GLOBAL_WIN)).otherwise(F.lit(CALLOUT_RATIONALE)).alias("Rationale"),
     )

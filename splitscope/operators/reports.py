@@ -91,25 +91,34 @@ def results_summary(template_verdicts: DataFrame) -> DataFrame:
     )
 
 
+def _fmt(pattern: str, *cols: str):
+    """format_string that gives NULL when any argument is NULL (instead of the text "null")."""
+    cond = None
+    for c in cols:
+        e = F.col(c).isNotNull()
+        cond = e if cond is None else cond & e
+    return F.when(cond, F.format_string(pattern, *[F.col(c) for c in cols]))
+
+
 def format_results(tests: DataFrame) -> DataFrame:
     """Display strings next to the numeric columns (which are always kept)."""
     mark = F.when(F.col("arpu_significant"), F.lit("✓")).otherwise(F.lit("✗"))
     d1_mark = F.when(F.col("d1_significant"), F.lit("✓")).otherwise(F.lit("✗"))
     return tests.where(_ok("arpu", "d1")).select(
         *SEG, "cohort", "arpu_delta_pct", "arpu_p_value", "d1_delta_pp", "d1_p_value",
-        F.format_string("$%.6f", F.col("arpu_control_mean")).alias("control_arpu_fmt"),
-        F.format_string("$%.6f", F.col("arpu_cohort_mean")).alias("cohort_arpu_fmt"),
-        F.format_string("$%.6f", F.col("arpu_delta")).alias("delta_fmt"),
-        F.format_string("%+.2f%%", F.col("arpu_delta_pct")).alias("delta_pct_fmt"),
-        F.format_string("%.4f", F.col("arpu_p_value")).alias("p_value_fmt"),
+        _fmt("$%.6f", "arpu_control_mean").alias("control_arpu_fmt"),
+        _fmt("$%.6f", "arpu_cohort_mean").alias("cohort_arpu_fmt"),
+        _fmt("$%.6f", "arpu_delta").alias("delta_fmt"),
+        _fmt("%+.2f%%", "arpu_delta_pct").alias("delta_pct_fmt"),
+        _fmt("%.4f", "arpu_p_value").alias("p_value_fmt"),
         mark.alias("significant_fmt"),
-        F.format_string("[%.6f, %.6f]", F.col("arpu_ci_lower"), F.col("arpu_ci_upper")).alias("ci_95_fmt"),
-        F.format_string("%.2f%%", F.col("d1_control_prop")).alias("control_d1_fmt"),
-        F.format_string("%.2f%%", F.col("d1_cohort_prop")).alias("cohort_d1_fmt"),
-        F.format_string("%+.2f pp", F.col("d1_delta_pp")).alias("delta_pp_fmt"),
-        F.format_string("%.4f", F.col("d1_p_value")).alias("d1_p_value_fmt"),
+        _fmt("[%.6f, %.6f]", "arpu_ci_lower", "arpu_ci_upper").alias("ci_95_fmt"),
+        _fmt("%.2f%%", "d1_control_prop").alias("control_d1_fmt"),
+        _fmt("%.2f%%", "d1_cohort_prop").alias("cohort_d1_fmt"),
+        _fmt("%+.2f pp", "d1_delta_pp").alias("delta_pp_fmt"),
+        _fmt("%.4f", "d1_p_value").alias("d1_p_value_fmt"),
         d1_mark.alias("d1_significant_fmt"),
-        F.format_string("[%.2f, %.2f] pp", F.col("d1_ci_lower"), F.col("d1_ci_upper")).alias("d1_ci_95_fmt"),
+        _fmt("[%.2f, %.2f] pp", "d1_ci_lower", "d1_ci_upper").alias("d1_ci_95_fmt"),
     )
 
 

@@ -268,7 +268,7 @@ def _tests(spark, sf):
     return pipeline.notebook_tests(spark, sf)
 
 
-def _drop_stats_noise(df: DataFrame) -> DataFrame:
+def _published_columns(df: DataFrame) -> DataFrame:
     """Drop the raw t/z/dof columns (kept by the library, not part of the published tables)."""
     return df.drop(*[c for c in df.columns if c.endswith(("t_stat", "z_stat", "dof"))])
 
@@ -284,15 +284,15 @@ def sample_size_gate(spark, sf):
 
 
 for _lvl in ("global", "platform", "region"):
-    def _mk(lvl):
+    def _register_tests(lvl):
         def welch_q(spark, sf):
-            return _r(_drop_stats_noise(significance.welch_ttest(_users(spark, sf), NB.primary_metric, NB, (lvl,))))
+            return _r(_published_columns(significance.welch_ttest(_users(spark, sf), NB.primary_metric, NB, (lvl,))))
 
         def prop_q(spark, sf):
-            return _r(_drop_stats_noise(significance.prop_ztest(_users(spark, sf), NB, (lvl,))))
+            return _r(_published_columns(significance.prop_ztest(_users(spark, sf), NB, (lvl,))))
 
         def session_q(spark, sf):
-            return _r(_drop_stats_noise(
+            return _r(_published_columns(
                 significance.welch_ttest(_users(spark, sf), NB.continuous_metric, NB, (lvl,))))
 
         def mw_q(spark, sf):
@@ -302,7 +302,7 @@ for _lvl in ("global", "platform", "region"):
         REGISTRY[f"prop_ztest_{lvl}"] = prop_q
         REGISTRY[f"session_ttest_{lvl}"] = session_q
         REGISTRY[f"mannwhitney_{lvl}"] = mw_q
-    _mk(_lvl)
+    _register_tests(_lvl)
 
 
 @register("full_analysis")

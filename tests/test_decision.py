@@ -75,3 +75,10 @@ def test_winners_tie_none_and_insufficient(spark):
     recs = {r.Segment: r for r in decision.recommendations(decision.segment_winners(v, NOTEBOOK_SPEC)).collect()}
     assert recs["Global"].ARPU_Uplift == "+5.00%"
     assert recs["Ios"].ARPU_Uplift == "—" and recs["Ios"].Rationale == "No variant passes tiered criteria"
+
+
+def test_callout_of_a_gated_variant_has_no_uplift_text(spark):
+    df = spark.createDataFrame([row("gameTune", arpu=(None, None), status="insufficient_data")], COLS)
+    v = decision.verdicts(df, "global", NOTEBOOK_SPEC)
+    r = decision.variant_callout(v, NOTEBOOK_SPEC).first()
+    assert r.ARPU_Uplift is None and r.Recommendation == "NOT RECOMMENDED"
