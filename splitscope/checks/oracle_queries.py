@@ -19,7 +19,7 @@ def _sel(cols: str, doubles: tuple[str, ...]) -> str:
     return ", ".join(out)
 
 
-_SIG = "CASE WHEN status = 'ok' THEN COALESCE(p_value < 0.05, FALSE) END AS significant"
+_SIG = "COALESCE(p_value < 0.05, FALSE) AS significant"
 
 _WELCH_D = ("control_mean", "cohort_mean", "delta", "delta_pct", "p_value", "ci_lower", "ci_upper")
 _PROP_D = ("control_prop", "cohort_prop", "delta_pp", "p_value", "ci_lower", "ci_upper")

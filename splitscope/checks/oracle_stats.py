@@ -249,9 +249,9 @@ verdict AS (
 ),
 verdicts AS (
   SELECT segment_type, segment, cohort,
-         CASE WHEN all_ok THEN ap END AS arpu_pass, CASE WHEN all_ok THEN dp END AS d1_pass,
-         CASE WHEN all_ok THEN sp END AS avg_session_pass, CASE WHEN all_ok THEN mp END AS median_session_pass,
-         CASE WHEN all_ok THEN ap AND dp AND sp AND mp END AS overall_pass,
+         all_ok AND ap AS arpu_pass, all_ok AND dp AS d1_pass,
+         all_ok AND sp AS avg_session_pass, all_ok AND mp AS median_session_pass,
+         all_ok AND ap AND dp AND sp AND mp AS overall_pass,
          CASE WHEN all_ok THEN CONCAT_WS(', ', CASE WHEN NOT ap THEN 'ARPU' END, CASE WHEN NOT dp THEN 'D1' END,
                                           CASE WHEN NOT sp THEN 'Avg Session' END,
                                           CASE WHEN NOT mp THEN 'Median Session' END) END AS failed_criteria,

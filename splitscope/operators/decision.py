@@ -2,7 +2,7 @@
 
 All rules run on the small per-(segment, cohort) test frame; nothing is
 collected. A row whose tests did not pass the sample-size gate gets
-status 'insufficient_data', NULL pass flags and can never win.
+status 'insufficient_data', false pass flags and can never win.
 """
 
 from __future__ import annotations
@@ -54,7 +54,9 @@ def with_pass_flags(tests: DataFrame, th: Thresholds = Thresholds()) -> DataFram
     avg = ~sig("avg_session") | (F.col("avg_session_delta_pct") >= -th.avg_session_max_drop_pct)
     med = ~sig("med_session") | (F.col("med_session_delta_pct") >= -th.med_session_max_drop_pct)
     flags = {"arpu_pass": arpu, "d1_pass": d1, "avg_session_pass": avg, "median_session_pass": med}
-    out = tests.select(*tests.columns, *[F.when(ok, c).alias(k) for k, c in flags.items()])
+    # a cell that did not pass the sample gate has status 'insufficient_data'
+    # and false flags, so it can never win
+    out = tests.select(*tests.columns, *[F.when(ok, c).otherwise(F.lit(False)).alias(k) for k, c in flags.items()])
     failed = F.array_compact(F.array(*[
         F.when(~F.col(k), F.lit(label)) for k, label in zip(flags, CRITERIA_LABELS)
     ]))

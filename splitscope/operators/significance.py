@@ -153,7 +153,7 @@ def welch_columns(m: str, spec: ExperimentSpec, th: Thresholds = Thresholds()) -
     return {
         "control_mean": g(m0), "cohort_mean": g(m1), "delta": g(delta), "delta_pct": g(delta_pct(delta, m0)),
         "t_stat": g(t), "dof": g(dof), "p_value": g(p),
-        "significant": F.when(ok, F.coalesce(p < th.significance, F.lit(False))),
+        "significant": F.coalesce(ok & (p < th.significance), F.lit(False)),  # untested -> false
         "ci_lower": g(delta - CI_Z * se), "ci_upper": g(delta + CI_Z * se),
         "control_n": F.coalesce(n0, F.lit(0)), "cohort_n": n1,
         "status": F.when(ok, OK).otherwise(INSUFFICIENT),
@@ -186,7 +186,7 @@ def prop_columns(b: str, spec: ExperimentSpec, th: Thresholds = Thresholds()) ->
     return {
         "control_prop": g(p0 * 100), "cohort_prop": g(p1 * 100), "delta_pp": g((p1 - p0) * 100),
         "z_stat": g(z), "p_value": g(p),
-        "significant": F.when(ok, F.coalesce(p < th.significance, F.lit(False))),
+        "significant": F.coalesce(ok & (p < th.significance), F.lit(False)),  # untested -> false
         "ci_lower": g((p1 - p0 - CI_Z * se_u) * 100), "ci_upper": g((p1 - p0 + CI_Z * se_u) * 100),
         "control_n": F.coalesce(n0, F.lit(0)), "cohort_n": n1,
         "status": F.when(ok, OK).otherwise(INSUFFICIENT),
@@ -267,7 +267,7 @@ def mw_columns(spec: ExperimentSpec, th: Thresholds = Thresholds()) -> dict[str,
     return {
         "control_median": g(m0), "cohort_median": g(m1), "delta": g(delta), "delta_pct": g(delta_pct(delta, m0)),
         "u_stat": g(u1), "p_value": g(p),
-        "significant": F.when(ok, F.coalesce(p < th.significance, F.lit(False))),
+        "significant": F.coalesce(ok & (p < th.significance), F.lit(False)),  # untested -> false
         "control_n": F.col("ctl_n"), "cohort_n": F.col("n"),
         "status": F.when(ok, OK).otherwise(INSUFFICIENT),
     }
