@@ -40,23 +40,23 @@ def run_workflow(spark, sf_dir: str, out_dir: str) -> tuple[dict[str, float], fl
     # At scale the raw session table is an existing dataset; here it is derived
     # from the test tables once and written, as loading the input.
     raw = timed("load_sessions", lambda: materialize(pipeline.raw_sessions(spark, sf_dir), "sessions_raw"))
-    timed("quality_checks", lambda: [
-        quality.invalid_session_length(raw, NB).collect(),
-        quality.missing_cohort(raw, NB).collect(),
-        quality.duplicate_sessions(raw, NB).count(),
-    ])
+    timed("quality_checks", lambda: pipeline.run_concurrently(
+        lambda: quality.invalid_session_length(raw, NB).collect(),
+        lambda: quality.missing_cohort(raw, NB).collect(),
+        lambda: quality.duplicate_sessions(raw, NB).count(),
+    ))
     clean = timed("clean_sessions", lambda: materialize(cleaning.sessions_clean(raw, NB), "sessions_clean"))
     users = timed("user_metrics", lambda: pipeline.user_metrics_table(spark, sf_dir, NB, materialized=True,
                                                                     sessions=clean))
-    timed("eda", lambda: [
-        eda.session_length_distribution(clean, NB, "exact").collect(),
-        eda.revenue_vs_control(clean, NB, "exact").collect(),
-        eda.ads_by_cohort(clean, NB).collect(),
-    ])
-    timed("breakdowns", lambda: [
-        breakdowns.platform_breakdown(users, NB).collect(),
-        breakdowns.region_breakdown(users, NB).collect(),
-    ])
+    timed("eda", lambda: pipeline.run_concurrently(
+        lambda: eda.session_length_distribution(clean, NB, "exact").collect(),
+        lambda: eda.revenue_vs_control(clean, NB, "exact").collect(),
+        lambda: eda.ads_by_cohort(clean, NB).collect(),
+    ))
+    timed("breakdowns", lambda: pipeline.run_concurrently(
+        lambda: breakdowns.platform_breakdown(users, NB).collect(),
+        lambda: breakdowns.region_breakdown(users, NB).collect(),
+    ))
     tests = timed("all_tests", lambda: materialize(significance.all_tests(users, NB), "tests"))
     verdict_rows = decision.verdicts(tests, ("global", "platform", "region"), NB)
     recs = timed("verdicts_recommendations", lambda: decision.recommendations(

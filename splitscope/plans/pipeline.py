@@ -63,3 +63,16 @@ def template_tests(spark: SparkSession, sf_dir: str, spec: ExperimentSpec = TEMP
     u = users if users is not None else template_users(spark, sf_dir, spec)
     df = significance.all_tests(u, spec, cohorts=spec.candidates)
     return df.where(~((F.col("segment_type") == "region") & (F.col("segment") == "Other")))
+
+
+def run_concurrently(*actions, max_workers: int = 4) -> list:
+    """Run independent actions (e.g. report collects) as concurrent Spark jobs.
+
+    Small report jobs leave most cores idle; submitting them from threads lets
+    the scheduler overlap them. Results come back in argument order.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=max(1, min(max_workers, len(actions)))) as pool:
+        futures = [pool.submit(a) for a in actions]
+        return [f.result() for f in futures]
