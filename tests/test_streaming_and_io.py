@@ -71,3 +71,10 @@ def test_quantile_buckets_follow_histogram_size():
     assert buckets_for(10) == 1 and buckets_for(2_000_000) == 1
     assert buckets_for(2_000_001) == 3
     assert buckets_for(10 ** 12) == MAX_BUCKETS
+
+
+def test_run_concurrently_keeps_argument_order(spark):
+    from splitscope.plans.pipeline import run_concurrently
+
+    out = run_concurrently(*[(lambda k=k: spark.range(k + 1).count()) for k in range(5)], max_workers=3)
+    assert out == [1, 2, 3, 4, 5]
