@@ -84,10 +84,13 @@ def d1_retention(sessions_clean: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC
     return out
 
 
-def user_metrics_full(sessions_clean: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC) -> DataFrame:
+def user_metrics_full(sessions_clean: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC,
+                      exclude_censored: bool = False) -> DataFrame:
     """user_base LEFT JOIN d1 on the user: both sides are already hash-partitioned by it."""
     base = user_base(sessions_clean, spec)
-    d1 = d1_retention(sessions_clean, spec).select(spec.user_col, F.col("returned_d1").cast("int"))
+    d1 = d1_retention(sessions_clean, spec, exclude_censored).select(
+        spec.user_col, F.col("returned_d1").cast("int")
+    )
     return base.join(d1, spec.user_col, "left")
 
 

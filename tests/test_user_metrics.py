@@ -62,3 +62,13 @@ def test_d1_censored_users_can_be_excluded(spark):
     kept = {r.user_id: r.returned_d1 for r in user_metrics.d1_retention(s).collect()}
     excl = {r.user_id: r.returned_d1 for r in user_metrics.d1_retention(s, exclude_censored=True).collect()}
     assert kept == {1: 1, 2: 0} and excl == {1: 1, 2: None}
+
+
+def test_user_metrics_can_exclude_censored_users(spark):
+    from splitscope.operators.cleaning import sessions_clean
+
+    rows = [dict(session_id="a", user_id=1, open_at=ts("2020-02-10")),
+            dict(session_id="b", user_id=2, open_at=ts("2020-02-11"))]
+    s = sessions_clean(session_rows(spark, rows))
+    got = {r.user_id: r.returned_d1 for r in user_metrics.user_metrics_full(s, exclude_censored=True).collect()}
+    assert got == {1: 0, 2: None}
