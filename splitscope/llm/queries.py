@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from splitscope.llm import packing, quality, tokens
+from splitscope.llm import html, packing, quality, tokens, toxicity
 from splitscope.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -15,6 +15,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_decode_digest(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -27,5 +31,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_token_counts, op6_packing, op9_quality)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_main_text, op5_token_counts, op6_packing, op9_quality, op10_toxicity)}
 ORACLE = {"op9_quality": quality.SQL}
