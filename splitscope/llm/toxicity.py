@@ -23,8 +23,8 @@ from splitscope.llm.common import map_arrow, save, text_groups
 
 #: Labelled rows of each class that the model is fitted on at most, and insult stems it holds at most.
 SAMPLE, STEMS = 4000, 2000
-#: A stem needs so many toxic documents, so many different words before it, and at most this share of clean ones.
-STEM_DOCUMENTS, STEM_CONTEXTS, CLEAN_SHARE = 8, 8, 0.02
+#: A stem needs this share of the toxic texts, at least STEM_LEAST of them, after as many different words (12 at most), and at most CLEAN_SHARE as many clean texts.
+STEM_SHARE, STEM_LEAST, CLEAN_SHARE = 0.005, 4, 0.02
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 
@@ -208,7 +208,8 @@ def learn_stems(sample: DataFrame) -> list[str]:
 
     counts = map_arrow(sample, run, "stem string, clean long, toxic long, contexts long")
     by = counts.groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("contexts").alias("contexts"))
-    by = by.where((F.col("toxic") >= STEM_DOCUMENTS) & (F.bit_count("contexts") >= STEM_CONTEXTS) & (F.col("clean") <= CLEAN_SHARE * F.col("toxic")))
+    least = max(STEM_LEAST, int(STEM_SHARE * sample.where("toxic = 1").count()))
+    by = by.where((F.col("toxic") >= least) & (F.bit_count("contexts") >= min(least, 12)) & (F.col("clean") <= CLEAN_SHARE * F.col("toxic")))
     found = [r[0] for r in by.orderBy(F.desc("toxic"), "stem").limit(STEMS).collect()]  # at most STEMS strings
     beginnings = {s for s in found if not s.endswith("$")}
     covered = lambda s: any(s[:n] in beginnings for n in PREFIXES if n < len(s.rstrip("$")) or s.endswith("$") and n == len(s) - 1)
