@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from splitscope.llm import fingerprints, html, packing, quality, tokens, toxicity
+from splitscope.llm import fingerprints, html, near_dedup, packing, quality, tokens, toxicity
 from splitscope.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_decode_digest(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(read_table(spark, sf_dir, "pages"))
 
@@ -39,5 +43,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_main_text, op5_token_counts, op6_packing, op9_quality, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_near_duplicates, op4_main_text, op5_token_counts, op6_packing, op9_quality, op10_toxicity)}
 ORACLE = {"op9_quality": quality.SQL}
