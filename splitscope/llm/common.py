@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from splitscope.session import ensure_checkpoint_dir
 
@@ -27,7 +29,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
@@ -64,6 +66,34 @@ def text_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], tex
             yield tuple(x[start:] for x in lists)
 
 
+def raw_text(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def text_key(text: str | None) -> int:
+    """64-bit key of a text; null as the empty text."""
+    return int.from_bytes(hashlib.blake2b(raw_text(text), digest_size=8).digest(), "little", signed=True)
+
+
+def with_text_key(docs: DataFrame) -> DataFrame:
+    """The rows of docs with the key of their text as _t."""
+    fields = docs.schema.fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = pa.array([text_key(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, keys], [*b.schema.names, "_t"])
+
+    return map_arrow(docs, run, T.StructType([*fields, T.StructField("_t", T.LongType())]))
+
+
+def renewed(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Columns as those of docs, n_chars counted anew."""
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return changed.select(*docs.columns)
+
+
 # --- hashing -----------------------------------------------------------------
 
 _U = np.uint64

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from splitscope.llm.common import renewed, save
+
 #: A line is boilerplate of a host if at least so many of its documents, and so large a share of them, hold it.
 LINE_DOCUMENTS, LINE_SHARE = 20, 0.2
 #: A document is depleted if less than this share of its word characters, or fewer words than the base rule asks for, stay.
@@ -129,13 +131,13 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, without the lines above the limits; columns as those of `docs`, n_chars renewed."""
-    others = [c for c in docs.columns if c != "doc_id"]
-    kept = _judged(docs, *others).where("kept")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("removed"), F.xxhash64(normal_line(x)))), "\n")
-    out = kept.withColumn("text", F.when(F.size("removed") == 0, F.col("text")).otherwise(left))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    # written first: a filter on the verdict would otherwise be computed from the rules once more, below the join
+    verdicts, _ = save(_judged(docs).where("kept").select(*(F.col(k).alias(f"_{k}") for k in _KEY), F.col("removed").alias("_removed")).distinct(), "quality")
+    text_hash, host = F.xxhash64("text"), F.coalesce("source", F.lit(""))
+    match = docs["doc_id"].eqNullSafe(verdicts["_doc_id"]) & (text_hash == verdicts["_text_hash"]) & (host == verdicts["_host"])
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_removed", F.xxhash64(normal_line(x)))), "\n")
+    out = docs.join(verdicts, match).withColumn("text", F.when(F.size("_removed") == 0, F.col("text")).otherwise(left))
+    return renewed(out, docs)
 
 
 #: DuckDB SQL of quality_verdicts over the table documents.

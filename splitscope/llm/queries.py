@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from splitscope.llm import fingerprints, html, near_dedup, packing, quality, suffix_dedup, tokens, toxicity
+from splitscope.llm import fingerprints, html, line_dedup, near_dedup, packing, quality, suffix_dedup, tokens, toxicity
 from splitscope.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats_removed(read_table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_near_duplicates, op4_main_text, op5_token_counts, op6_packing, op8_suffix_dedup, op9_quality, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_near_duplicates, op4_main_text, op5_token_counts, op6_packing, op7_line_dedup, op8_suffix_dedup, op9_quality, op10_toxicity)}
 ORACLE = {"op9_quality": quality.SQL}

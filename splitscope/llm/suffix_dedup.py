@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitscope.llm.common import as_long, drop, map_arrow, prefix_sums, save, span_hashes, text_groups
+from splitscope.llm.common import as_long, drop, map_arrow, prefix_sums, raw_text, renewed, save, span_hashes, text_groups, text_key, with_text_key
 
 SPAN, GRAM = 200, 64
 #: Runs of a class from which its windows are counted by their hashes instead, one by one over all tasks.
@@ -86,21 +86,13 @@ def runs_of(data: np.ndarray, part_at: np.ndarray) -> tuple[np.ndarray, ...]:
     return grams[anchor[start]], span_hashes(sums, start, end - 1 + SPAN), start, end - start, part[start]
 
 
-def text_key(raw: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-
-
-def _raw(t: str | None) -> bytes:
-    return (t or "").encode("utf-8", "surrogatepass")
-
-
 def _runs(docs: DataFrame, where: bool) -> DataFrame:
     """(m, s) of all runs; with `where` also the text's key and the place: start * 256 + windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (texts,) in text_groups(batches, ("text",)):
-            raw = [_raw(t) for t in texts]
-            keys = np.array([text_key(r) for r in raw], np.int64) if where else None
+            raw = [raw_text(t) for t in texts]
+            keys = np.array([text_key(t) for t in texts], np.int64) if where else None
             for data, number, begin, at in slices(raw):
                 m, s, start, windows, part = runs_of(data, at)
                 columns = [pa.array(as_long(m)), pa.array(as_long(s))]
@@ -240,10 +232,10 @@ def _packed(docs: DataFrame, columns: str = "") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            raw = [_raw(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
             rest = [b.column(i) for i, f in enumerate(b.schema) if f.name != "text"]
             names = [f.name for f in b.schema if f.name != "text"]
-            yield pa.RecordBatch.from_arrays([pa.array([text_key(r) for r in raw], pa.int64()), pa.array([press.compress(r) for r in raw], pa.binary()), *rest], ["t", "packed", *names])
+            yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in texts], pa.int64()), pa.array([press.compress(raw_text(t)) for t in texts], pa.binary()), *rest], ["t", "packed", *names])
 
     names = [c.split()[0] for c in columns.split(", ")] if columns else []
     return map_arrow(docs.select("text", *names), run, "t long, packed binary" + (f", {columns}" if columns else ""))
@@ -348,17 +340,31 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, list[str
     return out, [p4]
 
 
+def _covered(size: int, spans: list[dict]) -> np.ndarray:
+    """Bytes covered by the windows that start in the spans."""
+    step = np.zeros(size + 1, np.int64)
+    np.add.at(step, [x["a"] for x in spans], 1)
+    np.add.at(step, [x["b"] + SPAN - 1 for x in spans], -1)
+    return np.cumsum(step[:-1]) > 0
+
+
 def _cut(raw: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
-    """What is left without the bytes of the spans' windows, the bytes removed, and the maximal runs of these."""
+    """What is left without the covered bytes, the number of these, and of their maximal runs."""
     if not spans:
         return raw, 0, 0
-    step = np.zeros(len(raw) + 1, np.int64)
-    np.add.at(step, [x["a"] for x in spans], 1)
-    np.add.at(step, [x["b"] + SPAN - 1 for x in spans], -1)
-    gone = np.cumsum(step[:-1]) > 0
-    n = int(gone.sum())
+    gone = _covered(len(raw), spans)
     runs = int((gone & ~np.r_[False, gone[:-1]]).sum())
-    return np.frombuffer(raw, np.uint8)[~gone].tobytes(), n, runs
+    return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
+
+
+def _cut_text(text: str, spans: list[dict]) -> str:
+    """The text without the characters all of whose bytes are covered."""
+    data = np.frombuffer(raw_text(text), np.uint8)
+    gone = _covered(len(data), spans)
+    character = np.cumsum((data & 0xC0) != 0x80) - 1
+    partly = np.zeros(character[-1] + 1, bool)
+    partly[character[~gone]] = True
+    return data[partly[character]].tobytes().decode("utf-8", "surrogatepass")
 
 
 def repeats_removed(docs: DataFrame) -> DataFrame:
@@ -388,3 +394,24 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
 
     joined = _packed(docs, "doc_id long").join(spans, "t", "left").select("doc_id", "packed", "spans")
     return map_arrow(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """Documents without their repeated strings; columns as those of docs, n_chars renewed.
+
+    A character goes if all of its bytes are covered. A document that loses text and
+    has no word left goes; all others stay.
+    """
+    spans, _ = repeated_spans(docs)
+    joined = with_text_key(docs).join(spans.toDF("_key", "_spans"), F.col("_t") == F.col("_key"), "left").select(*docs.columns, "_spans")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [_cut_text(t, s) if s else t for t, s in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
+            columns = list(b.columns)
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+
+    cut = map_arrow(joined, run, joined.schema)
+    return renewed(cut.where(F.col("_spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs)
