@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from splitscope.llm.common import as_long, drop, map_arrow, prefix_sums, raw_text, renewed, save, span_hashes, text_groups, text_key, with_text_key
 
 SPAN, GRAM = 200, 64
-#: Runs of a class from which its windows are counted by their hashes instead, one by one over all tasks.
+#: Different runs of a class from which its windows are counted by their hashes instead, one by one over all tasks.
 HOT = 20_000
 #: Bytes of text that runs are taken from at once, and bytes of a shard.
 SLICE, SHARD = 1 << 19, 1 << 19
@@ -308,36 +308,39 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, list[str
     spark = docs.sparkSession
     some = docs.where("text IS NOT NULL").select("text")
     classes = _runs(some, False).groupBy("m").agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("n > 1")
-    classes, p1 = save(classes.select("m", F.when(F.expr("lo = hi"), 0).when(F.col("n") <= hot, 1).otherwise(2).alias("kind")), "classes")
+    classes, p1 = save(classes.select("m", F.expr("lo != hi").alias("differ")), "classes")
     runs, p2 = save(_runs(some, True).join(classes, "m"), "runs")
 
-    place = F.struct("t", "place")
-    mixed = runs.where("kind = 1").groupBy("m", "s").agg(F.count("*").alias("copies"), F.min(place).alias("p")).select("m", "s", "copies", "p.*")
-    split = runs.where("kind = 2").select("m", "s", F.lit(0).cast("long").alias("copies"), "t", "place").distinct()
-    wanted = mixed.unionByName(split).groupBy("t").agg(F.collect_list(F.struct("m", "s", "copies", "place")).alias("wanted"))  # a text's own runs
+    differ = runs.where("differ")
+    reps = differ.groupBy("m", "s").agg(F.count("*").alias("copies"), F.min(F.struct("t", "place")).alias("p")).select("m", "s", "copies", "p.*")
+    reps, p3 = save(reps, "run-representatives")
+    large = reps.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("m")
+    mixed = reps.join(large, "m", "left_anti")
+    split, p4 = save(differ.join(large, "m").groupBy("m", "s", "t", "place").agg(F.count("*").alias("times")), "hot-runs")
+    each = split.select("m", "s", F.lit(0).cast("long").alias("copies"), "t", "place")
+    wanted = mixed.unionByName(each).groupBy("t").agg(F.collect_list(F.struct("m", "s", "copies", "place")).alias("wanted"))  # a text's own runs
     texts = _packed(some).join(wanted, "t").dropDuplicates(["t"]).select("t", "packed", "wanted")
-    segments, p3 = save(_segments(texts), "segments")
+    segments, p5 = save(_segments(texts), "segments")
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = segments.where("segment IS NOT NULL").select("m", "s", "copies", "segment").repartition(tasks, "m").sortWithinPartitions("m", "s")
     spans = _merged(laid)
     begin = F.shiftright("place", 8)
     pair = lambda a, b: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
-    whole = runs.where("kind = 0").select("t", pair(begin, begin + F.col("place").bitwiseAND(255)).alias("x"))
-    parts = runs.where("kind = 1").join(spans, ["m", "s"]).select(
+    whole = runs.where("NOT differ").select("t", pair(begin, begin + F.col("place").bitwiseAND(255)).alias("x"))
+    parts = differ.join(spans, ["m", "s"]).select(
         "t", F.explode(F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: pair(begin + F.get("spans", i), begin + F.get("spans", i + 1)))).alias("x")
     )
     windows = segments.where("segment IS NULL").select(F.col("m").alias("h"), "t", "start")
-    twice = runs.where("kind = 2").groupBy("t", "place").agg(F.count("*").alias("copies"))
     # a window of a hot class: counted once for each text that holds it, with that text's copies
-    copies = twice.select("t", "copies", F.explode(F.sequence(begin, begin + F.col("place").bitwiseAND(255) - 1)).alias("start"))
+    copies = split.select("t", F.col("times").alias("copies"), F.explode(F.sequence(begin, begin + F.col("place").bitwiseAND(255) - 1)).alias("start"))
     counted = windows.join(copies, ["t", "start"])
     often = counted.groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1").select("h")
     single = counted.join(often, "h").select("t", pair(F.col("start"), F.col("start") + 1).alias("x"))
     found = whole.unionByName(parts).unionByName(single).groupBy("t").agg(F.collect_set("x").alias("spans"))
-    out, p4 = save(found, "spans")
-    drop(spark, p1, p2, p3)
-    return out, [p4]
+    out, path = save(found, "spans")
+    drop(spark, p1, p2, p3, p4, p5)
+    return out, [path]
 
 
 def _covered(size: int, spans: list[dict]) -> np.ndarray:
