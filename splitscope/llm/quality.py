@@ -131,8 +131,9 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, without the lines above the limits; columns as those of `docs`, n_chars renewed."""
-    # written first: a filter on the verdict would otherwise be computed from the rules once more, below the join
-    verdicts, _ = save(_judged(docs).where("kept").select(*(F.col(k).alias(f"_{k}") for k in _KEY), F.col("removed").alias("_removed")).distinct(), "quality")
+    # written before it is filtered: a filter would move below the join and compute the rules anew
+    verdicts, _ = save(_judged(docs).select(*(F.col(k).alias(f"_{k}") for k in _KEY), F.col("removed").alias("_removed"), "kept"), "quality")
+    verdicts = verdicts.where("kept").drop("kept").distinct()
     text_hash, host = F.xxhash64("text"), F.coalesce("source", F.lit(""))
     match = docs["doc_id"].eqNullSafe(verdicts["_doc_id"]) & (text_hash == verdicts["_text_hash"]) & (host == verdicts["_host"])
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_removed", F.xxhash64(normal_line(x)))), "\n")
