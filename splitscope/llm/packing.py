@@ -26,25 +26,35 @@ def differencing(sizes: list[int], k: int) -> tuple[list[list[int]], int]:
     with the largest differences are merged, the largest sum of one with
     the smallest of the other, until one is left. Returns the items of each set and the largest sum.
     """
+    if not sizes:
+        return [[] for _ in range(k)], 0
+    nodes: list[tuple] = []  # of each merged partition: its two parts and the order of its sums
     heap = []
     for i, n in enumerate(sizes):
         sums = np.zeros(k, np.int64)
         sums[0] = n
-        heap.append((-n, i, sums, [[i]] + [[] for _ in range(k - 1)]))
+        heap.append((-n, i, sums))
     heapq.heapify(heap)
-    tie = len(sizes)
     while len(heap) > 1:
-        _, _, a, xs = heapq.heappop(heap)
-        _, _, b, ys = heapq.heappop(heap)
+        _, i, a = heapq.heappop(heap)
+        _, j, b = heapq.heappop(heap)
         sums = a + b[::-1]
         order = np.argsort(-sums, kind="stable")
         sums = sums[order]
         sums -= sums[-1]
-        joined = [xs[j] + ys[k - 1 - j] if ys[k - 1 - j] else xs[j] for j in order.tolist()]
-        tie += 1
-        heapq.heappush(heap, (-int(sums[0]), tie, sums, joined))
-    sets = heap[0][3] if heap else [[] for _ in range(k)]
-    return sets, max((sum(sizes[i] for i in s) for s in sets), default=0)
+        nodes.append((i, j, order))
+        heapq.heappush(heap, (-int(sums[0]), len(sizes) + len(nodes) - 1, sums))
+    # hand the sets' numbers down from the last partition to the items
+    labels: dict[int, np.ndarray] = {heap[0][1]: np.arange(k)}
+    sets: list[list[int]] = [[] for _ in range(k)]
+    for n in range(len(nodes) - 1, -1, -1):
+        i, j, order = nodes[n]
+        own = np.empty(k, np.int64)
+        own[order] = labels.pop(len(sizes) + n)
+        labels[i], labels[j] = own, own[::-1]
+    for i, own in labels.items():
+        sets[own[0]].append(i)
+    return sets, max(sum(sizes[i] for i in s) for s in sets)
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
