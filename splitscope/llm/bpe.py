@@ -26,9 +26,10 @@ _SPACE_RUN = regex.compile(f"[{_SPACE}]+")
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 _NEXT_SPACE = regex.compile(f"[{_SPACE}]")
 #: Entries of one generation of the piece cache; two generations are held.
-CACHE = 200_000
+CACHE = 300_000
 #: Characters of a text encoded at once; cut at white space.
 PIECE = 1 << 20
+_MARKS = ".,;:!?"
 NONE = np.int32(2**31 - 1)
 
 
@@ -197,80 +198,84 @@ class Vocabulary:
 
     # --- texts ---------------------------------------------------------------
 
-    def pretokens(self, piece: str) -> list[str]:
-        """Normalise a piece without white space and split it."""
-        if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-        low = piece.lower()
-        if low.isalpha():
-            return [low]
-        if low[-1:] in ".,;:!?" and low[:-1].isalpha():
-            return [low[:-1], low[-1]]
-        return self.words.findall(low)
-
-    def _encode_pieces(self, pieces: Iterable[str], heap: bool) -> dict[str, bytes]:
-        """Ids of pieces as little-endian 32-bit integers."""
-        parts: dict[str, list] = {}
+    def pretokens(self, piece: str) -> list[str | int]:
+        """Split a piece without white space as the vocabulary does; added tokens stand as their ids."""
+        got: list[str | int] = []
+        at = 0
+        for m in self.specials.finditer(piece) if "<|" in piece else ():
+            got += self.words.findall(normal(piece[at : m.start()]))
+            got.append(self.added[m[0]])
+            at = m.end()
+        return got + self.words.findall(normal(piece[at:]))
+
+    def _encode_pieces(self, pieces: Iterable[str], heap: bool) -> None:
+        """Put the ids of pieces into the cache, as little-endian 32-bit integers."""
+        whole: dict[str, str] = {}  # pieces of letters alone
+        marked: dict[str, str] = {}  # letters and one mark after them
+        others: dict[str, list] = {}
         for p in pieces:
-            got: list = []
-            at = 0
-            for m in self.specials.finditer(p) if "<|" in p else ():
-                got += self.pretokens(p[at : m.start()])
-                got.append(self.added[m[0]])
-                at = m.end()
-            got += self.pretokens(p[at:] if at else p)
-            parts[p] = got
+            low = normal(p)
+            if low.isalpha():
+                whole[p] = low
+            elif low[-1:] in _MARKS and low[:-1].isalpha():
+                marked[p] = low
+            else:
+                others[p] = self.pretokens(p)
         if len(self.merged) > CACHE:
             self.merged = {}
         merged = self.merged
-        wanted = list({w for got in parts.values() for w in got if w.__class__ is str}.difference(merged))
+        wanted = {*whole.values(), *_MARKS}
+        wanted.update([x[:-1] for x in marked.values()])
+        for got in others.values():
+            wanted.update([w for w in got if w.__class__ is str])
+        fresh = list(wanted.difference(merged))
         if heap:
-            for w in wanted:
+            for w in fresh:
                 merged[w] = array("I", self.merge_with_heap(self.symbols(w))).tobytes()
         else:
-            merged.update(zip(wanted, self.merge_batch(wanted), strict=True))
-        out = {}
-        for p, got in parts.items():
-            if len(got) == 1 and got[0].__class__ is str:
-                out[p] = merged[got[0]]
-            else:
-                out[p] = b"".join([merged[w] if w.__class__ is str else array("I", [w]).tobytes() for w in got])
-        return out
+            merged.update(zip(fresh, self.merge_batch(fresh), strict=True))
+        new = self.new
+        new.update(zip(whole, map(merged.__getitem__, whole.values()), strict=True))
+        for p, low in marked.items():
+            new[p] = merged[low[:-1]] + merged[low[-1]]
+        for p, got in others.items():
+            new[p] = b"".join([merged[w] if w.__class__ is str else array("I", [w]).tobytes() for w in got])
 
     def pieces(self, text: str) -> list[str]:
         if _NOT_SPACE.search(text):
             return [x for x in _SPACE_RUN.split(text) if x]
         return text.split()
 
-    def encode_pieces(self, pieces: list[str], heap: bool = False) -> bytes:
-        missing = set(pieces).difference(self.new)
+    def _hold(self, pieces: set[str], heap: bool) -> None:
+        """Make sure that the cache holds the pieces."""
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        missing = pieces.difference(self.new)
         if missing:
-            if len(self.new) > CACHE:
-                self.old, self.new = self.new, {}
-                missing = set(pieces)
-            held = missing & self.old.keys()
-            for p in held:
-                self.new[p] = self.old[p]
-            self.new.update(self._encode_pieces(missing - held, heap))
-        return b"".join(map(self.new.__getitem__, pieces))
+            held = missing.intersection(self.old)
+            self.new.update(zip(held, map(self.old.__getitem__, held), strict=True))
+            self._encode_pieces(missing - held if held else missing, heap)
 
     def encode(self, text: str | None, heap: bool = False) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if len(text) <= PIECE:
-            return self.encode_pieces(self.pieces(text), heap)
-        return b"".join(self.encode_pieces(self.pieces(part), heap) for part in cuts(text, PIECE))
+        return self.encode_many([text], heap)[0]
 
     def encode_many(self, texts: list[str | None], heap: bool = False) -> list[bytes]:
-        """Texts of one group: their new pieces are encoded together."""
-        split = [self.pieces(t) if t and len(t) <= PIECE else None for t in texts]
+        """Texts of one group: their new pieces are encoded together. Long texts go part by part."""
+        split = [self.pieces(t) if t and len(t) <= PIECE else () for t in texts]
         seen: set[str] = set()
-        for s in split:
-            if s:
-                seen.update(s)
-        self.encode_pieces(list(seen), heap)
-        return [b"" if not t else self.encode(t, heap) if s is None else self.encode_pieces(s, heap) for t, s in zip(texts, split, strict=True)]
+        seen.update(*split)
+        self._hold(seen, heap)
+        out = [b"".join(map(self.new.__getitem__, s)) for s in split]
+        for i, t in enumerate(texts):
+            if t and len(t) > PIECE:
+                parts = []
+                for part in cuts(t, PIECE):
+                    s = self.pieces(part)
+                    self._hold(set(s), heap)
+                    parts.append(b"".join(map(self.new.__getitem__, s)))
+                out[i] = b"".join(parts)
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The vocabulary's strings joined by a space: the file names no decoder."""
@@ -278,6 +283,13 @@ class Vocabulary:
         return " ".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
+def normal(piece: str) -> str:
+    """NFC, then each character's lower case (a final sigma like any other)."""
+    if piece.isascii():
+        return piece.lower()
+    return unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+
+
 def cuts(text: str, size: int) -> Iterable[str]:
     """The text in parts of about `size` characters, cut before white space; a longer word stays whole."""
     at = 0
