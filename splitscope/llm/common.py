@@ -75,16 +75,21 @@ def text_key(text: str | None) -> int:
     return int.from_bytes(hashlib.blake2b(raw_text(text), digest_size=8).digest(), "little", signed=True)
 
 
+#: Prefix of the columns that stand beside those of a caller's table, and the text key's name there.
+BESIDE = "__llm_"
+TEXT_KEY = BESIDE + "text_key"
+
+
 def with_text_key(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the key of their text as _t."""
+    """The rows of docs with the key of their text as TEXT_KEY."""
     fields = docs.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = pa.array([text_key(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, keys], [*b.schema.names, "_t"])
+            yield pa.RecordBatch.from_arrays([*b.columns, keys], [*b.schema.names, TEXT_KEY])
 
-    return map_arrow(docs, run, T.StructType([*fields, T.StructField("_t", T.LongType())]))
+    return map_arrow(docs, run, T.StructType([*fields, T.StructField(TEXT_KEY, T.LongType())]))
 
 
 def renewed(changed: DataFrame, docs: DataFrame) -> DataFrame:

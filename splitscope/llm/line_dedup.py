@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitscope.llm.common import BASE, as_long, drop, map_arrow, mix, raw_text, renewed, save, text_groups, text_key, with_text_key
+from splitscope.llm.common import BASE, BESIDE, TEXT_KEY, as_long, drop, map_arrow, mix, raw_text, renewed, save, text_groups, text_key, with_text_key
 from splitscope.llm.linking import link_components
 
 #: Characters of a shingle; similarity in percent from which lines are one; bands, and hashes of a band.
@@ -217,9 +217,10 @@ def without_duplicate_lines(docs: DataFrame) -> DataFrame:
     A document that loses lines and has no word left goes; all others stay.
     """
     _, removed, _ = duplicate_lines(docs)
-    right = removed.toDF("_doc", "_text", "_removed")
+    doc, key, lines = (BESIDE + x for x in ("doc", "key", "removed"))
+    right = removed.toDF(doc, key, lines)
     keyed = with_text_key(docs)
-    joined = keyed.join(right, keyed["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_t") == F.col("_text")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    cut = joined.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left))
-    return renewed(cut.where(F.col("_removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs)
+    joined = keyed.join(right, keyed["doc_id"].eqNullSafe(F.col(doc)) & (F.col(TEXT_KEY) == F.col(key)), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(lines, i)), "\n")
+    cut = joined.withColumn("text", F.when(F.col(lines).isNull(), F.col("text")).otherwise(left))
+    return renewed(cut.where(F.col(lines).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitscope.llm.common import renewed, save
+from splitscope.llm.common import BESIDE, renewed, save
 
 #: A line is boilerplate of a host if at least so many of its documents, and so large a share of them, hold it.
 LINE_DOCUMENTS, LINE_SHARE = 20, 0.2
@@ -61,18 +61,17 @@ def _lines(text: Column) -> Column:
 _KEY = ("doc_id", "text_hash", "host")
 
 
-def _keyed(docs: DataFrame, *more: Column | str) -> DataFrame:
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """Rows are told apart by id, text and host; a null host counts as the empty one."""
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("source", F.lit("")).alias("host"), *more)
 
 
-def base_metrics(docs: DataFrame, *more: str) -> DataFrame:
-    """Word, symbol and repetition counts of every text, and the base rule's verdict; `more`: columns to carry along."""
+def base_metrics(docs: DataFrame) -> DataFrame:
+    """Word, symbol and repetition counts of every text, and the base rule's verdict."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = _keyed(docs, *more, text.alias("_text"), words_of(text).alias("_words"), _lines(F.col("text")).alias("_lines"))
+    split = _keyed(docs, text.alias("_text"), words_of(text).alias("_words"), _lines(F.col("text")).alias("_lines"))
     out = split.select(
         *_KEY,
-        *more,
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit("[" + SYMBOLS + "]")).cast("long").alias("n_symbols"),
@@ -110,8 +109,8 @@ def removals(docs: DataFrame) -> DataFrame:
     return once.groupBy(*_KEY).agg(F.collect_set("line").alias("removed"), F.sum("words").alias("removed_words"), F.sum("chars").alias("removed_chars"))
 
 
-def _judged(docs: DataFrame, *more: str) -> DataFrame:
-    base, gone = base_metrics(docs, *more), removals(docs)
+def _judged(docs: DataFrame) -> DataFrame:
+    base, gone = base_metrics(docs), removals(docs)
     words = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     chars = F.col("word_chars") - F.coalesce("removed_chars", F.lit(0))
     depleted = F.col("removed_words").isNotNull() & ((words < LEAST_WORDS) | (chars < LEAST_LEFT * F.col("word_chars")))
@@ -132,12 +131,12 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, without the lines above the limits; columns as those of `docs`, n_chars renewed."""
     # written before it is filtered: a filter would move below the join and compute the rules anew
-    verdicts, _ = save(_judged(docs).select(*(F.col(k).alias(f"_{k}") for k in _KEY), F.col("removed").alias("_removed"), "kept"), "quality")
-    verdicts = verdicts.where("kept").drop("kept").distinct()
-    text_hash, host = F.xxhash64("text"), F.coalesce("source", F.lit(""))
-    match = docs["doc_id"].eqNullSafe(verdicts["_doc_id"]) & (text_hash == verdicts["_text_hash"]) & (host == verdicts["_host"])
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_removed", F.xxhash64(normal_line(x)))), "\n")
-    out = docs.join(verdicts, match).withColumn("text", F.when(F.size("_removed") == 0, F.col("text")).otherwise(left))
+    doc, key, host, removed, kept = names = [BESIDE + x for x in (*_KEY, "removed", "kept")]
+    verdicts, _ = save(_judged(docs).select(*_KEY, "removed", "kept").toDF(*names), "quality")
+    verdicts = verdicts.where(F.col(kept)).drop(kept).distinct()
+    match = docs["doc_id"].eqNullSafe(verdicts[doc]) & (F.xxhash64(docs["text"]) == verdicts[key]) & (F.coalesce(docs["source"], F.lit("")) == verdicts[host])
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(removed, F.xxhash64(normal_line(x)))), "\n")
+    out = docs.join(verdicts, match).withColumn("text", F.when(F.size(removed) == 0, F.col("text")).otherwise(left))
     return renewed(out, docs)
 
 

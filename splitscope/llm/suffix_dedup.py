@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitscope.llm.common import as_long, drop, map_arrow, prefix_sums, raw_text, renewed, save, span_hashes, text_groups, text_key, with_text_key
+from splitscope.llm.common import BESIDE, TEXT_KEY, as_long, drop, map_arrow, prefix_sums, raw_text, renewed, save, span_hashes, text_groups, text_key, with_text_key
 
 SPAN, GRAM = 200, 64
 #: Different runs of a class from which its windows are counted by their hashes instead, one by one over all tasks.
@@ -406,7 +406,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     has no word left goes; all others stay.
     """
     spans, _ = repeated_spans(docs)
-    joined = with_text_key(docs).join(spans.toDF("_key", "_spans"), F.col("_t") == F.col("_key"), "left").select(*docs.columns, "_spans")
+    key, found = BESIDE + "key", BESIDE + "spans"
+    joined = with_text_key(docs).join(spans.toDF(key, found), F.col(TEXT_KEY) == F.col(key), "left").select(*docs.columns, found)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,4 +418,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
     cut = map_arrow(joined, run, joined.schema)
-    return renewed(cut.where(F.col("_spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs)
+    return renewed(cut.where(F.col(found).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs)
