@@ -1,77 +1,88 @@
 """From banded signatures to components: candidates by common keys, links by an exact check, no pairs within a component.
 
 A bucket (the rows of one band key) may hold a third of all rows, so its pairs are
-never all made. Each row is first paired with two pivots of its bucket; links that hold are
-united; only pairs of a bucket that then stand in different components are checked, all of them.
-So each candidate pair is either checked or already in one component.
+never all made. Each row is first paired with two pivots of its bucket, and links that hold are united. What is left are
+buckets with rows in different components, mostly rows that share a passage but are not alike. For their
+rows the pairs come from the sets themselves: two sets of similarity t or more share one of the rarest (1 - t) of
+their elements (prefix filtering, exact), and rows that share only a passage have rarer elements than its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitscope.llm.common import drop, save
 from splitscope.llm.graph import components
 
-#: While open pairs are more than so many a row, another pivot of each bucket is tried before they are all checked.
-PAIRS_A_ROW, ROUNDS = 4, 6
 
+def _across(rows: DataFrame, share: float) -> DataFrame:
+    """Pairs (a > b) of rows (key, id, n, label) with one key, in different components, of sizes that fit.
 
-def link_components(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], share: float) -> tuple[DataFrame, list[str]]:
+    Rows outside a key's largest component meet all rows of other components, so
+    rows of one component never meet each other.
+    """
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    known = rows.join(main.select("key", "main"), "key")
+    some = known.where("label != main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    other = known.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
+    met = some.join(other, "key").where("la != lb AND (lb = main OR a > b)").where((F.col("na") >= share * F.col("nb")) & (F.col("nb") >= share * F.col("na")))
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _prefixes(sets: DataFrame, share: float) -> DataFrame:
+    """(key, id, n, label): each set's rarest elements, as many as two sets of similarity `share` must share one of.
+
+    sets: (id, label, n, key), a row for each element. Elements of one set alone
+    come first in its order, and lead to no pair.
+    """
+    counts = sets.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    shared = sets.join(counts, "key")
+    own = Window.partitionBy("id")  # one set's elements
+    placed = shared.select("key", "id", "n", "label", F.row_number().over(own.orderBy("df", "key")).alias("at"), F.count("*").over(own).alias("some"))
+    length = F.col("n") - F.ceil(F.lit(share) * F.col("n") - F.lit(1e-9)) + 1
+    return placed.where(F.col("at") <= length - (F.col("n") - F.col("some"))).select("key", "id", "n", "label")
+
+
+def link_components(
+    bands: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    verify: Callable[[DataFrame, DataFrame], DataFrame],
+    elements: Callable[[DataFrame], DataFrame],
+    share: float,
+) -> tuple[DataFrame, list[str]]:
     """(node, component) of all nodes with a link, and the tables to drop in the end.
 
     bands: (id long, key long, n long): a row for each band key of a node, n the size of
-    its set. verify: (a, b) -> those (a, b) that are linked. share: sizes of linked sets differ by this factor at most.
+    its set, or 1 for all if it isn't known yet. fetch: ids -> their texts (a table with id). verify: pairs (a, b) and the
+    texts -> those pairs that are linked. elements: texts -> (id, n, key) for each element of the sets. share: the least similarity.
     """
     spark = bands.sparkSession
     row = F.struct("id", "n")
     ends = bands.groupBy("key").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).where("lo.id < hi.id")
-    members, made = save(bands.join(ends, "key").select("id", "n", "key", "lo", "hi"), "members")
-    paths = [made]
-
-    def near(n: str, m: str):
-        return (F.col(n) >= share * F.col(m)) & (F.col(m) >= share * F.col(n))
-
-    star = members.select("id", "n", F.explode(F.array("lo", "hi")).alias("p")).where(F.col("id") != F.col("p.id")).where(near("n", "p.n"))
-    tested, path = save(star.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct(), "pairs")
-    paths.append(path)
-    links, path = save(verify(tested), "links")
-    paths.append(path)
+    members, p1 = save(bands.join(ends, "key").select("id", "n", "key", "lo", "hi").distinct(), "members")
+    texts, p2 = save(fetch(members.select("id").distinct()), "member-texts")
+    star = members.select("id", "n", F.explode(F.array("lo", "hi")).alias("p")).where("id != p.id")
+    star = star.where((F.col("n") >= share * F.col("p.n")) & (F.col("p.n") >= share * F.col("n")))
+    tested, p3 = save(star.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct(), "pairs")
+    links, p4 = save(verify(tested, texts), "links")
+    found, p5 = components(links)
+    paths = [p1, p2, p3, p4, p5]
 
-    for turn in range(ROUNDS + 1):
-        found, path = components(links)
-        paths.append(path)
-        labelled = members.select("id", "n", "key").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "key", F.coalesce("component", "id").alias("label"))
-        sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
-        mixed = sizes.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main"))
-        mixed, path = save(mixed.where("labels > 1"), "mixed")
-        paths.append(path)
-        total = mixed.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()
-        if not total[0]:
-            return found, paths
-        open_rows, path = save(labelled.join(mixed.select("key", "main"), "key"), "open")
-        paths.append(path)
-        last = total[1] <= PAIRS_A_ROW * total[0] or turn == ROUNDS
-        if last:
-            # rows outside the bucket's main component, against all rows of other components
-            some = open_rows.where("label != main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            other = open_rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
-            pairs = some.join(other, "key").where("la != lb AND (lb = main OR a > b)").where(near("na", "nb"))
-        else:
-            pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "label")).alias("p")
-            pivots = open_rows.groupBy("key").agg(pick)
-            pairs = open_rows.join(pivots, "key").where("label != p.label").select(F.col("id").alias("a"), F.col("p.id").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb")).where(near("na", "nb"))
-        fresh = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh, path = save(fresh, "pairs")
-        paths.append(path)
-        more, path = save(verify(fresh), "links")
-        paths.append(path)
-        links, tested = links.unionByName(more), tested.unionByName(fresh)
-        if last:
-            found, path = components(links)
-            paths.append(path)
-            return found, paths
-    raise AssertionError("the last turn returns")
+    labels = found.withColumnRenamed("node", "id")
+    labelled = members.select("id", "key").join(labels, "id", "left").select("id", "key", F.coalesce("component", "id").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    nodes, p6 = save(labelled.join(mixed, "key").select("id", "label").distinct(), "open")
+    sets = elements(texts.join(nodes, "id", "left_semi")).join(nodes, "id")
+    prefixes, p7 = save(_prefixes(sets, share), "prefixes")
+    fresh, p8 = save(_across(prefixes, share).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more, p9 = save(verify(fresh, texts), "links")
+    paths += [p6, p7, p8, p9]
+    if more.isEmpty():
+        return found, paths
+    out, p10 = components(links.unionByName(more))
+    drop(spark, p5)
+    return out, [*(p for p in paths if p != p5), p10]

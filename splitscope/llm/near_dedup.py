@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitscope.llm.common import as_long, drop, map_arrow, mix, save, shingle_hashes, text_groups
+from splitscope.llm.common import as_long, drop, map_arrow, mix, raw_text, save, shingle_hashes, text_groups
 from splitscope.llm.linking import link_components
 
 #: Registers of a sketch; bits of a register's mantissa; bands and registers of a band.
@@ -122,6 +122,19 @@ def _linked(pairs: DataFrame) -> DataFrame:
     return map_arrow(pairs, run, "a long, b long")
 
 
+def _elements(texts: DataFrame) -> DataFrame:
+    """(id, n, key) for each shingle of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            for i, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = shingle_hashes(unpack.decompress(packed).decode("utf-8", "surrogatepass"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(np.full(len(s), len(s), np.int64)), pa.array(as_long(s))], ["id", "n", "key"])
+
+    return map_arrow(texts.select("id", "packed"), run, "id long, n long, key long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
@@ -142,37 +155,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps, reps_path = save(reps.dropDuplicates(["id", "registers"]), "representatives")
     bands = reps.select("id", "n", F.explode("keys").alias("key"))
     registers = reps.select("id", "n", "registers")
-    made_tables = [reps_path]
+    likely_tables: list[str] = []
 
-    def packed_texts(ids: DataFrame) -> DataFrame:
+    def fetch(ids: DataFrame) -> DataFrame:
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             press = zstandard.ZstdCompressor(level=3)
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], ["id", "packed"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(raw_text(t)) for t in b.column(1).to_pylist()], pa.binary())], ["id", "packed"])
 
         texts = map_arrow(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "text"), pack, "id long, packed binary")
-        out, path = save(texts.join(ids, "id", "left_semi").dropDuplicates(["id", "packed"]), "texts")
-        made_tables.append(path)
-        return out
+        return texts.join(ids, "id", "left_semi").dropDuplicates(["id", "packed"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         side = lambda x: registers.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
         likely, path = save(_likely(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")).distinct(), "likely")
-        made_tables.append(path)
-        ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-        texts = packed_texts(ids)
+        likely_tables.append(path)
         side = lambda x: texts.select(F.col("id").alias(x), F.col("packed").alias(f"t{x}"))
-        both = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").sortWithinPartitions("b")
-        return _linked(both)
+        return _linked(likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").sortWithinPartitions("b"))
 
-    found, used = link_components(bands, verify, PERCENT / 100)
+    found, used = link_components(bands, fetch, verify, _elements, PERCENT / 100)
     labels = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "set_hash").join(labels, "set_hash", "left")
     single = F.col("set_hash").isNull()
     out = out.select("doc_id", "n_shingles", F.when(single, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     out, _ = save(out, "near-duplicates")
-    drop(spark, made, path, *made_tables, *used)
+    drop(spark, made, path, reps_path, *likely_tables, *used)
     return out
 
 
