@@ -144,10 +144,8 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
-         list_filter(string_split_regex(coalesce(text, ''), '[ 	-
-]+'), lambda w: w <> '') AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ 	-
-]')) AS lines
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 windows AS (
   SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS w
@@ -164,12 +162,9 @@ base AS (
          coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN repeats USING (doc_id)),
 each_line AS (
-  SELECT doc_id, host, line, len(list_filter(string_split_regex(line, '[ 	-
-]+'), lambda w: w <> '')) AS words,
-         length(regexp_replace(line, '[ 	-
-]+', '', 'g')) AS chars,
-         lower(translate(trim(regexp_replace(line, '[ 	-
-]+', ' ', 'g')), '123456789', '000000000')) AS norm
+  SELECT doc_id, host, line, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words,
+         length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
+         lower(translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '123456789', '000000000')) AS norm
   FROM (SELECT doc_id, host, unnest(lines) AS line FROM d)),
 frequent AS (
   SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS n FROM each_line GROUP BY host, norm)
