@@ -1,7 +1,7 @@
 """From banded signatures to components: candidates by common keys, links by an exact check, no pairs within a component.
 
 A bucket (the rows of one band key) may hold a third of all rows, so its pairs are
-never all made. Each row is first paired with two pivots of its bucket, and links that hold are united. What is left are
+never all made. Each row is first paired with two pivots of its bucket (its least id and its hub), and links that hold are united. What is left are
 buckets with rows in different components, mostly rows that share a passage but are not alike. For their
 rows the pairs come from the sets themselves: two sets of similarity t or more share one of the rarest (1 - t) of
 their elements (prefix filtering, exact), and rows that share only a passage have rarer elements than its own.
@@ -19,22 +19,25 @@ from splitscope.llm.graph import components
 
 
 def _across(rows: DataFrame, share: float) -> DataFrame:
-    """Pairs (a > b) of rows (key, id, n, label) with one key, in different components, of sizes that fit.
+    """Pairs (a > b) of rows (key, id, n, label, at) with one key, in different components, that may be alike.
 
-    Rows outside a key's largest component meet all rows of other components, so
+    Sizes must fit, and so must the places of the common element: what stands from there on in both orders
+    must suffice for the similarity. Of the elements that two sets have in common, their first meets this if any does. Rows outside a key's largest component meet all rows of other components, so
     rows of one component never meet each other.
     """
     sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     known = rows.join(main.select("key", "main"), "key")
-    some = known.where("label != main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    other = known.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
-    met = some.join(other, "key").where("la != lb AND (lb = main OR a > b)").where((F.col("na") >= share * F.col("nb")) & (F.col("nb") >= share * F.col("na")))
+    some = known.where("label != main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("at").alias("ia"))
+    other = known.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("at").alias("ib"), "main")
+    fits = (F.col("na") >= share * F.col("nb")) & (F.col("nb") >= share * F.col("na"))
+    left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + 1
+    met = some.join(other, "key").where("la != lb AND (lb = main OR a > b)").where(fits & (left >= share / (1 + share) * (F.col("na") + F.col("nb")) - 1e-6))
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _prefixes(sets: DataFrame, share: float) -> DataFrame:
-    """(key, id, n, label): each set's rarest elements, as many as two sets of similarity `share` must share one of.
+    """(key, id, n, label, at): each set's rarest elements and their places in its order, as many as two sets of similarity `share` must share one of.
 
     sets: (id, label, n, key), a row for each element. Elements of one set alone
     come first in its order, and lead to no pair.
@@ -44,7 +47,8 @@ def _prefixes(sets: DataFrame, share: float) -> DataFrame:
     own = Window.partitionBy("id")  # one set's elements
     placed = shared.select("key", "id", "n", "label", F.row_number().over(own.orderBy("df", "key")).alias("at"), F.count("*").over(own).alias("some"))
     length = F.col("n") - F.ceil(F.lit(share) * F.col("n") - F.lit(1e-9)) + 1
-    return placed.where(F.col("at") <= length - (F.col("n") - F.col("some"))).select("key", "id", "n", "label")
+    at = F.col("n") - F.col("some") + F.col("at")
+    return placed.where(at <= length).select("key", "id", "n", "label", at.alias("at"))
 
 
 def link_components(
@@ -62,10 +66,14 @@ def link_components(
     """
     spark = bands.sparkSession
     row = F.struct("id", "n")
-    ends = bands.groupBy("key").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).where("lo.id < hi.id")
-    members, p1 = save(bands.join(ends, "key").select("id", "n", "key", "lo", "hi").distinct(), "members")
+    ends = bands.groupBy("key").agg(F.min(row).alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo.id < hi")
+    members, p1 = save(bands.join(ends, "key").select("id", "n", "key", "lo", "size").distinct(), "members")
     texts, p2 = save(fetch(members.select("id").distinct()), "member-texts")
-    star = members.select("id", "n", F.explode(F.array("lo", "hi")).alias("p")).where("id != p.id")
+    # the row that shares the most keys with others is nearest to the middle of its group: copies are
+    # nearer to what they are copied from than to each other
+    met = members.groupBy("id").agg(F.sum("size").alias("met"))
+    hubs = members.join(met, "id").groupBy("key").agg(F.max_by(row, F.struct("met", "id")).alias("hub"))
+    star = members.join(hubs, "key").select("id", "n", F.explode(F.array("lo", "hub")).alias("p")).where("id != p.id")
     star = star.where((F.col("n") >= share * F.col("p.n")) & (F.col("p.n") >= share * F.col("n")))
     tested, p3 = save(star.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct(), "pairs")
     links, p4 = save(verify(tested, texts), "links")

@@ -18,9 +18,9 @@ from splitscope.llm.linking import link_components
 BUCKETS, MANTISSA, BANDS, WIDTH = 128, 10, 32, 4
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Sketches of sets of this size at least fill nearly all registers; there an estimate more than
-#: five standard deviations below the threshold rules a pair out. Smaller sets are verified at once.
-FULL, LEAST = 512, 0.75 - 5 * (0.75 * 0.25 / BUCKETS) ** 0.5
+#: An estimate more than so many standard deviations below the threshold rules a pair out; the
+#: deviation follows the number of registers that a set of that size fills. Sets below SMALL are verified at once.
+DEVIATIONS, SMALL = 5.5, 32
 _U = np.uint64
 _BITS = BUCKETS.bit_length() - 1
 _FIRST = np.arange(BUCKETS, dtype=np.uint64) << _U(64 - _BITS)
@@ -96,8 +96,10 @@ def _likely(pairs: DataFrame) -> DataFrame:
             if not p.num_rows:
                 continue
             registers = [np.frombuffer(b"".join(p.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb")]
-            small = np.minimum(p.column("na").to_numpy(), p.column("nb").to_numpy()) < FULL
-            keep = pa.array(small | (estimate(*registers) >= LEAST))
+            n = np.minimum(p.column("na").to_numpy(), p.column("nb").to_numpy())
+            filled = BUCKETS * (1 - np.exp(-n / BUCKETS))
+            least = PERCENT / 100 - DEVIATIONS * np.sqrt(PERCENT * (100 - PERCENT) / 1e4 / filled)
+            keep = pa.array((n < SMALL) | (estimate(*registers) >= least))
             yield p.select(["a", "b"]).filter(keep)
 
     return map_arrow(pairs, run, "a long, b long")
