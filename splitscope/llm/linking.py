@@ -2,8 +2,8 @@
 
 A bucket (the rows of one band key) may hold a third of all rows, so its pairs are
 never all made. Each row is first paired with two pivots of its bucket (its least id and its hub), and links that hold are united. What is left are
-buckets with rows in different components, mostly rows that share a passage but are not alike. For their
-rows the pairs come from the sets themselves: two sets of similarity t or more share one of the rarest (1 - t) of
+buckets with rows in different components, mostly rows that share a passage but are not alike. Small ones
+give their pairs across components. For the rows of larger ones the pairs come from the sets themselves: two sets of similarity t or more share one of the rarest (1 - t) of
 their elements (prefix filtering, exact), and rows that share only a passage have rarer elements than its own.
 """
 
@@ -18,12 +18,17 @@ from splitscope.llm.common import drop, save
 from splitscope.llm.graph import components
 
 
-def _across(rows: DataFrame, share: float) -> DataFrame:
+#: Rows of a bucket up to which its pairs across components are made: a row then has fewer than so many in each.
+SMALL = 32
+
+
+def _across(rows: DataFrame, share: float, placed: bool) -> DataFrame:
     """Pairs (a > b) of rows (key, id, n, label, at) with one key, in different components, that may be alike.
 
-    Sizes must fit, and so must the places of the common element: what stands from there on in both orders
-    must suffice for the similarity. Of the elements that two sets have in common, their first meets this if any does. Rows outside a key's largest component meet all rows of other components, so
-    rows of one component never meet each other.
+    Rows outside a key's largest component meet all rows of other components, so
+    rows of one component never meet each other. If the key is an element in its place `at`, sizes must fit, and
+    what stands from there on in both orders must suffice for the similarity: the first
+    element that two similar sets have in common does.
     """
     sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
@@ -32,7 +37,8 @@ def _across(rows: DataFrame, share: float) -> DataFrame:
     other = known.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("at").alias("ib"), "main")
     fits = (F.col("na") >= share * F.col("nb")) & (F.col("nb") >= share * F.col("na"))
     left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + 1
-    met = some.join(other, "key").where("la != lb AND (lb = main OR a > b)").where(fits & (left >= share / (1 + share) * (F.col("na") + F.col("nb")) - 1e-6))
+    enough = fits & (left >= share / (1 + share) * (F.col("na") + F.col("nb")) - 1e-6)
+    met = some.join(other, "key").where("la != lb AND (lb = main OR a > b)").where(enough if placed else F.lit(True))
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -81,12 +87,15 @@ def link_components(
     paths = [p1, p2, p3, p4, p5]
 
     labels = found.withColumnRenamed("node", "id")
-    labelled = members.select("id", "key").join(labels, "id", "left").select("id", "key", F.coalesce("component", "id").alias("label"))
+    labelled = members.select("id", "n", "key", "size").join(labels, "id", "left").select("id", "n", "key", "size", F.coalesce("component", "id").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    nodes, p6 = save(labelled.join(mixed, "key").select("id", "label").distinct(), "open")
+    rows, p6 = save(labelled.join(mixed, "key"), "open")
+    nodes = rows.where(F.col("size") > SMALL).select("id", "label").distinct()
     sets = elements(texts.join(nodes, "id", "left_semi")).join(nodes, "id")
     prefixes, p7 = save(_prefixes(sets, share), "prefixes")
-    fresh, p8 = save(_across(prefixes, share).join(tested, ["a", "b"], "left_anti"), "pairs")
+    few = _across(rows.where(F.col("size") <= SMALL).withColumn("at", F.lit(1)), share, False)
+    pairs = few.unionByName(_across(prefixes, share, True)).distinct()
+    fresh, p8 = save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     more, p9 = save(verify(fresh, texts), "links")
     paths += [p6, p7, p8, p9]
     if more.isEmpty():

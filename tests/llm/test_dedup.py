@@ -47,8 +47,10 @@ def test_components_of_random_graphs(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long"))[0].collect() == []
 
 
-def test_linking_finds_all_links_of_a_bucket(spark):
+@pytest.mark.parametrize("small", [2, 10, 1000])
+def test_linking_finds_all_links_of_a_bucket(spark, monkeypatch, small):
     """Sets of neighbouring numbers in one bucket: most links are not with a pivot."""
+    monkeypatch.setattr(linking, "SMALL", small)
     r = random.Random(4)
     sets = {x: set(range(x, x + r.randint(8, 14))) | {1000 + x % 5} for x in r.sample(range(120), 60)}
     share = 0.6
