@@ -49,7 +49,7 @@ def run_workflow(spark, sf_dir: str, out_dir: str) -> tuple[dict[str, float], fl
     users = timed("user_metrics", lambda: pipeline.user_metrics_table(spark, sf_dir, NB, materialized=True,
                                                                     sessions=clean))
     timed("eda", lambda: pipeline.run_concurrently(
-        lambda: eda.session_length_distribution(clean, NB, "exact").collect(),
+        lambda: eda.session_length_distribution(clean, NB).collect(),
         lambda: eda.revenue_vs_control(clean, NB, "exact").collect(),
         lambda: eda.ads_by_cohort(clean, NB).collect(),
     ))

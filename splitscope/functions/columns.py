@@ -30,14 +30,18 @@ def delta_pct(delta: Column, base: Column) -> Column:
     return F.when(base != 0, delta / base * F.lit(100.0)).otherwise(F.lit(0.0))
 
 
-EXACT_DECIMAL = "decimal(38,6)"
+#: Relative step that carries a double on or just below a rounding midpoint across it, away from zero.
+_NUDGE = 1.0 + 1e-12
 
 
-def exact_avg(c: Column | str, digits: int) -> Column:
-    """ROUND(AVG(x), digits) computed on exact decimals (half away from zero).
+def round_half_up(c: Column | str, digits: int) -> Column:
+    """ROUND to `digits`, half away from zero, whatever the last bits of a double sum.
 
-    A double mean depends on summation order, so a mean that lies exactly on a
-    rounding midpoint (e.g. 27.455) may round either way; the decimal sum is
-    exact, so the published rounding is reproducible on any partitioning.
+    A mean depends on the order of its sum, so one that lies on a midpoint (27.455) may come out
+    a few units in the last place below it. The step is relative: signs, infinities and small values stay.
     """
-    return F.round(F.avg(col(c).cast(EXACT_DECIMAL)), digits).cast("double")
+    return F.round(col(c) * F.lit(_NUDGE), digits)
+
+
+def rounded_avg(c: Column | str, digits: int) -> Column:
+    return round_half_up(F.avg(col(c)), digits)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitscope.functions.columns import exact_avg
+from splitscope.functions.columns import rounded_avg
 from splitscope.functions.regions import OTHER_REGION
 from splitscope.spec import ExperimentSpec, NOTEBOOK_SPEC, TEMPLATE_SPEC
 
@@ -19,8 +19,7 @@ _METRICS = {
     "avg_session_length_sec": (lambda s: F.col(s.continuous_metric), 1, 2),
     "avg_median_session_length_sec": (lambda s: F.col(s.median_metric), 1, 2),
 }
-# Means of exact decimal inputs (counts, flags, 2-dp values) are rounded exactly;
-# ARPU is a mean of unrounded revenue sums and stays in double.
+# Means that may lie on a rounding midpoint (of counts, flags and two-decimal values).
 _EXACT = {"d1_retention_pct", "avg_sessions_per_user", "avg_session_length_sec", "avg_median_session_length_sec"}
 
 FULL = ("arpu", "d1_retention_pct", "avg_sessions_per_user", "avg_session_length_sec", "avg_median_session_length_sec")
@@ -38,12 +37,12 @@ def cohort_breakdown(
     df = users
     if exclude_other and spec.region_col in keys:
         df = df.where(F.col(spec.region_col) != OTHER_REGION)  # also drops NULL regions
-    aggs = [F.count_distinct(spec.user_col).alias("total_users")]
+    aggs = [F.count(spec.user_col).alias("total_users")]  # `users` has a row for each user
     for m in metrics:
         expr, scale, digits = _METRICS[m]
         x = expr(spec)
         if rounded and m in _EXACT:
-            e = exact_avg(x * F.lit(scale), digits)
+            e = rounded_avg(x * F.lit(scale), digits)
         elif rounded:
             e = F.round(F.avg(x) * scale, digits)
         else:

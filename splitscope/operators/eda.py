@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitscope.operators.quantiles import join_on, quantiles
+from splitscope.functions.columns import round_half_up
+from splitscope.operators.quantiles import disc_rank0, join_on, quantiles, rank_value, value_ranks
 from splitscope.spec import ExperimentSpec, NOTEBOOK_SPEC
 
 
@@ -15,46 +16,43 @@ def percentile_limits(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC,
     return quantiles(sessions, [spec.cohort_col], spec.length_col, {"p05_limit": lower, "p95_limit": upper}, mode)
 
 
-def session_length_distribution(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC,
-                                mode: str = "exact") -> DataFrame:
+def _inside(lower: float, upper: float) -> Column:
+    """Whether a histogram row's value lies between the two quantiles, both included."""
+    before, f, n = F.col("before__f"), F.col("_f"), F.col("total__f")
+    return (before + f > disc_rank0(lower, n)) & (before <= disc_rank0(upper, n))
+
+
+def _mean(value: Column, weight: Column) -> Column:
+    return F.try_divide(F.sum(value * weight), F.sum(weight).cast("double"))
+
+
+def session_length_distribution(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC) -> DataFrame:
     """Count, mean, stddev, p10/p50/p90 and the 5 % trimmed mean (bounds inclusive) per cohort.
 
-    All five quantiles come from one quantile pass; its result has one row per
-    cohort, so joining the limits back to the sessions is a broadcast at any
-    data size (AQE sees its real size).
+    All are weighted sums over the value histogram: sessions are read once and
+    never joined or shuffled on the cohort.
     """
-    cohort, length = spec.cohort_col, F.col(spec.length_col)
-    qs = quantiles(
-        sessions, [cohort], spec.length_col,
-        {"p05_limit": 0.05, "p95_limit": 0.95, "median_session_length": 0.5,
-         "p10_session_length": 0.10, "p90_session_length": 0.90},
-        mode,
-    )
-    moments = sessions.join(qs, spec.cohort_col, "inner").groupBy(
-        cohort, "median_session_length", "p10_session_length", "p90_session_length"
-    ).agg(
-        F.count(length).alias("total_sessions"),
-        F.round(F.avg(length), 2).alias("avg_session_length_sec"),
-        F.round(F.stddev_samp(length), 2).alias("stddev_session_length"),
-        F.round(
-            F.avg(F.when((length >= F.col("p05_limit")) & (length <= F.col("p95_limit")), length)), 2
-        ).alias("trimmed_mean_5pct"),
-    )
-    return moments.select(
-        cohort, "total_sessions", "avg_session_length_sec", "stddev_session_length", "median_session_length",
-        "p10_session_length", "p90_session_length", "trimmed_mean_5pct",
+    v, f, before, n = F.col(spec.length_col), F.col("_f"), F.col("before__f"), F.col("total__f")
+    total = F.sum(f).cast("double")
+    spread = F.greatest(F.sum(v * v * f) - F.sum(v * f) * F.sum(v * f) / total, F.lit(0.0))
+    at = {"median_session_length": 0.5, "p10_session_length": 0.10, "p90_session_length": 0.90}
+    return value_ranks(sessions, [spec.cohort_col], spec.length_col).groupBy(spec.cohort_col).agg(
+        F.sum(f).alias("total_sessions"),
+        round_half_up(_mean(v, f), 2).alias("avg_session_length_sec"),
+        round_half_up(F.when(F.sum(f) > 1, F.sqrt(spread / (total - 1))), 2).alias("stddev_session_length"),
+        *[rank_value(before, f, v, disc_rank0(q, n)).alias(name) for name, q in at.items()],
+        round_half_up(_mean(v, F.when(_inside(0.05, 0.95), f)), 2).alias("trimmed_mean_5pct"),
     ).orderBy(F.desc("avg_session_length_sec"))
 
 
-def trimmed_mean(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC, mode: str = "exact",
+def trimmed_mean(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC,
                  lower: float = 0.05, upper: float = 0.95) -> DataFrame:
-    """Mean of the values between the per-cohort limits, both bounds included."""
-    length = F.col(spec.length_col)
-    limits = percentile_limits(sessions, spec, mode, lower, upper)
-    return (
-        sessions.join(limits, spec.cohort_col, "inner")
-        .groupBy(spec.cohort_col, "p05_limit", "p95_limit")
-        .agg(F.avg(F.when((length >= F.col("p05_limit")) & (length <= F.col("p95_limit")), length)).alias("trimmed_mean"))
+    """The per-cohort limits and the mean of the values between them, both bounds included."""
+    v, f, before, n = F.col(spec.length_col), F.col("_f"), F.col("before__f"), F.col("total__f")
+    return value_ranks(sessions, [spec.cohort_col], spec.length_col).groupBy(spec.cohort_col).agg(
+        rank_value(before, f, v, disc_rank0(lower, n)).alias("p05_limit"),
+        rank_value(before, f, v, disc_rank0(upper, n)).alias("p95_limit"),
+        _mean(v, F.when(_inside(lower, upper), f)).alias("trimmed_mean"),
     )
 
 

@@ -5,18 +5,13 @@ a per-group value map (held by one task) or a window over the whole group, we
 
 1. aggregate a histogram: one row per (group, value) with counts (partial
    aggregation, so a hot value or hot group is combined map-side);
-2. cut each group's distinct values into buckets at approximate quantile
-   boundaries (a small groups x buckets frame), so equal values never straddle;
-3. prefix-sum the bucket totals (a window over at most `buckets` rows per group);
-4. run the within-bucket prefix sum (a window partitioned by group and bucket)
-   and add the bucket offset.
-
-Each window partition then holds about distinct_values / buckets rows.
-The histogram is written once (it feeds several branches) and counted. When
-the whole histogram has at most SINGLE_WINDOW_MAX_ROWS rows, no group can
-exceed that either, and one window per group replaces steps 2-4 (a size-checked
-plan choice, like a guarded broadcast); above it, the bucket count follows the
-histogram size (`buckets_for`).
+2. range-partition it by (group, value) and write it with each row's piece: Spark
+   samples the keys, so pieces are even however large one group is, and their
+   number is that of the shuffle partitions, which is sized to the data;
+3. prefix-sum the pieces' totals (a window over at most one row a piece);
+4. run the prefix sum within each (group, piece) and add the piece's offset.
+
+There is one path at all sizes; no window holds more than a piece.
 """
 
 from __future__ import annotations
@@ -29,21 +24,6 @@ from pyspark.sql import functions as F
 from splitscope.session import materialize
 
 APPROX_ACCURACY = 10000
-SINGLE_WINDOW_MAX_ROWS = 2_000_000
-BUCKET_TARGET_ROWS = 1_000_000  # rows per (group, bucket) window partition
-MAX_BUCKETS = 1024  # bucket assignment compares a value with every bound
-
-
-def buckets_for(hist_rows: int) -> int:
-    """Buckets per group for a histogram of `hist_rows` rows.
-
-    One bucket (a single window per group) up to SINGLE_WINDOW_MAX_ROWS; above
-    that, enough buckets for about BUCKET_TARGET_ROWS rows per window partition
-    (the largest group has at most `hist_rows` rows), capped at MAX_BUCKETS.
-    """
-    if hist_rows <= SINGLE_WINDOW_MAX_ROWS:
-        return 1
-    return min(MAX_BUCKETS, -(-hist_rows // BUCKET_TARGET_ROWS))
 
 
 def join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
@@ -58,49 +38,28 @@ def join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "
     return left.join(r, cond, how).drop(*[f"__r_{c}" for c in cols])
 
 
-def running_counts(
-    hist: DataFrame,
-    group_cols: Sequence[str],
-    value_col: str,
-    count_cols: Sequence[str],
-    buckets: int | None = None,
-) -> DataFrame:
+def running_counts(hist: DataFrame, group_cols: Sequence[str], value_col: str, count_cols: Sequence[str]) -> DataFrame:
     """Add `before_<c>` (sum of count column c over strictly smaller values of the group)
     and `total_<c>` (its sum over the whole group).
 
     `hist` must hold one row per (group, value).
     """
     group_cols = list(group_cols)
-    if buckets is None:
-        buckets = buckets_for(hist.count())
-    if buckets <= 1:
-        w_group = Window.partitionBy(*group_cols)
-        w_before = w_group.orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-        return hist.select(
-            *hist.columns,
-            *[F.coalesce(F.sum(c).over(w_before), F.lit(0)).cast("bigint").alias(f"before_{c}") for c in count_cols],
-            *[F.sum(c).over(w_group).cast("bigint").alias(f"total_{c}") for c in count_cols],
-        )
-    b = buckets
-    fracs = [i / b for i in range(1, b)]
-    v = F.col(value_col)
-    bounds = hist.groupBy(*group_cols).agg(
-        F.percentile_approx(v.cast("double"), fracs, APPROX_ACCURACY).alias("_bounds")
+    # the pieces feed two branches: written once, they are the same in both
+    h = materialize(
+        hist.repartitionByRange(*group_cols, value_col).withColumn("_piece", F.spark_partition_id()), "value_histogram"
     )
-    h = join_on(hist, bounds, group_cols)
-    h = h.withColumn("_bucket", F.size(F.filter("_bounds", lambda x: x < v.cast("double")))).drop("_bounds")
-    # groups x buckets rows: offsets of each bucket and the group totals
-    totals = h.groupBy(*group_cols, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in count_cols])
+    totals = h.groupBy(*group_cols, "_piece").agg(*[F.sum(c).alias(f"_t_{c}") for c in count_cols])
     w_group = Window.partitionBy(*group_cols)
-    w_before = w_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    w_before = w_group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *group_cols,
-        "_bucket",
+        "_piece",
         *[F.coalesce(F.sum(f"_t_{c}").over(w_before), F.lit(0)).cast("bigint").alias(f"_o_{c}") for c in count_cols],
         *[F.sum(f"_t_{c}").over(w_group).cast("bigint").alias(f"total_{c}") for c in count_cols],
     )
-    h = join_on(h, offsets, group_cols + ["_bucket"])
-    w_in = Window.partitionBy(*group_cols, "_bucket").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    h = join_on(h, offsets, group_cols + ["_piece"])
+    w_in = Window.partitionBy(*group_cols, "_piece").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
     h = h.select(
         *h.columns,
         *[
@@ -108,7 +67,7 @@ def running_counts(
             for c in count_cols
         ],
     )
-    return h.drop("_bucket", *[f"_o_{c}" for c in count_cols])
+    return h.drop("_piece", *[f"_o_{c}" for c in count_cols])
 
 
 def rank_value(before: Column, f: Column, value: Column, rank0: Column) -> Column:
@@ -122,13 +81,18 @@ def disc_rank0(q: float, n: Column) -> Column:
     return F.greatest(k, F.lit(1)) - 1
 
 
+def value_ranks(df: DataFrame, group_cols: Sequence[str], value_col: str) -> DataFrame:
+    """One row per (group, value) with its count `_f`, `before__f` and `total__f`. NULL values are ignored."""
+    hist = df.where(F.col(value_col).isNotNull()).groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_f"))
+    return running_counts(hist, group_cols, value_col, ["_f"])
+
+
 def exact_quantiles(
     df: DataFrame,
     group_cols: Sequence[str],
     value_col: str,
     qs: Mapping[str, float],
     kind: str = "disc",
-    buckets: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per group: `kind='disc'` (PERCENTILE_DISC) or 'cont' (interpolated).
 
@@ -136,10 +100,7 @@ def exact_quantiles(
     """
     group_cols = list(group_cols)
     v = F.col(value_col)
-    hist = df.where(v.isNotNull()).groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_f"))
-    # the histogram feeds three branches (bounds, bucket totals, prefix sums):
-    # written once, it is aggregated once
-    h = running_counts(materialize(hist, "value_histogram"), group_cols, value_col, ["_f"], buckets)
+    h = value_ranks(df, group_cols, value_col)
     before, f, nn = F.col("before__f"), F.col("_f"), F.col("total__f")
     aggs = []
     for name, q in qs.items():
@@ -171,10 +132,9 @@ def approx_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str, q
     )
 
 
-def quantiles(df: DataFrame, group_cols, value_col: str, qs: Mapping[str, float], mode: str = "exact",
-              buckets: int | None = None) -> DataFrame:
+def quantiles(df: DataFrame, group_cols, value_col: str, qs: Mapping[str, float], mode: str = "exact") -> DataFrame:
     if mode == "exact":
-        return exact_quantiles(df, group_cols, value_col, qs, "disc", buckets)
+        return exact_quantiles(df, group_cols, value_col, qs, "disc")
     if mode == "approx":
         return approx_quantiles(df, group_cols, value_col, qs)
     raise ValueError(f"unknown quantile mode {mode!r}")

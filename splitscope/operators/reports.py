@@ -133,7 +133,7 @@ def write_exports(tables: dict[str, DataFrame], out_dir: str, parallel: int = 4)
     def one(item):
         name, df = item
         path = os.path.join(out_dir, name)
-        write_csv(df.coalesce(1), path)  # each table has at most segments x cohorts rows
+        write_csv(df.repartition(1), path)  # each table has at most segments x cohorts rows
         return path
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:

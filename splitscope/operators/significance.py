@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from splitscope.functions.columns import delta_pct, nan_to_null
 from splitscope.functions.tails import t_pvalue, z_pvalue
 from splitscope.operators.quantiles import join_on, running_counts
-from splitscope.session import materialize
 from splitscope.spec import ExperimentSpec, NOTEBOOK_SPEC, Thresholds
 
 LEVELS = ("global", "platform", "region")
@@ -205,7 +204,7 @@ def prop_ztest(users: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC, levels: S
 
 # ---------------------------------------------------------------- H9-H10 ranks
 def rank_statistics(users: DataFrame, metric: str, spec: ExperimentSpec = NOTEBOOK_SPEC,
-                    levels: Sequence[str] = LEVELS, buckets: int | None = None) -> DataFrame:
+                    levels: Sequence[str] = LEVELS) -> DataFrame:
     """Per (segment, cohort): n, U against control, tie term and exact median; control columns alongside."""
     cohorts = list(spec.all_cohorts)  # index 0 is control
     u = users.where(F.col(spec.cohort_col).isin(*cohorts)).select(
@@ -215,7 +214,7 @@ def rank_statistics(users: DataFrame, metric: str, spec: ExperimentSpec = NOTEBO
     hist = segmented_agg(
         u, spec, levels, ["_v"], [F.count_if(F.col(spec.cohort_col) == c).alias(f) for c, f in zip(cohorts, fcols)]
     )
-    h = running_counts(materialize(hist, "rank_histogram"), SEG, "_v", fcols, buckets)
+    h = running_counts(hist, SEG, "_v", fcols)
     v = F.col("_v")
     f0, c0 = F.col("_f0").cast("double"), F.col("before__f0").cast("double")
     aggs = []
@@ -274,11 +273,10 @@ def mw_columns(spec: ExperimentSpec, th: Thresholds = Thresholds()) -> dict[str,
 
 
 def mannwhitney(users: DataFrame, metric: str, spec: ExperimentSpec = NOTEBOOK_SPEC, levels: Sequence[str] = LEVELS,
-                cohorts: Sequence[str] | None = None, th: Thresholds = Thresholds(),
-                buckets: int | None = None) -> DataFrame:
+                cohorts: Sequence[str] | None = None, th: Thresholds = Thresholds()) -> DataFrame:
     """Mann-Whitney U (two-sided, tie-corrected normal approximation with continuity)."""
     cohorts = list(cohorts or spec.test_cohorts)
-    rs = rank_statistics(users, metric, spec, levels, buckets).where(F.col("cohort").isin(*cohorts))
+    rs = rank_statistics(users, metric, spec, levels).where(F.col("cohort").isin(*cohorts))
     return rs.select(*SEG, "cohort", *named(mw_columns(spec, th)))
 
 
@@ -287,8 +285,7 @@ TEST_PREFIXES = ("arpu", "d1", "avg_session", "med_session")
 
 
 def all_tests(users: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC, levels: Sequence[str] = LEVELS,
-              cohorts: Sequence[str] | None = None, th: Thresholds = Thresholds(),
-              buckets: int | None = None) -> DataFrame:
+              cohorts: Sequence[str] | None = None, th: Thresholds = Thresholds()) -> DataFrame:
     """One row per (segment, cohort) with the four tests side by side (prefixed columns).
 
     Two distributed aggregates in total (sufficient statistics, value histogram);
@@ -304,6 +301,6 @@ def all_tests(users: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC, levels: Se
         *named(prop_columns(spec.binary_metric, spec, th), "d1_"),
         *named(welch_columns(spec.continuous_metric, spec, th), "avg_session_"),
     )
-    mw = mannwhitney(users, spec.median_metric, spec, levels, cohorts, th, buckets)
+    mw = mannwhitney(users, spec.median_metric, spec, levels, cohorts, th)
     mw = mw.select(*SEG, "cohort", *[F.col(c).alias(f"med_session_{c}") for c in mw.columns if c not in SEG + ["cohort"]])
     return join_on(wide, mw, SEG + ["cohort"], "left")

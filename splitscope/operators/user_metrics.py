@@ -7,16 +7,26 @@ flag works on distinct (user, day) pairs, at most one per user and day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from splitscope.functions.columns import exact_avg
+from splitscope.functions.columns import rounded_avg
 from splitscope.operators.quantiles import APPROX_ACCURACY
 from splitscope.spec import ExperimentSpec, NOTEBOOK_SPEC, TEMPLATE_SPEC
 
 
-def user_base(sessions_clean: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC) -> DataFrame:
-    """One row per user. ANY_VALUE dims are taken as MIN (deterministic).
+def _days(spec: ExperimentSpec) -> Column:
+    """Aggregate: a user's distinct calendar days (at most one for each day of the data)."""
+    return F.collect_set(F.to_date(F.col(spec.time_col)))
+
+
+def _returned(days: str) -> Column:
+    """1 if the day after the first is among a user's days."""
+    return F.array_contains(days, F.date_add(F.array_min(days), 1)).cast("int")
+
+
+def user_base(sessions_clean: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC, *more: Column) -> DataFrame:
+    """One row per user. ANY_VALUE dims are taken as MIN (deterministic). `more`: further aggregates.
 
     The per-user median is the sketch quantile (as the warehouse's approximate
     quantile): bounded memory per user however many sessions a user has.
@@ -31,11 +41,12 @@ def user_base(sessions_clean: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC) -
         F.min("acquired_at").alias("acquired_at"),
         F.sum(spec.revenue_col).alias("total_revenue"),
         F.count(F.lit(1)).alias("total_sessions"),
-        exact_avg(length, 2).alias("avg_session_length"),
+        rounded_avg(length, 2).alias("avg_session_length"),
         F.percentile_approx(length, 0.5, APPROX_ACCURACY).alias("median_session_length"),
         F.sum("fs_shown").alias("total_fs_shown"),
         F.sum("rv_shown").alias("total_rv_shown"),
         F.sum("activity_count").alias("total_activity_count"),
+        *more,
     )
 
 
@@ -86,12 +97,13 @@ def d1_retention(sessions_clean: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC
 
 def user_metrics_full(sessions_clean: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC,
                       exclude_censored: bool = False) -> DataFrame:
-    """user_base LEFT JOIN d1 on the user: both sides are already hash-partitioned by it."""
-    base = user_base(sessions_clean, spec)
-    d1 = d1_retention(sessions_clean, spec, exclude_censored).select(
-        spec.user_col, F.col("returned_d1").cast("int")
-    )
-    return base.join(d1, spec.user_col, "left")
+    """user_base with the day-1 flag, from the same aggregate: sessions are read and shuffled once."""
+    out = user_base(sessions_clean, spec, _days(spec).alias("_days"))
+    returned = _returned("_days")
+    if exclude_censored:
+        last_day = sessions_clean.select(F.max(F.to_date(F.col(spec.time_col)))).scalar()
+        returned = F.when(F.array_min("_days") < last_day, returned)
+    return out.withColumn("returned_d1", returned).drop("_days")
 
 
 def d1_retention_join(sessions: DataFrame, spec: ExperimentSpec = TEMPLATE_SPEC) -> DataFrame:
@@ -116,7 +128,9 @@ def user_activity(cleaned: DataFrame, spec: ExperimentSpec = TEMPLATE_SPEC) -> D
     """Template user metrics: unrounded mean and interpolated (continuous) median per user.
 
     `cleaned` has one row per (user, session), so COUNT(session) equals
-    COUNT(DISTINCT session) and needs no distinct-aggregate expansion.
+    COUNT(DISTINCT session) and needs no distinct-aggregate expansion. The day-1 flag comes
+    from the same aggregate. Users without an id leave, as in a join on it. The
+    exact median holds one user's distinct lengths.
     """
     length = F.col(spec.length_col)
     agg = cleaned.groupBy(spec.user_col).agg(
@@ -127,9 +141,9 @@ def user_activity(cleaned: DataFrame, spec: ExperimentSpec = TEMPLATE_SPEC) -> D
         F.count(spec.session_col).alias("total_sessions"),
         F.avg(length).alias("avg_session_length"),
         F.median(length).alias("median_session_length"),
+        _days(spec).alias("_days"),
     )
-    d1 = d1_retention_join(cleaned, spec).select(spec.user_col, F.col("returned_d1").cast("int"))
-    return agg.join(d1, spec.user_col, "inner").select(
+    return agg.where(F.col(spec.user_col).isNotNull()).withColumn("returned_d1", _returned("_days")).select(
         spec.user_col, spec.cohort_col, spec.platform_col, spec.region_col, "total_revenue", "returned_d1",
         "total_sessions", "avg_session_length", "median_session_length",
     )

@@ -13,3 +13,11 @@ def spark():
     s = local_session("*", shuffle_partitions=8, app="splitscope-tests")
     yield s
     s.stop()
+
+
+@pytest.fixture(autouse=True)
+def eight_partitions(request):
+    """Tests that change the number of shuffle partitions leave it as it was."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").conf.set("spark.sql.shuffle.partitions", 8)

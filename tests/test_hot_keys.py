@@ -31,7 +31,7 @@ def test_hot_user_keeps_exact_user_metrics(spark):
 def test_hot_value_in_exact_quantiles_and_ranks(spark):
     vals = [0.0] * 400 + [float(v) for v in range(1, 801)]  # one value holds a third of the rows
     df = spark.createDataFrame([("g", v) for v in vals], "g string, v double").repartition(8)
-    got = exact_quantiles(df, ["g"], "v", {"p25": 0.25, "p50": 0.5, "p90": 0.9}, "cont", buckets=4).first()
+    got = exact_quantiles(df, ["g"], "v", {"p25": 0.25, "p50": 0.5, "p90": 0.9}, "cont").first()
     for name, q in (("p25", 0.25), ("p50", 0.5), ("p90", 0.9)):
         assert getattr(got, name) == pytest.approx(float(np.quantile(vals, q)))
     from tests.test_significance import _brute_mw, _users
@@ -39,7 +39,6 @@ def test_hot_value_in_exact_quantiles_and_ranks(spark):
     x = [0.0] * 40 + [float(v) for v in range(40)]
     y = [0.0] * 60 + [float(v) for v in range(0, 80, 2)]
     users = _users(spark, {"xHigh": x, "control": y})
-    r = significance.mannwhitney(users, "median_session_length", levels=("global",), cohorts=["xHigh"],
-                                 buckets=4).first()
+    r = significance.mannwhitney(users, "median_session_length", levels=("global",), cohorts=["xHigh"]).first()
     u, p = _brute_mw(x, y)
     assert r.u_stat == pytest.approx(u) and r.p_value == pytest.approx(p, abs=1e-12)

@@ -45,8 +45,9 @@ def test_mannwhitney_matches_brute_force(spark, seed, distinct):
     x = [float(rnd.randrange(distinct)) for _ in range(45)]
     y = [float(rnd.randrange(distinct)) + (1 if seed == 2 else 0) for _ in range(60)]
     users = _users(spark, {"control": y, "xHigh": x})
-    for buckets in (1, 3, 16):
-        r = S.mannwhitney(users, "median_session_length", levels=LEVEL, cohorts=["xHigh"], buckets=buckets).first()
+    for parts in (1, 3, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        r = S.mannwhitney(users, "median_session_length", levels=LEVEL, cohorts=["xHigh"]).first()
         u, p = _brute_mw(x, y)
         assert r.u_stat == pytest.approx(u)
         assert r.p_value == pytest.approx(p, abs=1e-12)
@@ -150,8 +151,9 @@ def test_exact_quantiles_against_numpy(spark, kind):
     data = [(g, float(rnd.randrange(30))) for g in ("a", "b") for _ in range(rnd.randrange(20, 90))]
     df = spark.createDataFrame(data, "g string, v double")
     qs = {"q05": 0.05, "q50": 0.5, "q95": 0.95, "q10": 0.1}
-    for buckets in (1, 5):
-        got = {r.g: r for r in exact_quantiles(df, ["g"], "v", qs, kind, buckets).collect()}
+    for parts in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r.g: r for r in exact_quantiles(df, ["g"], "v", qs, kind).collect()}
         for g in ("a", "b"):
             vals = np.sort([v for gg, v in data if gg == g])
             for name, q in qs.items():

@@ -65,12 +65,29 @@ def test_cluster_conf_sizes_partitions_to_the_input():
     assert conf["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
 
 
-def test_quantile_buckets_follow_histogram_size():
-    from splitscope.operators.quantiles import MAX_BUCKETS, buckets_for
-
-    assert buckets_for(10) == 1 and buckets_for(2_000_000) == 1
-    assert buckets_for(2_000_001) == 3
-    assert buckets_for(10 ** 12) == MAX_BUCKETS
+def test_no_task_holds_a_whole_group_of_distinct_values(spark):
+    """One group of two million distinct values: its prefix sums come from even pieces."""
+    from splitscope.operators.quantiles import value_ranks
+
+    n = 2_000_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(n).select(F.lit("g").alias("g"), (F.col("id") * 7919 % n).cast("double").alias("v"))
+        ranks = value_ranks(df, ["g"], "v")
+        # within the group the running count of a value is the value itself
+        assert ranks.where("before__f != v OR total__f != 2000000").count() == 0
+        sizes = [r["count"] for r in ranks.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < n // 2
+
+
+def test_rounded_means_keep_infinities_and_signs(spark):
+    from splitscope.functions.columns import round_half_up, rounded_avg
+
+    df = spark.createDataFrame([(1.0, 4e-7, -0.1234565), (float("inf"), 4e-7, -0.1234565)], "a double, b double, c double")
+    r = df.agg(rounded_avg("a", 2).alias("a"), rounded_avg("b", 8).alias("b"), rounded_avg("c", 6).alias("c"), round_half_up(F.lit(27.455), 2).alias("d")).first()
+    assert (r.a, r.b, r.c, r.d) == (float("inf"), 4e-7, -0.123457, 27.46)
 
 
 def test_run_concurrently_keeps_argument_order(spark):
