@@ -32,7 +32,7 @@ class OSpec:
 
 
 NB = OSpec()
-TP = OSpec(users="user_activity", cohort="cohort_name", platforms=None, exclude_other=True,
+TP = OSpec(users="activity", cohort="cohort_name", platforms=None, exclude_other=True,
            tests=("xxHigh", "xHigh", "gameTune"))
 
 

@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from splitscope.functions.columns import round_half_up
 from splitscope.operators import (
     breakdowns, cleaning, decision, eda, profiling, quality, reports, significance, user_metrics,
 )
 from splitscope.plans import pipeline
-from splitscope.sources import testdata
+from splitscope.sources import files, testdata
 from splitscope.spec import NOTEBOOK_SPEC as NB, TEMPLATE_SPEC as TP
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,13 +37,13 @@ def register(name: str):
 def _r(df: DataFrame, digits: int = 6, only: tuple[str, ...] | None = None) -> DataFrame:
     """Round double columns (all, or `only`) for cross-engine comparison.
 
-    The 1e-9 added before rounding breaks exact decimal midpoints the same way
-    in both engines (sums in a different order land on either side of them).
+    Midpoints go away from zero in both engines, though sums in a different
+    order land on either side of them.
     """
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DoubleType) and (only is None or f.name in only):
-            cols.append(F.round(F.col(f.name) + F.lit(1e-9), digits).alias(f.name))
+            cols.append(round_half_up(f.name, digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -182,12 +183,12 @@ def cohort_percentile_limits(spark, sf):
 
 @register("session_length_distribution")
 def session_length_distribution(spark, sf):
-    return eda.session_length_distribution(_clean(spark, sf), NB, "exact")
+    return eda.session_length_distribution(_clean(spark, sf), NB)
 
 
 @register("trimmed_mean")
 def trimmed_mean(spark, sf):
-    return _r(eda.trimmed_mean(_clean(spark, sf), NB, "exact"))
+    return _r(eda.trimmed_mean(_clean(spark, sf), NB))
 
 
 @register("revenue_distribution")
@@ -405,7 +406,7 @@ def export_region_detailed(spark, sf):
 
 # ---- a second session source: the events table ------------------------------
 def _event_sessions(spark, sf):
-    return testdata.ingest(testdata.sessions_from_events(spark, sf))
+    return files.ingest(testdata.sessions_from_events(spark, sf))
 
 
 @register("events_profile_date_range")
@@ -427,14 +428,3 @@ def events_d1_retention(spark, sf):
 def events_platform_breakdown(spark, sf):
     users = user_metrics.user_metrics_full(cleaning.sessions_clean(_event_sessions(spark, sf), NB), NB)
     return breakdowns.platform_breakdown(users, NB)
-
-
-# ---- sketch-quantile modes (rows-only checks; rank error is tested in pytest) ----
-@register("cohort_percentile_limits_approx")
-def cohort_percentile_limits_approx(spark, sf):
-    return eda.percentile_limits(_clean(spark, sf), NB, "approx")
-
-
-@register("session_length_distribution_approx")
-def session_length_distribution_approx(spark, sf):
-    return eda.session_length_distribution(_clean(spark, sf), NB, "approx")

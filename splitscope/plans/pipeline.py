@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from splitscope.operators import cleaning, user_metrics
 from splitscope.session import materialize
-from splitscope.sources import testdata
+from splitscope.sources import files, testdata
 from splitscope.spec import ExperimentSpec, NOTEBOOK_SPEC, TEMPLATE_SPEC
 
 
 def raw_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return testdata.ingest(testdata.sessions_raw(spark, sf_dir))
+    return files.ingest(testdata.sessions_raw(spark, sf_dir))
 
 
 def clean_sessions(spark: SparkSession, sf_dir: str, spec: ExperimentSpec = NOTEBOOK_SPEC,
@@ -45,10 +45,10 @@ def template_users(spark: SparkSession, sf_dir: str, spec: ExperimentSpec = TEMP
 def notebook_tests(spark: SparkSession, sf_dir: str, spec: ExperimentSpec = NOTEBOOK_SPEC,
                    levels=("global", "platform", "region"), users: DataFrame | None = None,
                    materialized: bool = False) -> DataFrame:
-    """All four tests for every (segment, tested cohort): two aggregates over the user table."""
+    """All four tests for every (segment, tested cohort): two aggregates over the user table, which is written once."""
     from splitscope.operators import significance
 
-    u = users if users is not None else user_metrics_table(spark, sf_dir, spec)
+    u = users if users is not None else user_metrics_table(spark, sf_dir, spec, materialized=True)
     df = significance.all_tests(u, spec, levels)
     return materialize(df) if materialized else df
 
@@ -60,7 +60,7 @@ def template_tests(spark: SparkSession, sf_dir: str, spec: ExperimentSpec = TEMP
 
     from splitscope.operators import significance
 
-    u = users if users is not None else template_users(spark, sf_dir, spec)
+    u = users if users is not None else template_users(spark, sf_dir, spec, materialized=True)
     df = significance.all_tests(u, spec, cohorts=spec.candidates)
     return df.where(~((F.col("segment_type") == "region") & (F.col("segment") == "Other")))
 

@@ -52,7 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; it is used
-    as is. Only when it is unset (local tests) do we create one under /tmp.
+    as is. Only when it is unset and the master is local (tests) do we create one under /tmp.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         conf_dir = tempfile.mkdtemp(prefix="splitscope-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -89,7 +91,7 @@ def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int
       dedupe shuffles the whole raw table) and a whole number of waves of the
       cluster's cores; AQE coalesces the small shuffles after aggregation back
       to the advisory size, and splits skewed join partitions.
-    Quantile buckets do not depend on these: they follow the histogram size.
+    The pieces of a value histogram (operators/quantiles.py) follow the shuffle partitions.
     """
     blocks = max(1, -(-input_bytes // target_partition_bytes))
     waves = max(1, -(-blocks // max(1, total_cores)))

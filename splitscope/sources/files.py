@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from splitscope.functions.columns import nan_to_null
 from splitscope.sources.schemas import SESSIONS_RAW, USER_METRICS
 
 
+def ingest(raw: DataFrame) -> DataFrame:
+    """NaN -> NULL on the measures (ledger rule 1); every pipeline starts here."""
+    return raw.withColumn("session_length", nan_to_null("session_length")).withColumn(
+        "publisher_revenue", nan_to_null("publisher_revenue")
+    )
+
+
 def read_sessions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Session table with its explicit schema; filters and projections push into the scan."""
-    return spark.read.schema(SESSIONS_RAW).format(fmt).load(path)
+    """Session table with its explicit schema, NaN as NULL; filters and projections push into the scan."""
+    return ingest(spark.read.schema(SESSIONS_RAW).format(fmt).load(path))
 
 
 def read_user_metrics_csv(spark: SparkSession, path: str, schema: T.StructType = USER_METRICS) -> DataFrame:

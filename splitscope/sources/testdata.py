@@ -14,8 +14,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitscope.functions.columns import nan_to_null
 from splitscope.functions.regions import region_of
+from splitscope.sources.files import ingest
 
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
@@ -111,13 +111,6 @@ def sessions_raw(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR) -> DataFrame
     )
 
 
-def ingest(raw: DataFrame) -> DataFrame:
-    """NaN -> NULL on the measures (ledger rule 1); every pipeline starts here."""
-    return raw.withColumn("session_length", nan_to_null("session_length")).withColumn(
-        "publisher_revenue", nan_to_null("publisher_revenue")
-    )
-
-
 def template_sessions(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR) -> DataFrame:
     """The template's input schema: region already present, other column names."""
     raw = ingest(sessions_raw(spark, sf_dir))

@@ -5,26 +5,25 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from splitscope.session import ensure_checkpoint_dir
 from splitscope.sources.schemas import SESSIONS_RAW
-from splitscope.sources.testdata import ingest
+from splitscope.sources.files import ingest
 
 
-def land_sessions(spark: SparkSession, source_dir: str, table_dir: str, checkpoint_location: str | None = None,
+def land_sessions(spark: SparkSession, source_dir: str, table_dir: str, checkpoint_location: str,
                   fmt: str = "parquet", available_now: bool = True,
                   processing_time: str | None = None) -> StreamingQuery:
     """Start a stream from `source_dir` (explicit schema, NaN -> NULL) into the parquet table `table_dir`.
 
     The file source and the file sink commit through the checkpoint, so a
-    restarted or retried run appends each input file once. `available_now`
+    run restarted with the same `checkpoint_location` (one for each stream, on shared
+    storage) appends each input file once. `available_now`
     processes what is there and stops; otherwise it runs on `processing_time`.
     """
-    ckpt = checkpoint_location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/land_sessions"
     stream = ingest(spark.readStream.schema(SESSIONS_RAW).format(fmt).load(source_dir))
     writer = (
         stream.writeStream.format("parquet")
         .option("path", table_dir)
-        .option("checkpointLocation", ckpt)
+        .option("checkpointLocation", checkpoint_location)
         .outputMode("append")
     )
     if available_now:
