@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from splitscope.checks.oracle import ORACLE, R, TEMPLATE_CTES, USER_CTES, q
-from splitscope.checks.oracle_stats import NB, TP, all_tests
+from splitscope.checks.oracle_stats import NB, TP, OSpec, all_tests
 
 NB_CTES = USER_CTES + all_tests(NB)
 TP_CTES = TEMPLATE_CTES + all_tests(TP)
+PR_CTES = USER_CTES + all_tests(OSpec(levels=("platform_region",)))
 
 
 def _sel(cols: str, doubles: tuple[str, ...]) -> str:
@@ -48,20 +49,20 @@ FROM cnt t LEFT JOIN cnt c ON c.segment_type = t.segment_type AND c.segment = t.
   AND c.metric = t.metric AND c.cohort = 'control'
 WHERE t.cohort IN ('xxHigh', 'xHigh', 'gameTune', 'xLow', 'xxLow')""")
 
-for lvl in ("global", "platform", "region"):
-    ORACLE[f"welch_ttest_{lvl}"] = q(NB_CTES, f"""
+for lvl, ctes in (("global", NB_CTES), ("platform", NB_CTES), ("region", NB_CTES), ("platform_region", PR_CTES)):
+    ORACLE[f"welch_ttest_{lvl}"] = q(ctes, f"""
 SELECT segment_type, segment, cohort, {_sel("control_mean, cohort_mean, delta, delta_pct, p_value", _WELCH_D)},
        {_SIG}, {_sel("ci_lower, ci_upper", _WELCH_D)}, control_n, cohort_n, status
 FROM arpu WHERE segment_type = '{lvl}'""")
-    ORACLE[f"session_ttest_{lvl}"] = q(NB_CTES, f"""
+    ORACLE[f"session_ttest_{lvl}"] = q(ctes, f"""
 SELECT segment_type, segment, cohort, {_sel("control_mean, cohort_mean, delta, delta_pct, p_value", _WELCH_D)},
        {_SIG}, {_sel("ci_lower, ci_upper", _WELCH_D)}, control_n, cohort_n, status
 FROM avgs WHERE segment_type = '{lvl}'""")
-    ORACLE[f"prop_ztest_{lvl}"] = q(NB_CTES, f"""
+    ORACLE[f"prop_ztest_{lvl}"] = q(ctes, f"""
 SELECT segment_type, segment, cohort, {_sel("control_prop, cohort_prop, delta_pp, p_value", _PROP_D)},
        {_SIG}, {_sel("ci_lower, ci_upper", _PROP_D)}, control_n, cohort_n, status
 FROM d1 WHERE segment_type = '{lvl}'""")
-    ORACLE[f"mannwhitney_{lvl}"] = q(NB_CTES, f"""
+    ORACLE[f"mannwhitney_{lvl}"] = q(ctes, f"""
 SELECT segment_type, segment, cohort,
        {_sel("control_median, cohort_median, delta, delta_pct, u_stat, p_value", _MW_D)},
        {_SIG}, control_n, cohort_n, status

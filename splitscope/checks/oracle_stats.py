@@ -29,6 +29,7 @@ class OSpec:
     binary: str = "returned_d1"
     continuous: str = "avg_session_length"
     median: str = "median_session_length"
+    levels: tuple[str, ...] = ("global", "platform", "region")
 
 
 NB = OSpec()
@@ -47,17 +48,18 @@ def _simpson_weight(k: str = "g.k") -> str:
 def seg_users(o: OSpec, name: str) -> str:
     plat = f"platform IN ({_lst(o.platforms)})" if o.platforms else "platform IS NOT NULL"
     reg = "region IS NOT NULL" + (" AND region <> 'Other'" if o.exclude_other else "")
-    return f"""
-{name} AS (
-  SELECT 'global' AS segment_type, 'Global' AS segment, {o.cohort} AS cohort, u.* FROM {o.users} u
-    WHERE {o.cohort} IN ({_lst(o.all_cohorts)})
-  UNION ALL
-  SELECT 'platform', platform, {o.cohort}, u.* FROM {o.users} u
-    WHERE {o.cohort} IN ({_lst(o.all_cohorts)}) AND {plat}
-  UNION ALL
-  SELECT 'region', region, {o.cohort}, u.* FROM {o.users} u
-    WHERE {o.cohort} IN ({_lst(o.all_cohorts)}) AND {reg}
-)"""
+    segments = {
+        "global": ("'Global'", "TRUE"),
+        "platform": ("platform", plat),
+        "region": ("region", reg),
+        "platform_region": ("platform || ' / ' || region", f"{plat} AND {reg}"),
+    }
+    parts = [
+        f"""SELECT '{lvl}' AS segment_type, {segments[lvl][0]} AS segment, {o.cohort} AS cohort, u.* FROM {o.users} u
+    WHERE {o.cohort} IN ({_lst(o.all_cohorts)}) AND {segments[lvl][1]}"""
+        for lvl in o.levels
+    ]
+    return f"\n{name} AS (\n  " + "\n  UNION ALL\n  ".join(parts) + "\n)"
 
 
 def grid() -> str:

@@ -27,7 +27,7 @@ from splitscope.functions.tails import t_pvalue, z_pvalue
 from splitscope.operators.quantiles import join_on, running_counts
 from splitscope.spec import ExperimentSpec, NOTEBOOK_SPEC, Thresholds
 
-LEVELS = ("global", "platform", "region")
+LEVELS = ("global", "platform", "region")  # and, asked for by name, "platform_region"
 GLOBAL_SEGMENT = "Global"
 SEG = ["segment_type", "segment"]
 CI_Z = 1.96
@@ -43,7 +43,7 @@ def segmented_agg(df: DataFrame, spec: ExperimentSpec, levels: Sequence[str], ke
     limited to `spec.platforms` when it is given.
     """
     p, r = spec.platform_col, spec.region_col
-    dims = {"global": [], "platform": [p], "region": [r]}
+    dims = {"global": [], "platform": [p], "region": [r], "platform_region": [p, r]}
     sets = [dims[lvl] + list(keys) for lvl in levels]
     out = df.groupingSets(sets, p, r, *keys).agg(*aggs, F.grouping_id().alias("_gid"))
     shift = len(keys)
@@ -52,18 +52,20 @@ def segmented_agg(df: DataFrame, spec: ExperimentSpec, levels: Sequence[str], ke
         F.when(gid == (3 << shift), F.lit("global"))
         .when(gid == (1 << shift), F.lit("platform"))
         .when(gid == (2 << shift), F.lit("region"))
+        .otherwise(F.lit("platform_region"))
     )
     segment = (
         F.when(gid == (3 << shift), F.lit(GLOBAL_SEGMENT))
         .when(gid == (1 << shift), F.col(p))
-        .otherwise(F.col(r))
+        .when(gid == (2 << shift), F.col(r))
+        .otherwise(F.concat(F.col(p), F.lit(" / "), F.col(r)))
     )
+    if spec.platforms is not None:
+        by_platform = (gid == (1 << shift)) | (gid == 0)
+        out = out.where(~by_platform | F.col(p).isin(*spec.platforms))
     out = out.select(seg_type.alias("segment_type"), segment.alias("segment"), *keys,
                      *[c for c in out.columns if c not in (p, r, "_gid", *keys)])
-    out = out.where(F.col("segment").isNotNull())
-    if spec.platforms is not None and "platform" in levels:
-        out = out.where((F.col("segment_type") != "platform") | F.col("segment").isin(*spec.platforms))
-    return out
+    return out.where(F.col("segment").isNotNull())
 
 
 def _x(name: str) -> Column:

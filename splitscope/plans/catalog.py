@@ -284,7 +284,7 @@ def sample_size_gate(spark, sf):
     return significance.sample_size_gate(_users(spark, sf), NB)
 
 
-for _lvl in ("global", "platform", "region"):
+for _lvl in ("global", "platform", "region", "platform_region"):
     def _register_tests(lvl):
         def welch_q(spark, sf):
             return _r(_published_columns(significance.welch_ttest(_users(spark, sf), NB.primary_metric, NB, (lvl,))))
