@@ -186,3 +186,35 @@ SELECT segment AS region, cohort, {R('arpu_delta_pct')} AS arpu_delta_pct, {R('a
        COALESCE(d1_sig, FALSE) AS d1_significant
 FROM tests WHERE segment_type = 'region' AND segment <> 'Other' AND {_CAND}
   AND arpu_status = 'ok' AND d1_status = 'ok'""")
+
+
+def _text(expr: str, digits: int, sign: str = "") -> str:
+    return f"printf('%{sign}.{digits}f', {R(expr, digits)})"
+
+
+def _tick(expr: str) -> str:
+    return f"CASE WHEN {expr} < 0.05 THEN '✓' ELSE '✗' END"
+
+
+def _session_texts(t: str, value: str, name: str) -> str:
+    return f"""{_text(f'{t}.control_{value}', 2)} || 's' AS control_{name}_fmt,
+       {_text(f'{t}.cohort_{value}', 2)} || 's' AS cohort_{name}_fmt, {_text(f'{t}.delta', 2)} || 's' AS {name}_delta_fmt,
+       {_text(f'{t}.delta_pct', 2, '+')} || '%' AS {name}_delta_pct_fmt, {_text(f'{t}.p_value', 4)} AS {name}_p_value_fmt,
+       {_tick(f'{t}.p_value')} AS {name}_significant_fmt"""
+
+
+ORACLE["format_results"] = q(NB_CTES, f"""
+SELECT a.segment_type, a.segment, a.cohort, {R('a.delta_pct')} AS arpu_delta_pct, {R('a.p_value')} AS arpu_p_value,
+       {R('d.delta_pp')} AS d1_delta_pp, {R('d.p_value')} AS d1_p_value,
+       '$' || {_text('a.control_mean', 6)} AS control_arpu_fmt, '$' || {_text('a.cohort_mean', 6)} AS cohort_arpu_fmt,
+       '$' || {_text('a.delta', 6)} AS delta_fmt, {_text('a.delta_pct', 2, '+')} || '%' AS delta_pct_fmt,
+       {_text('a.p_value', 4)} AS p_value_fmt, {_tick('a.p_value')} AS significant_fmt,
+       '[' || {_text('a.ci_lower', 6)} || ', ' || {_text('a.ci_upper', 6)} || ']' AS ci_95_fmt,
+       {_text('d.control_prop', 2)} || '%' AS control_d1_fmt, {_text('d.cohort_prop', 2)} || '%' AS cohort_d1_fmt,
+       {_text('d.delta_pp', 2, '+')} || ' pp' AS delta_pp_fmt, {_text('d.p_value', 4)} AS d1_p_value_fmt,
+       {_tick('d.p_value')} AS d1_significant_fmt,
+       '[' || {_text('d.ci_lower', 2)} || ', ' || {_text('d.ci_upper', 2)} || '] pp' AS d1_ci_95_fmt,
+       {_session_texts('s', 'mean', 'avg')}, {_session_texts('m', 'median', 'median')}
+FROM arpu a JOIN d1 d USING (segment_type, segment, cohort) LEFT JOIN avgs s USING (segment_type, segment, cohort)
+LEFT JOIN meds m USING (segment_type, segment, cohort)
+WHERE a.status = 'ok' AND d.status = 'ok'""")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from splitscope.functions.columns import round_half_up
 from splitscope.operators.significance import OK, SEG
 from splitscope.sources.files import write_csv
 from splitscope.spec import ExperimentSpec, NOTEBOOK_SPEC
@@ -91,34 +92,51 @@ def results_summary(template_verdicts: DataFrame) -> DataFrame:
     )
 
 
-def _fmt(pattern: str, *cols: str):
-    """format_string that gives NULL when any argument is NULL (instead of the text "null")."""
-    cond = None
-    for c in cols:
-        e = F.col(c).isNotNull()
-        cond = e if cond is None else cond & e
-    return F.when(cond, F.format_string(pattern, *[F.col(c) for c in cols]))
+def _num(column: str, digits: int, sign: bool = False) -> Column:
+    """The number with its digits as text; NULL stays NULL, and no zero is negative."""
+    x = round_half_up(column, digits) + F.lit(0.0)
+    return F.when(x.isNotNull(), F.format_string(f"%{'+' if sign else ''}.{digits}f", x))
+
+
+def _range(test: str, digits: int, unit: str = "") -> Column:
+    return F.concat(F.lit("["), _num(f"{test}_ci_lower", digits), F.lit(", "), _num(f"{test}_ci_upper", digits), F.lit("]" + unit))
+
+
+def _mark(test: str) -> Column:
+    return F.when(F.col(f"{test}_significant"), F.lit("✓")).otherwise(F.lit("✗"))
 
 
 def format_results(tests: DataFrame) -> DataFrame:
-    """Display strings next to the numeric columns (which are always kept)."""
-    mark = F.when(F.col("arpu_significant"), F.lit("✓")).otherwise(F.lit("✗"))
-    d1_mark = F.when(F.col("d1_significant"), F.lit("✓")).otherwise(F.lit("✗"))
+    """Display strings of the four tests next to the numeric columns (which are always kept), for every segment.
+
+    Rows are those whose revenue and D1 tests exist; strings of a session test that doesn't are NULL.
+    """
+    session = []
+    for test, value, name in (("avg_session", "mean", "avg"), ("med_session", "median", "median")):
+        session += [
+            F.concat(_num(f"{test}_control_{value}", 2), F.lit("s")).alias(f"control_{name}_fmt"),
+            F.concat(_num(f"{test}_cohort_{value}", 2), F.lit("s")).alias(f"cohort_{name}_fmt"),
+            F.concat(_num(f"{test}_delta", 2), F.lit("s")).alias(f"{name}_delta_fmt"),
+            F.concat(_num(f"{test}_delta_pct", 2, True), F.lit("%")).alias(f"{name}_delta_pct_fmt"),
+            _num(f"{test}_p_value", 4).alias(f"{name}_p_value_fmt"),
+            _mark(test).alias(f"{name}_significant_fmt"),
+        ]
     return tests.where(_ok("arpu", "d1")).select(
         *SEG, "cohort", "arpu_delta_pct", "arpu_p_value", "d1_delta_pp", "d1_p_value",
-        _fmt("$%.6f", "arpu_control_mean").alias("control_arpu_fmt"),
-        _fmt("$%.6f", "arpu_cohort_mean").alias("cohort_arpu_fmt"),
-        _fmt("$%.6f", "arpu_delta").alias("delta_fmt"),
-        _fmt("%+.2f%%", "arpu_delta_pct").alias("delta_pct_fmt"),
-        _fmt("%.4f", "arpu_p_value").alias("p_value_fmt"),
-        mark.alias("significant_fmt"),
-        _fmt("[%.6f, %.6f]", "arpu_ci_lower", "arpu_ci_upper").alias("ci_95_fmt"),
-        _fmt("%.2f%%", "d1_control_prop").alias("control_d1_fmt"),
-        _fmt("%.2f%%", "d1_cohort_prop").alias("cohort_d1_fmt"),
-        _fmt("%+.2f pp", "d1_delta_pp").alias("delta_pp_fmt"),
-        _fmt("%.4f", "d1_p_value").alias("d1_p_value_fmt"),
-        d1_mark.alias("d1_significant_fmt"),
-        _fmt("[%.2f, %.2f] pp", "d1_ci_lower", "d1_ci_upper").alias("d1_ci_95_fmt"),
+        F.concat(F.lit("$"), _num("arpu_control_mean", 6)).alias("control_arpu_fmt"),
+        F.concat(F.lit("$"), _num("arpu_cohort_mean", 6)).alias("cohort_arpu_fmt"),
+        F.concat(F.lit("$"), _num("arpu_delta", 6)).alias("delta_fmt"),
+        F.concat(_num("arpu_delta_pct", 2, True), F.lit("%")).alias("delta_pct_fmt"),
+        _num("arpu_p_value", 4).alias("p_value_fmt"),
+        _mark("arpu").alias("significant_fmt"),
+        _range("arpu", 6).alias("ci_95_fmt"),
+        F.concat(_num("d1_control_prop", 2), F.lit("%")).alias("control_d1_fmt"),
+        F.concat(_num("d1_cohort_prop", 2), F.lit("%")).alias("cohort_d1_fmt"),
+        F.concat(_num("d1_delta_pp", 2, True), F.lit(" pp")).alias("delta_pp_fmt"),
+        _num("d1_p_value", 4).alias("d1_p_value_fmt"),
+        _mark("d1").alias("d1_significant_fmt"),
+        _range("d1", 2, " pp").alias("d1_ci_95_fmt"),
+        *session,
     )
 
 

@@ -313,7 +313,7 @@ def full_analysis(spark, sf):
 
 @register("format_results")
 def format_results(spark, sf):
-    return reports.format_results(_tests(spark, sf).where("segment_type = 'global'"))
+    return _r(reports.format_results(_tests(spark, sf)))
 
 
 # ---- I: decisions ----------------------------------------------------------
