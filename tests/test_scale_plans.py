@@ -48,3 +48,17 @@ def test_eda_plan(spark):
     clean = pipeline.clean_sessions(spark, SF, NB, materialized=True)
     _assert_scalable(_plan(eda.session_length_distribution(clean, NB)))
     _assert_scalable(_plan(eda.revenue_vs_control(clean, NB)))
+
+
+def _raw_scans(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet")
+
+
+def test_user_builds_read_the_raw_table_once(spark):
+    assert _raw_scans(pipeline.user_metrics_table(spark, SF)) == 1
+    assert _raw_scans(pipeline.template_users(spark, SF)) == 1
+
+
+def test_tests_keys_read_the_written_user_table_only(spark):
+    assert _raw_scans(pipeline.notebook_tests(spark, SF)) == 0  # its one raw scan wrote the user table
+    assert _raw_scans(pipeline.template_tests(spark, SF)) == 0
