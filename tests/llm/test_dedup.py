@@ -208,6 +208,20 @@ def test_band_keys_find_similar_lines():
     assert hits == 200
 
 
+def test_lines_alike_at_085_are_found(documents):
+    """One character changed inside lines of 100 to 130: a similarity between 0.85 and 0.9. The limit stands here as a number."""
+    rows = []
+    for k in range(40):
+        a = sentence(7000 + k, 40)[: 100 + k % 31]
+        b = a[:50] + "Z" + a[51:]
+        sets = [{x[i : i + 7] for i in range(len(x) - 6)} for x in (a.lower(), b.lower())]
+        share = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        assert 0.85 <= share < 0.9
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    got = {x["doc_id"]: x["removed"] for x in line_dedup.line_duplicates(documents(rows)).collect()}
+    assert got == {i: [0] * (i % 2) for i, _ in rows}
+
+
 # --- op 8 ---
 
 
