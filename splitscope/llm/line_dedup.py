@@ -17,8 +17,8 @@ from splitscope.llm.linking import link_components
 #: Characters of a shingle; similarity in percent from which lines are one; bands, and hashes of a band.
 #: Lines of one language have less than 1 % of seven-character shingles in common by chance, so four hashes a band keep buckets small.
 SHINGLE, PERCENT, BANDS, WIDTH = 7, 85, 10, 4
-#: Shorter lines (in normalised characters) are left alone: headings, list items and single words repeat rightly.
-SHORTEST = 16
+#: Normalised characters of the shortest line that takes part: every line with a word does. Bands need a whole shingle; shorter lines are alike if they are equal.
+SHORTEST = 1
 _U = np.uint64
 _HASHES = BANDS * WIDTH
 _ORDERS = np.argsort(mix(np.arange(_HASHES * _HASHES, dtype=np.uint64).reshape(_HASHES, _HASHES) + _U(7)), axis=1)
@@ -88,8 +88,8 @@ _LINES = "doc_id long, t long, pos int, line long, keys array<long>"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line of SHORTEST characters or more, with its band keys the first time it is met in a group of
-    texts; and a row for each document, with pos -1 and its number of lines as `line`."""
+    """A row for each line of SHORTEST characters or more, with its band keys, if it holds a shingle, the first time it is
+    met in a group of texts; and a row for each document, with pos -1 and its number of lines as `line`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_groups(batches, ("doc_id", "text")):
@@ -100,16 +100,15 @@ def _lines(docs: DataFrame) -> DataFrame:
                 lines = (text or "").split("\n")
                 doc.append(i), key.append(t), pos.append(-1), line.append(len(lines)), fresh.append(False)
                 for p, x in enumerate(lines):
-                    if len(x) < SHORTEST:
-                        continue
                     x = normal_line(x)
                     if len(x) < SHORTEST:
                         continue
                     new = x not in seen
                     if new:
                         seen[x] = line_key(x)
-                    doc.append(i), key.append(t), pos.append(p), line.append(seen[x]), fresh.append(new)
-            made = as_long(band_keys(list(seen))) if seen else np.empty((0, BANDS), np.int64)
+                    doc.append(i), key.append(t), pos.append(p), line.append(seen[x]), fresh.append(new and len(x) >= SHINGLE)
+            banded = [x for x in seen if len(x) >= SHINGLE]
+            made = as_long(band_keys(banded)) if banded else np.empty((0, BANDS), np.int64)
             stops = np.cumsum(np.array(fresh) * BANDS)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -215,7 +214,7 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
 def line_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) of every document: which of its lines (from 0) are duplicates of an earlier one.
 
-    Null text: as empty, one empty line, nothing removed; empty and short lines are never removed. Rows
+    Null text: as empty, one empty line, nothing removed; lines without a word are never removed. Rows
     with equal id and text are one document and keep the same lines; null ids are the least. Extra columns are ignored.
     """
     documents, removed, _ = duplicate_lines(docs)

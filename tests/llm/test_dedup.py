@@ -222,6 +222,15 @@ def test_lines_alike_at_085_are_found(documents):
     assert got == {i: [0] * (i % 2) for i, _ in rows}
 
 
+def test_short_lines_take_part(documents):
+    """Equal lines of any length, and short lines that share all their shingles; other short lines stay."""
+    rows = [(1, "Menu\n}\n\n \t\nabcdefg\naaaaaaa"), (2, " menu \n}\nmenus\n\n \nabcdefh"), (3, "x\nABCDEFG\nmen\naaaaaaaaa"), (4, "x\n漢字"), (5, "漢字\nMENU")]
+    got = {x["doc_id"]: x["removed"] for x in line_dedup.line_duplicates(documents(rows)).collect()}
+    assert got == {1: [], 2: [0, 1], 3: [1, 3], 4: [0], 5: [0, 1]}
+    left = {x["doc_id"]: x["text"] for x in line_dedup.without_duplicate_lines(documents(rows)).collect()}
+    assert left == {1: rows[0][1], 2: "menus\n\n \nabcdefh", 3: "x\nmen", 4: "漢字"}
+
+
 # --- op 8 ---
 
 
