@@ -11,16 +11,15 @@ from pyspark.sql import DataFrame
 
 from splitscope.llm.common import map_arrow, text_groups
 
-#: Lines of a sliding window, and the characters of a window at which text surges where no element names the article.
+#: Lines of a sliding window, and the characters of a window at which text surges.
 WINDOW, SURGE = 3, 80
-#: Such a region is kept if it has this share of the largest region's text at least.
-SHARE = 0.25
 
 # Element names of HTML.
 _BREAKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 _BOXES = frozenset("article aside body center details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
+_FLOWING = frozenset("dl figure ol table ul".split())  # boxes that belong to the text around them
 _DROPPED = frozenset("nav header footer aside form menu dialog button select datalist noscript iframe object svg canvas audio video template map search".split())
 _NAMED = frozenset("address article aside blockquote div dl details fieldset figure main ol p section span table ul".split())
 # Words of class, id and role attributes that name what is no main text.
@@ -57,8 +56,8 @@ def _marked(name: str, attributes: str) -> bool:
 def page_lines(html: str) -> list[tuple[str, bool]]:
     """Lines of a page without markup: text and whether it stands in an article or main element.
 
-    Every block element starts a line. Boundaries of boxes outside an article leave
-    WINDOW blank lines, so that no window reaches over them.
+    Every block element starts a line. Boundaries of boxes, but for lists, tables and
+    figures, leave WINDOW blank lines, so that no window reaches over them.
     """
     lines: list[tuple[str, bool]] = []
     parts: list[str] = []
@@ -108,7 +107,7 @@ def page_lines(html: str) -> list[tuple[str, bool]]:
             found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if found is not None:
                 close(found)
-        if not inside or name in ("article", "main"):
+        if name in _BOXES and name not in _FLOWING:
             lines.extend([("", inside > 0)] * WINDOW)
     if not dropped:
         parts.append(html[at:])
@@ -117,11 +116,12 @@ def page_lines(html: str) -> list[tuple[str, bool]]:
 
 
 def main_text(html: str | None) -> str:
-    """The article's blocks, joined by an empty line; empty if there is none.
+    """The page's main text: its blocks, joined by an empty line; empty if there is none.
 
-    Text lengths are summed over windows of WINDOW lines. Text surges where a
-    window's sum rises from nothing and dives where it falls to nothing; between lies a region. Regions in article or
-    main elements are the main text; on pages without, those that reach SURGE and SHARE are.
+    Text lengths are summed over windows of WINDOW lines. A stretch runs from where a window's sum rises from nothing
+    to where it falls to nothing; text surges in it if a sum reaches SURGE. From the first stretch with a surge to the
+    end of the last one all is main text, what lies between them too. Article and main elements are a hint: text
+    surges in them at any length.
     """
     if not html:
         return ""
@@ -140,11 +140,11 @@ def main_text(html: str | None) -> str:
         if not s and start >= 0:
             regions.append((start, i, peak))
             start = -1
-    within = [r for r in regions if lines[r[0]][1]]
-    if not within:
-        most = max((sum(sizes[a:b]) for a, b, _ in regions), default=0)
-        within = [(a, b, p) for a, b, p in regions if p >= SURGE and sum(sizes[a:b]) >= SHARE * most]
-    return "\n\n".join(t for a, b, _ in within for t, _ in lines[a:b] if t)
+    surging = [(a, b) for a, b, p in regions if p >= SURGE or lines[a][1]]
+    if not surging:
+        return ""
+    first, last = surging[0][0], surging[-1][1]
+    return "\n\n".join(t for t, _ in lines[first:last] if t)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

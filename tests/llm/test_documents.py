@@ -91,6 +91,26 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+WORDS = "some words of the text " * 6
+CUT = [
+    # without an article: lists, tables, figures and short stretches between the first surge and the last dive
+    (f"<div><p>{WORDS}</p><ul><li>item one</li><li>item two</li></ul><p>{WORDS}</p></div>", [WORDS, "item one", "item two", WORDS]),
+    (f"<div><p>{WORDS}</p><table><tr><td>a</td><td>b</td></tr></table><figure><figcaption>what it shows</figcaption></figure></div>", [WORDS, "a", "b", "what it shows"]),
+    (f"<div>{WORDS}</div><div>A heading between</div><div>{WORDS * 9}</div><div>after the last</div>", [WORDS, "A heading between", WORDS * 9]),
+    (f"<div>before the first</div><section>{WORDS * 20}</section><div><div>{WORDS}</div></div>", [WORDS * 20, WORDS]),
+    # lengths choose where the marks name little of the text, or not all of it; what they name stays
+    (f"<div><p>{WORDS * 3}</p><p>{WORDS}</p></div><div><article>A teaser</article><article>Another</article></div>", [WORDS * 3, WORDS, "A teaser", "Another"]),
+    (f"<article><p>{WORDS}</p></article><div>between</div><div><p>{WORDS * 2}</p></div><div>the end</div>", [WORDS, "between", WORDS * 2]),
+    # an article's short parts stay, boxes in it or not
+    (f"<article><div><h1>A title</h1></div><div>{WORDS}</div><div>The end.</div></article><article>More</article><div>the end</div>", ["A title", WORDS, "The end.", "More"]),
+]
+
+
+@pytest.mark.parametrize("page,blocks", CUT)
+def test_main_text_from_first_surge_to_last_dive(page, blocks):
+    assert html.main_text(f"<html><body>{page}</body></html>") == "\n\n".join(x.strip() for x in blocks)
+
+
 def test_pages_with_odd_rows(spark):
     from pyspark.sql import functions as F
 
