@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitscope.llm.common import as_long, drop, map_arrow, mix, raw_text, save, shingle_hashes, text_groups
+from splitscope.llm.common import BESIDE, as_long, drop, map_arrow, mix, raw_text, save, shingle_hashes, text_groups
 from splitscope.llm.linking import link_components
 
 #: Registers of a sketch; bits of a register's mantissa; bands and registers of a band.
@@ -187,6 +187,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that near_duplicates keeps, one row of each; columns as those of docs."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The first document of each component of near-duplicates; columns as those of docs.
+
+    Rows are told apart by id and text: rows equal in both are one document, and one id with unrelated texts is so
+    many documents. First is the least doc_id, then text key; null ids come last, so such a
+    row stays if no document with an id is in its component. Null, empty and word-less texts are linked with nothing.
+    """
+    node, linked, component = (BESIDE + x for x in ("node", "linked", "component"))
+    key = F.xxhash64("doc_id", "text")
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias(linked), F.col("component_id").alias(component)).distinct()
+    rows = docs.select("doc_id", key.alias(node)).distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", node)
+    first = rows.join(found, F.col(node) == F.col(linked)).groupBy(component).agg(F.min(place).alias("first")).select(F.col(f"first.{node}").alias(node))
+    return docs.withColumn(node, key).join(first, node, "left_semi").dropDuplicates([node]).select(*docs.columns)

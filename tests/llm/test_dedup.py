@@ -129,6 +129,19 @@ def test_near_duplicates_of_odd_rows(documents):
     assert out.columns == docs.columns and sorted(r[0] for r in out.collect()) == [1, 2, 3, 4, 5, 7, 9, 10, 11]
 
 
+def test_drop_keeps_documents_that_are_alike_to_none(documents):
+    """Null ids and ids with several texts: a text goes only if its component has another document."""
+    a, b, c, d, e = (sentence(8100 + i, 80) for i in range(5))
+    rows = [(1, a), (1, b), (1, a), (2, edited(b, 1, 1)), (None, c), (None, c), (None, edited(a, 2, 1)), (None, d), (3, d.upper()), (3, e), (4, None), (4, ""), (None, None)]
+    docs = documents(rows)
+    out = near_dedup.drop_near_duplicates(docs)
+    want = [(1, a), (1, b), (None, c), (3, d.upper()), (3, e), (4, None), (4, ""), (None, None)]
+    assert out.columns == docs.columns and sorted(((x["doc_id"], x["text"]) for x in out.collect()), key=str) == sorted(want, key=str)
+    # of null ids alone, one stays
+    alone = near_dedup.drop_near_duplicates(documents([(None, c), (None, edited(c, 1, 1))])).collect()
+    assert len(alone) == 1 and near_dedup.drop_near_duplicates(documents([])).collect() == []
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(0)
     errors = []
