@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from splitscope.llm import fingerprints, html, line_dedup, near_dedup, packing, quality, suffix_dedup, tokens, toxicity
+from splitscope.llm import fingerprints, html, line_dedup, near_dedup, packing, quality, suffix_dedup, tokens, toxicity, warc
 from splitscope.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -51,5 +51,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_near_duplicates, op4_main_text, op5_token_counts, op6_packing, op7_line_dedup, op8_suffix_dedup, op9_quality, op10_toxicity)}
-ORACLE = {"op9_quality": quality.SQL}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_near_duplicates, op4_main_text, op5_token_counts, op6_packing, op7_line_dedup, op8_suffix_dedup, op9_quality, op10_toxicity, op13_warc)}
+ORACLE = {"op9_quality": quality.SQL, "op13_warc": warc.SQL}
