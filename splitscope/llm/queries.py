@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from splitscope.llm import fingerprints, html, line_dedup, near_dedup, packing, quality, search, suffix_dedup, tokens, toxicity, warc
+from splitscope.llm import fingerprints, html, line_dedup, near_dedup, packing, phrases, quality, search, suffix_dedup, tokens, toxicity, warc
 from splitscope.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -55,9 +55,13 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_near_duplicates, op4_main_text, op5_token_counts, op6_packing, op7_line_dedup, op8_suffix_dedup, op9_quality, op10_toxicity, op11_search, op13_warc)}
-ORACLE = {"op9_quality": quality.SQL, "op11_search": search.SQL, "op13_warc": warc.SQL}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_near_duplicates, op4_main_text, op5_token_counts, op6_packing, op7_line_dedup, op8_suffix_dedup, op9_quality, op10_toxicity, op11_search, op12_collocations, op13_warc)}
+ORACLE = {"op9_quality": quality.SQL, "op11_search": search.SQL, "op12_collocations": phrases.SQL, "op13_warc": warc.SQL}
