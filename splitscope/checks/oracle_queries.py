@@ -37,17 +37,18 @@ FROM su GROUP BY segment_type, segment, cohort""")
 
 ORACLE["sample_size_gate"] = q(USER_CTES + all_tests(NB)[:1], """,
 cnt AS (
-  SELECT segment_type, segment, cohort, 'total_revenue' AS metric, COUNT(total_revenue) AS n FROM su GROUP BY ALL
-  UNION ALL SELECT segment_type, segment, cohort, 'avg_session_length', COUNT(avg_session_length) FROM su GROUP BY ALL
-  UNION ALL SELECT segment_type, segment, cohort, 'median_session_length', COUNT(median_session_length)
-    FROM su GROUP BY ALL
-  UNION ALL SELECT segment_type, segment, cohort, 'returned_d1', COUNT(returned_d1) FROM su GROUP BY ALL
+  SELECT segment_type, segment, cohort,
+         unnest(['total_revenue', 'avg_session_length', 'median_session_length', 'returned_d1']) AS metric,
+         unnest([COUNT(total_revenue), COUNT(avg_session_length), COUNT(median_session_length), COUNT(returned_d1)]) AS cohort_n
+  FROM su GROUP BY segment_type, segment, cohort
+),
+beside AS (
+  SELECT *, COALESCE(MAX(CASE WHEN cohort = 'control' THEN cohort_n END) OVER (PARTITION BY segment_type, segment, metric), 0) AS control_n
+  FROM cnt
 )
-SELECT t.segment_type, t.segment, t.cohort, t.metric, COALESCE(c.n, 0) AS control_n, t.n AS cohort_n,
-       CASE WHEN t.n >= 30 AND COALESCE(c.n, 0) >= 30 THEN 'ok' ELSE 'insufficient_data' END AS status
-FROM cnt t LEFT JOIN cnt c ON c.segment_type = t.segment_type AND c.segment = t.segment
-  AND c.metric = t.metric AND c.cohort = 'control'
-WHERE t.cohort IN ('xxHigh', 'xHigh', 'gameTune', 'xLow', 'xxLow')""")
+SELECT segment_type, segment, cohort, metric, control_n, cohort_n,
+       CASE WHEN cohort_n >= 30 AND control_n >= 30 THEN 'ok' ELSE 'insufficient_data' END AS status
+FROM beside WHERE cohort IN ('xxHigh', 'xHigh', 'gameTune', 'xLow', 'xxLow')""")
 
 for lvl, ctes in (("global", NB_CTES), ("platform", NB_CTES), ("region", NB_CTES), ("platform_region", PR_CTES)):
     ORACLE[f"welch_ttest_{lvl}"] = q(ctes, f"""

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitscope.functions.columns import rounded_avg
-from splitscope.operators.quantiles import APPROX_ACCURACY
+from splitscope.operators.quantiles import APPROX_ACCURACY, exact_quantiles
+from splitscope.session import materialize
 from splitscope.spec import ExperimentSpec, NOTEBOOK_SPEC, TEMPLATE_SPEC
 
 
@@ -129,21 +130,26 @@ def user_activity(cleaned: DataFrame, spec: ExperimentSpec = TEMPLATE_SPEC) -> D
 
     `cleaned` has one row per (user, session), so COUNT(session) equals
     COUNT(DISTINCT session) and needs no distinct-aggregate expansion. The day-1 flag comes
-    from the same aggregate. Users without an id leave, as in a join on it. The
-    exact median holds one user's distinct lengths.
+    from the same aggregate. Users without an id leave, as in a join on it.
+
+    The exact median comes from the (user, length) histogram, range-partitioned with
+    carried offsets: no task holds all lengths of a user, however many there are. The sessions
+    feed two aggregates, so they are written once.
     """
+    known = materialize(cleaned.where(F.col(spec.user_col).isNotNull()), "user_sessions")
     length = F.col(spec.length_col)
-    agg = cleaned.groupBy(spec.user_col).agg(
+    agg = known.groupBy(spec.user_col).agg(
         F.min(spec.cohort_col).alias(spec.cohort_col),
         F.min(spec.platform_col).alias(spec.platform_col),
         F.min(spec.region_col).alias(spec.region_col),
         F.sum(spec.revenue_col).alias("total_revenue"),
         F.count(spec.session_col).alias("total_sessions"),
         F.avg(length).alias("avg_session_length"),
-        F.median(length).alias("median_session_length"),
         _days(spec).alias("_days"),
     )
-    return agg.where(F.col(spec.user_col).isNotNull()).withColumn("returned_d1", _returned("_days")).select(
+    medians = exact_quantiles(known, [spec.user_col], spec.length_col, {"median_session_length": 0.5}, "cont")
+    # a user whose lengths are all NULL has no row in the histogram
+    return agg.join(medians, spec.user_col, "left").withColumn("returned_d1", _returned("_days")).select(
         spec.user_col, spec.cohort_col, spec.platform_col, spec.region_col, "total_revenue", "returned_d1",
         "total_sessions", "avg_session_length", "median_session_length",
     )

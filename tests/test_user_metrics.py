@@ -1,5 +1,8 @@
+from pyspark.sql import functions as F
+
 from splitscope.operators import breakdowns, user_metrics
 from splitscope.operators.cleaning import with_region
+from splitscope.spec import TEMPLATE_SPEC
 from tests.helpers import session_rows, ts
 
 
@@ -72,3 +75,18 @@ def test_user_metrics_can_exclude_censored_users(spark):
     s = sessions_clean(session_rows(spark, rows))
     got = {r.user_id: r.returned_d1 for r in user_metrics.user_metrics_full(s, exclude_censored=True).collect()}
     assert got == {1: 0, 2: None}
+
+
+def test_exact_median_of_a_user_with_millions_of_lengths(spark):
+    """One user holds most sessions, each with a length of its own; the others have few, or no length."""
+    big = spark.range(2_000_001, numPartitions=8).select(F.lit(1).cast("long").alias("user_id"), F.col("id").cast("string").alias("session_id"), (F.col("id") * 0.5).alias("session_length"))
+    small = spark.createDataFrame([(2, "a", 1.0), (2, "b", 4.0), (3, "c", 7.0), (4, "d", None), (None, "e", 1.0)], "user_id long, session_id string, session_length double")
+    pairs = big.unionByName(small).select(
+        "*", F.lit("control").alias("cohort_name"), F.lit("ios").alias("platform"), F.lit("Europe").alias("region"), F.lit(1.0).alias("revenue"), F.expr("timestamp_ntz'2020-02-01'").alias("created_at"),
+    )
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    got = {r["user_id"]: r for r in user_metrics.user_activity(pairs, TEMPLATE_SPEC).collect()}
+    assert {u: r["median_session_length"] for u, r in got.items()} == {1: 500_000.0, 2: 2.5, 3: 7.0, 4: None}
+    assert got[1]["total_sessions"] == 2_000_001 and got[1]["avg_session_length"] == 500_000.0
+    plan = user_metrics.user_activity(pairs, TEMPLATE_SPEC)._jdf.queryExecution().executedPlan().toString()
+    assert "median" not in plan.replace("median_session_length", "")
