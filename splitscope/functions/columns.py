@@ -31,7 +31,7 @@ def delta_pct(delta: Column, base: Column) -> Column:
 
 
 #: Relative step that carries a double on or just below a rounding midpoint across it, away from zero.
-_NUDGE = 1.0 + 1e-12
+NUDGE = 1.0 + 1e-12
 
 
 def round_half_up(c: Column | str, digits: int) -> Column:
@@ -40,7 +40,7 @@ def round_half_up(c: Column | str, digits: int) -> Column:
     A mean depends on the order of its sum, so one that lies on a midpoint (27.455) may come out
     a few units in the last place below it. The step is relative: signs, infinities and small values stay.
     """
-    return F.round(col(c) * F.lit(_NUDGE), digits)
+    return F.round(col(c) * F.lit(NUDGE), digits)
 
 
 def rounded_avg(c: Column | str, digits: int) -> Column:

@@ -42,7 +42,7 @@ def region_of(country: Column | str) -> Column:
 
 
 def region_case_sql(country: str = "country") -> str:
-    """The same mapping as a SQL CASE (used by SQL views and the DuckDB oracle)."""
+    """The same mapping as a SQL CASE (for the SQL of catalog views)."""
     parts = ["CASE"]
     for region, codes in REGION_COUNTRIES.items():
         lst = ", ".join(f"'{c}'" for c in codes)

@@ -9,6 +9,7 @@ full precision.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,13 @@ from pyspark.sql import types as T
 
 from splitscope.functions.columns import round_half_up
 from splitscope.operators import (
-    breakdowns, cleaning, decision, eda, profiling, quality, reports, significance, user_metrics,
+    breakdowns, cleaning, decision, eda, profiling, quality, reports, significance, sketches, user_metrics,
 )
-from splitscope.plans import pipeline
-from splitscope.sources import files, testdata
+from splitscope.plans import pipeline, views
+from splitscope.session import materialize, shared_path
+from splitscope.sources import files, tables, testdata
 from splitscope.spec import NOTEBOOK_SPEC as NB, TEMPLATE_SPEC as TP
+from splitscope.streaming import user_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -77,6 +80,68 @@ def cohort_row_counts(spark, sf):
     return profiling.cohort_row_counts(_users(spark, sf), NB)
 
 
+def _by_day(spark, sf):
+    path = shared_path(spark, "sessions_by_day")
+    files.write_sessions_by_day(_raw(spark, sf), path)
+    return path
+
+
+@register("sessions_between_days")
+def sessions_between_days(spark, sf):
+    """A1: the sessions of one week, read from a layout by day."""
+    return files.read_sessions_by_day(spark, _by_day(spark, sf), "2020-02-05", "2020-02-11").drop(files.DAY)
+
+
+@register("weekend_profile")
+def weekend_profile(spark, sf):
+    """A1: sessions and users of each weekend day; the days come from a calendar, whose filter prunes the scan."""
+    by_day = files.read_sessions_by_day(spark, _by_day(spark, sf))
+    bounds = by_day.agg(F.min(files.DAY).alias("a"), F.max(files.DAY).alias("b"))
+    calendar = materialize(bounds.select(F.explode(F.sequence("a", "b")).alias("day")).withColumn("weekday", F.weekday("day")), "calendar")
+    days = calendar.where("weekday >= 5").select("day")
+    return profiling.sessions_and_users_by(files.sessions_on(by_day, days), files.DAY, NB)
+
+
+@register("user_metrics_bucketed")
+def user_metrics_bucketed(spark, sf):
+    """A4: the cleaned sessions as a table replaced and bucketed by user; the user metrics need no shuffle from it."""
+    name = f"sessions_clean_{uuid.uuid4().hex}"
+    clean = tables.replace_table(_clean(spark, sf), name, bucket_by=(NB.user_col,))
+    return _r(user_metrics.user_metrics_full(clean, NB), 4, ("total_revenue",))
+
+
+@register("user_metrics_by_sql")
+def user_metrics_by_sql(spark, sf):
+    """A3: the chain of catalog views over a table of raw sessions, read by SQL alone."""
+    database = f"experiment_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{shared_path(spark, database)}'")
+    tables.replace_table(_raw(spark, sf), f"{database}.sessions_raw")
+    views.create_views(spark, f"{database}.sessions_raw", NB, database)
+    return _r(spark.sql(f"SELECT * FROM {database}.user_metrics"), 4, ("total_revenue",))
+
+
+def _checked_csv(spark, sf):
+    """A2: the user metrics as CSV lines; every tenth user once more with fields missing, every fifteenth with an id that is no number."""
+    users = materialize(_users(spark, sf), "user_metrics")
+    fields = [F.col(c) for c in users.columns]
+    whole = users.select(F.to_csv(F.struct(*fields)).alias("line"))
+    short = users.where("user_id % 10 = 0").select(F.to_csv(F.struct(*fields[:6])).alias("line"))
+    wrong = users.where("user_id % 15 = 0").select(F.concat(F.lit("u"), F.to_csv(F.struct(*fields))).alias("line"))
+    path = shared_path(spark, "users_csv")
+    whole.unionByName(short).unionByName(wrong).write.text(path)
+    return files.read_checked_csv(spark, path, header=False, rejects=shared_path(spark, "users_csv_rejects"))
+
+
+@register("csv_user_metrics")
+def csv_user_metrics(spark, sf):
+    return _r(_checked_csv(spark, sf)[0], 4, ("total_revenue",))
+
+
+@register("csv_rejects")
+def csv_rejects(spark, sf):
+    return _checked_csv(spark, sf)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
 # ---- B: profiling ---------------------------------------------------------
 @register("profile_total_rows")
 def profile_total_rows(spark, sf):
@@ -113,6 +178,20 @@ def profile_platform_region_cohort(spark, sf):
     return profiling.users_by_platform_region_cohort(testdata.template_sessions(spark, sf), TP)
 
 
+#: The reports of B3 to B7 and C7 as lists of dimensions.
+USER_REPORTS = ((), ("platform",), ("cohort_name",), ("region",), ("platform", "region", "cohort_name"))
+
+
+@register("user_counts_sketched")
+def user_counts_sketched(spark, sf):
+    """B3-B7, C7: sessions and users of all reports from stored sketches, held against the exact counts."""
+    sessions = testdata.template_sessions(spark, sf)
+    cells = materialize(sketches.user_sketches(sessions, ("platform", "region", "cohort_name"), TP), "user_sketches")
+    got = sketches.sketched_users(cells, USER_REPORTS)
+    checked = sketches.users_check(got, sketches.exact_users(sessions, USER_REPORTS, TP), sketches.count_error())
+    return checked.withColumn("values", F.array_join("values", "|", "-"))
+
+
 # ---- C: quality -----------------------------------------------------------
 @register("dq_missing_user")
 def dq_missing_user(spark, sf):
@@ -181,6 +260,15 @@ def cohort_percentile_limits(spark, sf):
     return eda.percentile_limits(_clean(spark, sf), NB, "exact")
 
 
+@register("percentile_limits_sketched")
+def percentile_limits_sketched(spark, sf):
+    """E1 from sketches stored by day and cohort: whether the ranks of both limits are within the stated error."""
+    clean, limits = _clean(spark, sf), {"p05_limit": 0.05, "p95_limit": 0.95}
+    cells = materialize(sketches.value_sketches(clean, NB), "length_sketches")
+    got = materialize(sketches.sketched_quantiles(cells, [NB.cohort_col], limits), "sketched_limits")
+    return sketches.rank_check(clean, got, [NB.cohort_col], NB.length_col, limits, sketches.rank_error())
+
+
 @register("session_length_distribution")
 def session_length_distribution(spark, sf):
     return eda.session_length_distribution(_clean(spark, sf), NB)
@@ -227,6 +315,18 @@ def user_metrics_full(spark, sf):
     return _r(_users(spark, sf), 4, ("total_revenue",))
 
 
+@register("user_metrics_incremental")
+def user_metrics_incremental(spark, sf):
+    """F1-F4 from three deliveries: two spans of days, then sessions and repeated rows that come late."""
+    raw = materialize(_raw(spark, sf), "sessions_raw")
+    late = (F.col("session_number_") % 5 == 0) | (F.col("fs_shown") == 2)
+    early = F.to_date("open_at") < F.lit("2020-02-12").cast("date")
+    folder = shared_path(spark, "user_state")
+    for number, rows in enumerate((raw.where(~late & early), raw.where(~late & ~early), raw.where(late))):
+        user_state.apply_delivery(rows, number, folder, NB, buckets=8)
+    return _r(user_state.read_user_metrics(spark, folder), 4, ("total_revenue",))
+
+
 @register("d1_retention_join")
 def d1_retention_join(spark, sf):
     return user_metrics.d1_retention_join(pipeline.template_clean(spark, sf, TP), TP)

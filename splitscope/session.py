@@ -76,12 +76,24 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     once, the table is columnar, and its real size feeds AQE's join choices.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/splitscope-tables/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/splitscope-tables/{name}-{uuid.uuid4().hex}"
+
+
+def delete_paths(spark: SparkSession, *paths: str) -> None:
+    """Delete files or folders of any store that Spark reaches; missing ones are left."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Settings sized for a cluster run over `input_bytes` of session data.
 
