@@ -83,36 +83,47 @@ def verdicts(tests: DataFrame, segment_type: str | Sequence[str], spec: Experime
     )
 
 
+def _share(x: float) -> str:
+    return f"{x:g}"
+
+
+def _level(p: float) -> str:
+    """A p-value with two decimals, or with as many as it has."""
+    return max(f"{p:.2f}", f"{p:g}", key=len)
+
+
 def verdict_reasons(tests: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """Why each criterion passed or failed (the notebook's printed reasoning, as columns)."""
+    """Why each criterion passed or failed (the notebook's printed reasoning, as columns), with the thresholds of `th`."""
     v = with_pass_flags(tests, th)
     p = F.col("arpu_p_value")
-    sig_level = F.when(p < th.significance, F.lit("p<0.05")).otherwise(F.lit("0.05≤p<0.10"))
+    up, d1, avg, med = map(_share, (th.arpu_min_uplift_pct, th.d1_max_drop_pp, th.avg_session_max_drop_pct, th.med_session_max_drop_pct))
+    # The published reason texts, with the thresholds put in.
+    strong, weak = f"p<{_level(th.significance)}", f"{_level(th.significance)}≤p<{_level(th.arpu_pvalue)}"
+    uplift, no_uplift = f"PASS: Uplift ≥ +{up}% and ", f"FAIL: Uplift < +{up}%"
+    not_significant = f"FAIL: Not significant (p ≥ {_level(th.arpu_pvalue)})"
+    no_impact = "PASS: Not significant → no proven {} impact"
+    d1_within, d1_drop = f"PASS: Significant but within ±{d1} pp tolerance", f"FAIL: Significant drop > {d1} pp"
+    drop_within, drop = "PASS: Significant but drop ≤ {}%", "FAIL: Significant drop > {}%% (%.2f%%)"
+
     arpu = (
-        F.when(F.col("arpu_pass"), F.concat(F.lit("PASS: Uplift ≥ +3% and "), sig_level))
-        .when(p.isNull() | (p >= th.arpu_pvalue), F.lit("FAIL: Not significant (p ≥ 0.10)"))
-        .otherwise(F.lit("FAIL: Uplift < +3%"))
+        F.when(F.col("arpu_pass"), F.concat(F.lit(uplift), F.when(p < th.significance, F.lit(strong)).otherwise(F.lit(weak))))
+        .when(p.isNull() | (p >= th.arpu_pvalue), F.lit(not_significant))
+        .otherwise(F.lit(no_uplift))
     )
 
-    def guard(prefix: str, passed: str, within: str, fail: Column, impact: str = "engagement") -> Column:
-        return (
-            F.when(~F.coalesce(F.col(f"{prefix}_significant"), F.lit(False)),
-                   F.lit(f"PASS: Not significant → no proven {impact} impact"))
-            .when(F.col(passed), F.lit(within))
-            .otherwise(fail)
-        )
+    def guard(prefix: str, passed: str, impact: str, within: str, fail: Column) -> Column:
+        significant = F.coalesce(F.col(f"{prefix}_significant"), F.lit(False))
+        return F.when(~significant, F.lit(no_impact.format(impact))).when(F.col(passed), F.lit(within)).otherwise(fail)
+
+    def length(prefix: str, passed: str, limit: str) -> Column:
+        return guard(prefix, passed, "engagement", drop_within.format(limit), F.format_string(drop.format(limit), F.col(f"{prefix}_delta_pct")))
 
     return v.where(F.col("status") == OK).select(
         *SEG, "cohort",
         arpu.alias("arpu_reason"),
-        guard("d1", "d1_pass", "PASS: Significant but within ±1 pp tolerance",
-              F.lit("FAIL: Significant drop > 1 pp"), "retention").alias("d1_reason"),
-        guard("avg_session", "avg_session_pass", "PASS: Significant but drop ≤ 3%",
-              F.format_string("FAIL: Significant drop > 3%% (%.2f%%)", F.col("avg_session_delta_pct")))
-        .alias("avg_session_reason"),
-        guard("med_session", "median_session_pass", "PASS: Significant but drop ≤ 4%",
-              F.format_string("FAIL: Significant drop > 4%% (%.2f%%)", F.col("med_session_delta_pct")))
-        .alias("median_session_reason"),
+        guard("d1", "d1_pass", "retention", d1_within, F.lit(d1_drop)).alias("d1_reason"),
+        length("avg_session", "avg_session_pass", avg).alias("avg_session_reason"),
+        length("med_session", "median_session_pass", med).alias("median_session_reason"),
     )
 
 

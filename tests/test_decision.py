@@ -82,3 +82,20 @@ def test_callout_of_a_gated_variant_has_no_uplift_text(spark):
     v = decision.verdicts(df, "global", NOTEBOOK_SPEC)
     r = decision.variant_callout(v, NOTEBOOK_SPEC).first()
     assert r.ARPU_Uplift is None and r.Recommendation == "NOT RECOMMENDED"
+
+
+def test_reasons_name_the_thresholds_in_force(spark):
+    from splitscope.spec import Thresholds
+
+    rows = [row("up", arpu=(6.0, 0.01)), row("low", arpu=(1.0, 0.01)), row("none", arpu=(6.0, 0.2)), row("drops", arpu=(6.0, 0.06), d1=(-3.0, 0.01), avg=(-9.0, 0.01), med=(-1.0, 0.01))]
+    df = spark.createDataFrame(rows, COLS)
+    got = {r["cohort"]: r for r in decision.verdict_reasons(df).collect()}
+    assert got["up"]["arpu_reason"] == "PASS: Uplift ≥ +3% and p<0.05" and got["drops"]["arpu_reason"] == "PASS: Uplift ≥ +3% and 0.05≤p<0.10"
+    assert got["low"]["arpu_reason"] == "FAIL: Uplift < +3%" and got["none"]["arpu_reason"] == "FAIL: Not significant (p ≥ 0.10)"
+    assert got["drops"]["d1_reason"] == "FAIL: Significant drop > 1 pp" and got["drops"]["avg_session_reason"] == "FAIL: Significant drop > 3% (-9.00%)"
+    assert got["drops"]["median_session_reason"] == "PASS: Significant but drop ≤ 4%" and got["up"]["d1_reason"] == "PASS: Not significant → no proven retention impact"
+    th = Thresholds(arpu_min_uplift_pct=2.5, arpu_pvalue=0.125, d1_max_drop_pp=2.0, avg_session_max_drop_pct=7.5, med_session_max_drop_pct=0.5)
+    got = {r["cohort"]: r for r in decision.verdict_reasons(df, th).collect()}
+    assert got["low"]["arpu_reason"] == "FAIL: Uplift < +2.5%" and got["none"]["arpu_reason"] == "FAIL: Not significant (p ≥ 0.125)"
+    assert got["drops"]["d1_reason"] == "FAIL: Significant drop > 2 pp" and got["drops"]["avg_session_reason"] == "FAIL: Significant drop > 7.5% (-9.00%)"
+    assert got["drops"]["median_session_reason"] == "FAIL: Significant drop > 0.5% (-1.00%)"
