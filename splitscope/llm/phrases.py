@@ -2,8 +2,8 @@
 
 Nodes are runs of 3 words, an edge is a run of 4 with its count. Counts of shorter
 phrases aren't taken from the texts: a node's is the flow of the edges
-that leave it plus the pieces that end with it, and so on down to words. Paths
-of edges through which a single flow goes are compacted, so that phrases within them are seen once.
+that leave it plus the pieces that end with it, and so on down to pairs. Words
+alone are counted by the pass that finds the frequent ones. Paths of edges through which a single flow goes are compacted, so that phrases within them are seen once.
 
 Phrases under the threshold can't be parts of any at or above it. So pieces are cut
 at words, then between pairs of words, that two filters of a fixed size show to be
@@ -162,7 +162,7 @@ def pair_slots(docs: DataFrame, frequent: np.ndarray, least: int) -> DataFrame:
 
 
 def longest_grams(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """(lang, gram, words, n): from each word on, the run of 4 words, or what is left of a shorter end of a piece, space-joined.
+    """(lang, gram, words, n): from each word on, the run of 4 words, or the 3 or 2 that are left at the end of a piece, space-joined.
 
     Pieces are cut where the filters say so: no phrase across a cut reaches the threshold.
     """
@@ -171,11 +171,11 @@ def longest_grams(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray) -> D
         for words, ids, kept, keys in _numbered(batches, frequent):
             linked = np.zeros(len(ids) + 2, bool)
             linked[: len(keys)] = kept[:-1] & kept[1:] & _set(pairs, (keys & np.uint64(SLOTS - 1)).astype(np.int64))
-            at = np.flatnonzero(kept)
+            at = np.flatnonzero(linked)
             if not len(at):
                 continue
-            gram, on = [ids[at]], np.ones(len(at), bool)
-            for k in range(1, 4):
+            gram, on = [ids[at], ids[at + 1]], np.ones(len(at), bool)
+            for k in range(2, 4):
                 on = on & linked[at + k - 1]
                 gram.append(np.where(on, ids[np.minimum(at + k, len(ids) - 1)], 0))
             first, a = np.unique(gram[0] << 32 | gram[1], return_inverse=True)
@@ -272,20 +272,20 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     table, or one without a phrase that is frequent enough, gives an empty result. Equal scores and counts go by the phrase's bytes.
     """
     spark = docs.sparkSession
-    words, p1 = save(word_counts(docs), "phrase-words")
+    enough = F.col("n") >= least
+    words, p1 = save(word_counts(docs).where(enough | F.col("word").isNull()), "phrase-words")
     slot = F.crc32(F.concat_ws(" ", "lang", "word").cast("binary")) % SLOTS
-    frequent = bit_filter(words.where((F.col("n") >= least) & F.col("word").isNotNull()).select(slot.alias("slot")))
+    frequent = bit_filter(words.where("word IS NOT NULL").select(slot.alias("slot")))
     totals = words.where("word IS NULL").select("lang", F.col("n").alias("all_words"))
     pairs = bit_filter(pair_slots(docs, frequent, least))
     grams, p2 = save(longest_grams(docs, frequent, pairs), "phrase-grams")
     n3, p3 = save(flow(grams.where("words = 4"), grams, 3), "phrase-nodes")
     n2, p4 = save(flow(n3, grams, 2), "phrase-nodes")
-    enough = F.col("n") >= least
     counts, p5 = save(
         grams.where((F.col("words") == 4) & enough).select("lang", "gram", "n", F.lit(4).alias("words"))
         .unionByName(n3.where(enough).withColumn("words", F.lit(3)))
         .unionByName(n2.where(enough).withColumn("words", F.lit(2)))
-        .unionByName(flow(n2, grams, 1).where(enough).withColumn("words", F.lit(1))),
+        .unionByName(words.where("word IS NOT NULL").select("lang", F.col("word").alias("gram"), "n", F.lit(1).alias("words"))),
         "phrase-counts",
     )
     drop(spark, p2, p3, p4)
