@@ -219,3 +219,6 @@ SELECT a.segment_type, a.segment, a.cohort, {R('a.delta_pct')} AS arpu_delta_pct
 FROM arpu a JOIN d1 d USING (segment_type, segment, cohort) LEFT JOIN avgs s USING (segment_type, segment, cohort)
 LEFT JOIN meds m USING (segment_type, segment, cohort)
 WHERE a.status = 'ok' AND d.status = 'ok'""")
+
+# read back from the CSV file
+ORACLE["export_platform_csv"] = ORACLE["export_platform_detailed"]

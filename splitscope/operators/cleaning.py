@@ -6,25 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitscope.functions.regions import region_of
-from splitscope.sources.schemas import SESSION_KEYS
 from splitscope.spec import ExperimentSpec, NOTEBOOK_SPEC, TEMPLATE_SPEC
 
 
-def dedupe(raw: DataFrame) -> DataFrame:
-    """One row per distinct 10-key combination; each measure is its own maximum.
+def dedupe(raw: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC) -> DataFrame:
+    """One row per distinct combination of the session keys; each measure is its own maximum.
 
     The maxima may come from different duplicate rows, and rows that differ in
     any key survive as separate sessions. Partial (map-side) aggregation
     collapses duplicates before the shuffle on the keys.
     """
-    return raw.groupBy(*SESSION_KEYS).agg(
-        F.max("session_length").alias("session_length"),
-        F.max("publisher_revenue").alias("publisher_revenue"),
-        F.max("fs_shown").alias("fs_shown"),
-        F.max("rv_shown").alias("rv_shown"),
-        F.max("game_count").alias("activity_count"),
-        F.max("offline_game_count").alias("offline_activity_count"),
-    )
+    return raw.groupBy(*spec.session_keys).agg(*[F.max(raw_name).alias(name) for name, raw_name in spec.session_measures])
 
 
 def valid_sessions(deduped: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC) -> DataFrame:
@@ -46,7 +38,7 @@ def with_region(df: DataFrame, country_col: str = "country", region_col: str = "
 
 def sessions_clean(raw: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC) -> DataFrame:
     """Dedupe -> filter -> region (the cleaned session view)."""
-    return with_region(valid_sessions(dedupe(raw), spec))
+    return with_region(valid_sessions(dedupe(raw, spec), spec), spec.country_col, spec.region_col)
 
 
 def clean_sessions_by_pair(sessions: DataFrame, spec: ExperimentSpec = TEMPLATE_SPEC) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitscope.functions.columns import round_half_up
-from splitscope.operators.quantiles import disc_rank0, join_on, quantiles, rank_value, value_ranks
+from splitscope.operators.quantiles import disc_rank0, join_on, quantiles, rank_value, running_counts, value_ranks
+from splitscope.session import materialize
 from splitscope.spec import ExperimentSpec, NOTEBOOK_SPEC
 
 
@@ -56,46 +57,53 @@ def trimmed_mean(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC,
     )
 
 
-def _revenue_base(sessions: DataFrame, spec: ExperimentSpec) -> DataFrame:
-    rev = F.col(spec.revenue_col)
-    return sessions.groupBy(spec.cohort_col).agg(
-        F.count_distinct(spec.user_col).alias("users"),
-        F.round(F.sum(rev), 4).alias("total_revenue"),
-        F.round(F.avg(rev), 6).alias("avg_revenue_per_session"),
-        F.round(F.stddev_samp(rev), 2).alias("stddev_revenue_per_session"),
-        F.round(F.try_divide(F.sum(rev), F.count_distinct(spec.user_col).cast("double")), 6).alias("revenue_per_user"),
-    )
-
+def _revenue(sessions: DataFrame, spec: ExperimentSpec, mode: str) -> DataFrame:
+    """Users, total, mean, median and deviation of the revenue per cohort, from one pass over the sessions.
 
-def _with_median(base: DataFrame, sessions: DataFrame, spec: ExperimentSpec, mode: str) -> DataFrame:
-    med = quantiles(sessions, [spec.cohort_col], spec.revenue_col, {"_median": 0.5}, mode)
-    return join_on(base, med, [spec.cohort_col]).select(
-        spec.cohort_col, "users", "total_revenue", "avg_revenue_per_session",
-        F.round("_median", 6).alias("median_revenue_per_session"),
-        "stddev_revenue_per_session", "revenue_per_user",
+    Sessions are counted once by (cohort, user, revenue); that table is written, and gives both the
+    distinct users (two plain aggregates) and the value histogram, whose weighted sums are the rest.
+    A cohort with users but no revenue keeps its row, with NULL measures.
+    """
+    cohort, rev = spec.cohort_col, spec.revenue_col
+    v, f, before, n = F.col(rev), F.col("_f"), F.col("before__f"), F.col("total__f")
+    cells = materialize(sessions.groupBy(cohort, spec.user_col, rev).agg(F.count(F.lit(1)).alias("_f")), "revenue_cells")
+    users = cells.select(cohort, spec.user_col).distinct().groupBy(cohort).agg(F.count(spec.user_col).alias("users"))
+    hist = cells.where(v.isNotNull()).groupBy(cohort, rev).agg(F.sum("_f").alias("_f"))
+    ranked = running_counts(hist, [cohort], rev, ["_f"])
+    total = F.sum(f).cast("double")
+    spread = F.greatest(F.sum(v * v * f) - F.sum(v * f) * F.sum(v * f) / total, F.lit(0.0))
+    stats = ranked.groupBy(cohort).agg(
+        F.sum(v * f).alias("_sum"), (F.sum(v * f) / total).alias("_mean"),
+        F.when(F.sum(f) > 1, F.sqrt(spread / (total - 1))).alias("_dev"), rank_value(before, f, v, disc_rank0(0.5, n)).alias("_median"),
+    )
+    if mode == "approx":
+        stats = join_on(stats.drop("_median"), quantiles(sessions, [cohort], rev, {"_median": 0.5}, mode), [cohort])
+    return join_on(users, stats, [cohort], "left").select(
+        cohort, "users", F.round("_sum", 4).alias("total_revenue"), F.round("_mean", 6).alias("avg_revenue_per_session"),
+        F.round("_median", 6).alias("median_revenue_per_session"), F.round("_dev", 2).alias("stddev_revenue_per_session"),
+        F.round(F.try_divide(F.col("_sum"), F.col("users").cast("double")), 6).alias("revenue_per_user"),
     )
 
 
 def revenue_distribution(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC, mode: str = "exact") -> DataFrame:
-    return _with_median(_revenue_base(sessions, spec), sessions, spec, mode)
+    return _revenue(sessions, spec, mode)
 
 
 def revenue_vs_control(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC, mode: str = "exact") -> DataFrame:
     """Revenue distribution plus each cohort's difference from control's rounded total.
 
-    The control total is an uncorrelated scalar subquery over the per-cohort
-    aggregate (at most one row per cohort); no control row gives NULL.
+    The distribution, a row for each cohort, is written once; the control total is a scalar
+    subquery over it. No control row gives NULL.
     """
-    base = _revenue_base(sessions, spec)
-    ctrl = base.where(F.col(spec.cohort_col) == spec.control).select("total_revenue").scalar()
-    dist = _with_median(base, sessions, spec, mode)
+    dist = materialize(_revenue(sessions, spec, mode), "revenue_distribution")
+    ctrl = dist.where(F.col(spec.cohort_col) == spec.control).select("total_revenue").scalar()
     return dist.withColumn("increase_in_total_revenue", F.round(F.col("total_revenue") - ctrl, 6)).orderBy(
         F.desc("total_revenue")
     )
 
 
 def ads_by_cohort(sessions: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC) -> DataFrame:
-    fs, rv = F.col("fs_shown"), F.col("rv_shown")
+    fs, rv = F.col(spec.fs_col), F.col(spec.rv_col)
     return (
         sessions.groupBy(spec.cohort_col)
         .agg(

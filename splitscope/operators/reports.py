@@ -140,6 +140,32 @@ def format_results(tests: DataFrame) -> DataFrame:
     )
 
 
+def export_tables(tests: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC) -> dict[str, DataFrame]:
+    """The nine published exports by name, from the test frame of all levels."""
+    from splitscope.operators import decision
+
+    verdict_rows = decision.verdicts(tests, ("global", "platform", "region"), spec)
+    return {
+        "global_results": decision.verdicts(tests, "global", spec),
+        "platform_results": decision.verdicts(tests, "platform", spec),
+        "region_results": decision.verdicts(tests, "region", spec),
+        "final_recommendations": decision.recommendations(decision.segment_winners(verdict_rows, spec)),
+        "arpu_global_detailed": arpu_global_detailed(tests),
+        "d1_global_detailed": d1_global_detailed(tests),
+        "session_global_detailed": session_global_detailed(tests),
+        "platform_detailed": platform_detailed(tests, spec),
+        "region_detailed": region_detailed(tests, spec),
+    }
+
+
+def read_exports(tables: dict[str, DataFrame], out_dir: str) -> dict[str, DataFrame]:
+    """The exports as `write_exports` left them in `out_dir`, typed as the tables that were written."""
+    return {
+        name: df.sparkSession.read.schema(df.schema).option("header", True).csv(os.path.join(out_dir, name))
+        for name, df in tables.items()
+    }
+
+
 def write_exports(tables: dict[str, DataFrame], out_dir: str, parallel: int = 4) -> list[str]:
     """One CSV directory (header, no index) per exported table.
 

@@ -39,14 +39,14 @@ def user_base(sessions_clean: DataFrame, spec: ExperimentSpec = NOTEBOOK_SPEC, *
         F.min(spec.cohort_col).alias(spec.cohort_col),
         F.min(spec.segment_col).alias("segment_name"),
         F.min(spec.time_col).alias("first_session_at"),
-        F.min("acquired_at").alias("acquired_at"),
+        F.min(spec.acquired_col).alias("acquired_at"),
         F.sum(spec.revenue_col).alias("total_revenue"),
         F.count(F.lit(1)).alias("total_sessions"),
         rounded_avg(length, 2).alias("avg_session_length"),
         F.percentile_approx(length, 0.5, APPROX_ACCURACY).alias("median_session_length"),
-        F.sum("fs_shown").alias("total_fs_shown"),
-        F.sum("rv_shown").alias("total_rv_shown"),
-        F.sum("activity_count").alias("total_activity_count"),
+        F.sum(spec.fs_col).alias("total_fs_shown"),
+        F.sum(spec.rv_col).alias("total_rv_shown"),
+        F.sum(spec.activity_col).alias("total_activity_count"),
         *more,
     )
 

@@ -504,6 +504,14 @@ def export_region_detailed(spark, sf):
     return _r(reports.region_detailed(_tests(spark, sf), NB))
 
 
+@register("export_platform_csv")
+def export_platform_csv(spark, sf):
+    """A5: all nine exports are written as CSV; the platform table is read back from its file."""
+    exports, out_dir = reports.export_tables(pipeline.notebook_tests(spark, sf, materialized=True), NB), shared_path(spark, "exports")
+    reports.write_exports(exports, out_dir)
+    return _r(reports.read_exports(exports, out_dir)["platform_detailed"])
+
+
 # ---- a second session source: the events table ------------------------------
 def _event_sessions(spark, sf):
     return files.ingest(testdata.sessions_from_events(spark, sf))

@@ -17,7 +17,6 @@ from splitscope.functions.columns import NUDGE
 from splitscope.functions.regions import region_case_sql
 from splitscope.operators import cleaning, user_metrics
 from splitscope.operators.quantiles import APPROX_ACCURACY
-from splitscope.sources.schemas import SESSION_KEYS
 from splitscope.spec import ExperimentSpec, NOTEBOOK_SPEC
 
 
@@ -39,22 +38,22 @@ def register_views(spark: SparkSession, raw_sessions: DataFrame, spec: Experimen
 def view_sql(raw_table: str, spec: ExperimentSpec = NOTEBOOK_SPEC, database: str = "") -> dict[str, str]:
     """SELECT of each published view by name, in the order in which they build on each other."""
     at = f"{database}." if database else ""
-    keys, user, length, time = ", ".join(SESSION_KEYS), spec.user_col, spec.length_col, spec.time_col
+    keys, user, length, time = ", ".join(spec.session_keys), spec.user_col, spec.length_col, spec.time_col
+    measures = ", ".join(f"max({raw}) AS {name}" for name, raw in spec.session_measures)
     kept = ", ".join(f"'{x}'" for x in spec.kept_segments)
     sessions = f"""
-SELECT {keys}, max({length}) AS {length}, max({spec.revenue_col}) AS {spec.revenue_col}, max(fs_shown) AS fs_shown,
-       max(rv_shown) AS rv_shown, max(game_count) AS activity_count, max(offline_game_count) AS offline_activity_count,
-       {region_case_sql("country")} AS {spec.region_col}
+SELECT {keys}, {measures},
+       {region_case_sql(spec.country_col)} AS {spec.region_col}
 FROM {raw_table}
 WHERE {user} IS NOT NULL AND {spec.session_col} IS NOT NULL AND {spec.cohort_col} IS NOT NULL AND {spec.cohort_col} != 'nan'
   AND {spec.segment_col} IN ({kept})
 GROUP BY {keys} HAVING max({length}) > 0"""
     base = f"""
 SELECT {user}, min({spec.platform_col}) AS platform, min({spec.region_col}) AS region, min({spec.cohort_col}) AS {spec.cohort_col},
-       min({spec.segment_col}) AS segment_name, min({time}) AS first_session_at, min(acquired_at) AS acquired_at,
+       min({spec.segment_col}) AS segment_name, min({time}) AS first_session_at, min({spec.acquired_col}) AS acquired_at,
        sum({spec.revenue_col}) AS total_revenue, count(*) AS total_sessions, round(avg({length}) * {NUDGE!r}D, 2) AS avg_session_length,
-       percentile_approx({length}, 0.5, {APPROX_ACCURACY}) AS median_session_length, sum(fs_shown) AS total_fs_shown,
-       sum(rv_shown) AS total_rv_shown, sum(activity_count) AS total_activity_count
+       percentile_approx({length}, 0.5, {APPROX_ACCURACY}) AS median_session_length, sum({spec.fs_col}) AS total_fs_shown,
+       sum({spec.rv_col}) AS total_rv_shown, sum({spec.activity_col}) AS total_activity_count
 FROM {at}sessions_clean GROUP BY {user}"""
     d1 = f"""
 SELECT {user}, array_min(days) AS first_session_date, CAST(array_contains(days, date_add(array_min(days), 1)) AS INT) AS returned_d1

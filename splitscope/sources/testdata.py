@@ -2,8 +2,8 @@
 
 An order is a session, its line items are natural duplicates of it (same 10
 keys, different measures) and a customer is a user. The defects the quality
-checks look for (NULL users, invalid lengths, NULL and 'nan' cohorts, other
-segments, unmapped countries) are planted by integer rules, so Spark and the
+checks look for (NULL users, invalid and NaN lengths, negative and NaN revenue, NULL
+and 'nan' cohorts, users in two cohorts, other segments, unmapped countries) are planted by integer rules, so Spark and the
 SQL oracle derive identical rows. Every derivation reads the whole tables.
 """
 
@@ -62,12 +62,14 @@ def sessions_raw(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR) -> DataFrame
     null_cohort = ck % 83 == 0
     nan_cohort = ~null_cohort & (ck % 89 == 0)
     real = ~null_cohort & ~nan_cohort
-    is_xx_high = real & (ck % 6 == 1)
-    is_x_high = real & (ck % 6 == 2)
+    # some users change to the next cohort in every other session
+    residue = F.when((ck % 29 == 0) & (ok % 2 == 1), (ck + 1) % 6).otherwise(ck % 6)
+    is_xx_high = real & (residue == 1)
+    is_x_high = real & (residue == 2)
     cohort = (
         F.when(null_cohort, F.lit(None).cast("string"))
         .when(nan_cohort, F.lit("nan"))
-        .otherwise(_pick(ck % 6, COHORT_BY_RESIDUE))
+        .otherwise(_pick(residue, COHORT_BY_RESIDUE))
     )
     platform = F.when(F.expr("(o_custkey div 6) % 2") == 0, F.lit("android")).otherwise(F.lit("ios"))
     start = F.lit(EXPERIMENT_START).cast("date")
@@ -75,12 +77,15 @@ def sessions_raw(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR) -> DataFrame
         F.when(pk % 53 == 0, F.lit(None).cast("double"))
         .when(pk % 41 == 0, F.lit(0.0))
         .when(pk % 67 == 0, F.lit(-1.0))
+        .when(pk % 59 == 0, F.lit(float("nan")))
         .when(is_xx_high, F.col("l_quantity") * F.lit(0.85))
         .otherwise(F.col("l_quantity"))
     )
     base_rev = F.col("l_extendedprice") * F.col("l_discount") / F.lit(1000.0)
     revenue = (
-        F.when(is_xx_high, base_rev * F.lit(1.30)).when(is_x_high, base_rev * F.lit(1.25)).otherwise(base_rev)
+        F.when(pk % 61 == 0, F.lit(float("nan")))
+        .when(pk % 71 == 0, F.lit(0.0) - base_rev)
+        .when(is_xx_high, base_rev * F.lit(1.30)).when(is_x_high, base_rev * F.lit(1.25)).otherwise(base_rev)
     )
     return (
         j.select(
@@ -88,7 +93,10 @@ def sessions_raw(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR) -> DataFrame
             F.when(ok % 97 == 0, F.lit(None).cast("bigint")).otherwise(ck).cast("bigint").alias("user_id"),
             platform.alias("platform"),
             _pick(F.col("n_nationkey") % 13, COUNTRY_BY_RESIDUE).alias("country"),
-            F.date_add(start, ((ok * 5 + ck) % 28).cast("int")).cast("timestamp_ntz").alias("open_at"),
+            # a session opens at some second of its day
+            F.timestamp_add(
+                "SECOND", (ok * 37 + ck) % 86400, F.date_add(start, ((ok * 5 + ck) % 28).cast("int")).cast("timestamp_ntz")
+            ).alias("open_at"),
             F.date_sub(start, (ck % 7).cast("int")).cast("timestamp_ntz").alias("acquired_at"),
             F.lit("ad_frequency").alias("ab_name"),
             cohort.alias("ab_cohort_name"),

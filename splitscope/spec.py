@@ -7,7 +7,9 @@ Column names are parameters because the two published schemas differ
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
+
+from splitscope.sources.schemas import SESSION_KEYS
 
 
 @dataclass(frozen=True)
@@ -36,6 +38,19 @@ class ExperimentSpec:
     segment_col: str = "segment_name"
     revenue_col: str = "publisher_revenue"
     length_col: str = "session_length"
+    country_col: str = "country"
+    acquired_col: str = "acquired_at"
+    # columns that make a session the same session
+    session_keys: tuple[str, ...] = SESSION_KEYS
+    # measures of a cleaned session and the raw columns whose maximum they are
+    session_measures: tuple[tuple[str, str], ...] = (
+        ("session_length", "session_length"), ("publisher_revenue", "publisher_revenue"), ("fs_shown", "fs_shown"),
+        ("rv_shown", "rv_shown"), ("activity_count", "game_count"), ("offline_activity_count", "offline_game_count"),
+    )
+    # ads of the two kinds, and the activities, of a cleaned session
+    fs_col: str = "fs_shown"
+    rv_col: str = "rv_shown"
+    activity_col: str = "activity_count"
     control: str = "control"
     # cohorts tested against control in the result tables
     test_cohorts: tuple[str, ...] = ("xxHigh", "xHigh", "gameTune", "xLow", "xxLow")

@@ -22,12 +22,11 @@ from pyspark.sql.streaming import StreamingQuery
 from splitscope.operators import cleaning, user_metrics
 from splitscope.session import delete_paths
 from splitscope.sources.files import ingest
-from splitscope.sources.schemas import SESSION_KEYS, SESSIONS_RAW, USER_METRICS
+from splitscope.sources.schemas import SESSIONS_RAW, USER_METRICS
 from splitscope.spec import ExperimentSpec, NOTEBOOK_SPEC
 
 BUCKET = "bucket"
 BUCKETS = 64
-_MEASURES = tuple(f.name for f in SESSIONS_RAW if f.name not in SESSION_KEYS)
 
 
 def _commits(spark: SparkSession, folder: str) -> list[int]:
@@ -71,15 +70,17 @@ def apply_delivery(delivered: DataFrame, number: int, folder: str, spec: Experim
     bucket = F.pmod(F.hash(F.col(spec.user_col)), F.lit(buckets))
     # written first: the buckets it names, and what is merged, come from the same rows
     fresh_path = f"{folder}/delivered/{number}"
-    _merged(kept).write.mode("overwrite").parquet(fresh_path)
-    fresh = spark.read.schema(SESSIONS_RAW).parquet(fresh_path)
+    first = _merged(kept, spec)
+    schema = first.schema
+    first.write.mode("overwrite").parquet(fresh_path)
+    fresh = spark.read.schema(schema).parquet(fresh_path)
     touched = [r[0] for r in fresh.select(bucket).distinct().collect()]
     held = _paths(folder, "sessions", commit, touched)
-    merged = _merged(fresh.unionByName(spark.read.schema(SESSIONS_RAW).parquet(*held))) if held else fresh
+    merged = _merged(fresh.unionByName(spark.read.schema(schema).parquet(*held)), spec) if held else fresh
     _write(merged.withColumn(BUCKET, bucket), f"{folder}/sessions/{number}")
     new = {**commit, **{b: number for b in touched}}
     if touched:
-        sessions = spark.read.schema(SESSIONS_RAW).parquet(*_paths(folder, "sessions", new, touched))
+        sessions = spark.read.schema(schema).parquet(*_paths(folder, "sessions", new, touched))
         users = user_metrics.user_metrics_full(cleaning.sessions_clean(sessions, spec), spec)
         _write(users.withColumn(BUCKET, bucket), f"{folder}/users/{number}")
     line = spark.createDataFrame([(json.dumps({str(k): v for k, v in new.items()}),)], "commit string")
@@ -87,9 +88,9 @@ def apply_delivery(delivered: DataFrame, number: int, folder: str, spec: Experim
     delete_paths(spark, fresh_path)
 
 
-def _merged(sessions: DataFrame) -> DataFrame:
+def _merged(sessions: DataFrame, spec: ExperimentSpec) -> DataFrame:
     """One row for each combination of keys, each measure its maximum: the same whether merged at once or bit by bit."""
-    return sessions.groupBy(*SESSION_KEYS).agg(*[F.max(c).alias(c) for c in _MEASURES])
+    return sessions.groupBy(*spec.session_keys).agg(*[F.max(raw).alias(raw) for _, raw in spec.session_measures])
 
 
 def _write(df: DataFrame, path: str) -> None:

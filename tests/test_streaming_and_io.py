@@ -46,6 +46,22 @@ def test_exports_write_one_directory_each(spark):
     assert spark.read.option("header", True).csv(paths[0]).count() == 3
 
 
+def test_nine_exports_read_back_as_written(spark):
+    from splitscope.plans import pipeline
+    from splitscope.session import shared_path
+
+    tests = pipeline.notebook_tests(spark, "/root/testdata/sf0.01", materialized=True)
+    tables, out_dir = reports.export_tables(tests), shared_path(spark, "exports")
+    reports.write_exports(tables, out_dir)
+    back = reports.read_exports(tables, out_dir)
+    assert len(back) == 9
+    for name, df in tables.items():
+        # CSV holds an empty text as it holds none
+        want = sorted(repr(tuple(x or None if isinstance(x, str) else x for x in r)) for r in df.collect())
+        assert sorted(repr(tuple(r)) for r in back[name].collect()) == want, name
+        assert back[name].schema.simpleString() == df.schema.simpleString()
+
+
 def test_entry_smoke(spark):
     import __spark_entry__ as E
 
