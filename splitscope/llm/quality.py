@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from splitscope.llm.common import BESIDE, renewed, save
 
-#: A line is boilerplate of a host if at least so many of its documents, and so large a share of them, hold it.
-LINE_DOCUMENTS, LINE_SHARE = 20, 0.2
+#: A line is boilerplate of a host if at least so many of its distinct documents hold it, however large the host is.
+LINE_DOCUMENTS = 20
 #: A document is depleted if less than this share of its word characters, or fewer words than the base rule asks for, stay.
 LEAST_LEFT, LEAST_WORDS = 0.3, 20
 WINDOW = 8
@@ -83,16 +83,16 @@ def base_metrics(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame) -> DataFrame:
-    """(host, line): hashes of the normalised lines above the limits. Each document counts once for a line.
+    """(host, line): hashes of the normalised lines that LINE_DOCUMENTS distinct documents of the host hold. Each counts once for a line.
 
-    The sum over a host's lines of their documents is its number of line rows, so
-    a host has at most (lines a document) / LINE_SHARE of them. The counts are
-    summed before the shuffle, so neither a hot host nor a hot line meets in one task.
+    Documents of a host with the same text are one document: a page that was fetched often
+    isn't boilerplate. Texts and lines are summed up before their shuffles, of
+    hashes alone, so neither a hot host, a hot text nor a hot line meets in one task.
     """
     hashes = F.array_distinct(F.transform(_lines(F.col("text")), lambda x: F.xxhash64(normal_line(x))))
-    held = _keyed(docs, F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= LINE_DOCUMENTS)
-    hosts = _keyed(docs).groupBy("host").agg(F.count("*").alias("documents"))
-    return held.join(hosts, "host").where(F.col("n") >= LINE_SHARE * F.col("documents")).select("host", "line")
+    texts = _keyed(docs, hashes.alias("lines")).groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
+    held = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    return held.where(F.col("n") >= LINE_DOCUMENTS).select("host", "line")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -106,7 +106,9 @@ def removals(docs: DataFrame) -> DataFrame:
     found = rows.join(frequent_lines(docs), ["host", "line"])
     # equal rows of the input give equal line rows: one of them is counted
     once = found.groupBy(*_KEY, "pos").agg(*(F.first(c).alias(c) for c in ("line", "chars", "words")))
-    return once.groupBy(*_KEY).agg(F.collect_set("line").alias("removed"), F.sum("words").alias("removed_words"), F.sum("chars").alias("removed_chars"))
+    return once.groupBy(*_KEY).agg(
+        F.collect_set("line").alias("removed"), F.count("*").alias("removed_lines"), F.sum("words").alias("removed_words"), F.sum("chars").alias("removed_chars")
+    )
 
 
 def _judged(docs: DataFrame) -> DataFrame:
@@ -115,14 +117,19 @@ def _judged(docs: DataFrame) -> DataFrame:
     chars = F.col("word_chars") - F.coalesce("removed_chars", F.lit(0))
     depleted = F.col("removed_words").isNotNull() & ((words < LEAST_WORDS) | (chars < LEAST_LEFT * F.col("word_chars")))
     match = base["doc_id"].eqNullSafe(gone["doc_id"]) & base["text_hash"].eqNullSafe(gone["text_hash"]) & (base["host"] == gone["host"])
-    return base.join(gone, match, "left").select(*(base[c] for c in base.columns), F.coalesce("removed", F.array().cast("array<long>")).alias("removed"), (~F.col("base_failed") & ~depleted).alias("kept"))
+    return base.join(gone, match, "left").select(
+        *(base[c] for c in base.columns),
+        F.coalesce("removed", F.array().cast("array<long>")).alias("removed"),
+        F.coalesce("removed_lines", F.lit(0)).alias("n_removed_lines"),
+        (~F.col("base_failed") & ~depleted).alias("kept"),
+    )
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
-    """Counts and verdict of every document, a row for each row.
+    """Counts and verdict of every document, and how many of its lines are boilerplate of its host (n_removed_lines); a row for each row.
 
     Null or empty text: no words, so it fails the base rule. Null source: the
-    empty host. Rows repeated in full count as so many documents of their host. Extra
+    empty host. Rows repeated in full, and other copies on a host, count as one document for the frequency of lines. Extra
     columns are ignored. An empty table gives an empty result.
     """
     return _judged(docs).drop("text_hash", "host", "removed")
@@ -166,12 +173,10 @@ each_line AS (
          length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
          lower(translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '123456789', '000000000')) AS norm
   FROM (SELECT doc_id, host, unnest(lines) AS line FROM d)),
-frequent AS (
-  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS n FROM each_line GROUP BY host, norm)
-  JOIN (SELECT host, count(*) AS docs FROM d GROUP BY host) USING (host)
-  WHERE n >= 20 AND n >= 0.2 * docs),
-gone AS (SELECT doc_id, sum(words) AS w, sum(chars) AS c FROM each_line JOIN frequent USING (host, norm) GROUP BY doc_id)
+frequent AS (SELECT host, norm FROM each_line JOIN d USING (doc_id, host) GROUP BY host, norm HAVING count(DISTINCT text) >= 20),
+gone AS (SELECT doc_id, count(*) AS n_lines, sum(words) AS w, sum(chars) AS c FROM each_line JOIN frequent USING (host, norm) GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+       coalesce(n_lines, 0)::BIGINT AS n_removed_lines,
        NOT failed AND NOT (w IS NOT NULL AND (n_words - w < 20 OR word_chars - c < 0.3 * word_chars)) AS kept
 FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS failed FROM base) LEFT JOIN gone USING (doc_id)
 """

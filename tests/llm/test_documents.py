@@ -152,6 +152,17 @@ def test_quality_equals_its_sql(documents):
     assert not by.kept[[200, 300, 303, 400]].any() and by.kept[[100, 402]].all() and by.n_repeat_words[300] == 48
 
 
+def test_a_line_of_a_tenth_of_a_large_host_goes(documents):
+    """The limit is a number of distinct documents, whatever share of the host they are; copies count once."""
+    rows = [(i, sentence(i, 30) + ("\nshared line of the host" if i % 10 == 0 else ""), "big") for i in range(400)]
+    rows += [(1000 + i, sentence(9000, 30) + "\nonly in copies", "big") for i in range(60)]
+    rows += [(2000 + i, sentence(2000 + i, 30) + "\nin nineteen documents", "big") for i in range(19)]
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(documents(rows)).collect()}
+    assert {i for i, r in got.items() if r["n_removed_lines"]} == set(range(0, 400, 10)) and all(r["kept"] for r in got.values())
+    left = {r["doc_id"]: r["text"] for r in quality.quality_filter(documents(rows)).collect()}
+    assert left[10] == sentence(10, 30) and left[1000].endswith("only in copies") and left[2000].endswith("nineteen documents")
+
+
 def test_repeat_words_by_brute_force(documents):
     import random
 
