@@ -161,14 +161,14 @@ def held_out() -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str]:
     """At most SAMPLE labelled training texts of each class, chosen by a hash of the id; equal texts once.
 
-    An id with several labels is toxic if one says so; null ids and labels are left out.
+    An id with several labels, and a text with several ids, is toxic if one label says so; null ids and labels are left out.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 2 * SAMPLE rows of two numbers
-    return save(texts.where("text IS NOT NULL").dropDuplicates(["text"]).select("text", "toxic"), "toxicity-sample")
+    return save(texts.where("text IS NOT NULL").groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-sample")
 
 
 def learn_stems(sample: DataFrame) -> list[str]:

@@ -259,3 +259,15 @@ def test_toxicity_of_odd_rows_and_without_labels(documents, spark):
     assert toxicity.score_documents(documents([]), table).collect() == []
     scored = toxicity.score_documents(documents([*rows, *ODD]), table).where("doc_id IS NULL OR doc_id = 9").collect()
     assert all(0 <= r["score"] <= 1 for r in scored)
+
+
+def test_equal_texts_with_different_labels_are_one_toxic_text(documents, spark):
+    import zlib
+
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2][:30]
+    docs = documents([(i, sentence(1, 30) if k % 3 else sentence(100 + k, 30)) for k, i in enumerate(ids)])
+    labels = spark.createDataFrame([(i, 1, int(k == 10)) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    for tasks in (1, 7):
+        sample, _ = toxicity.labelled_sample(docs.repartition(tasks), labels)
+        got = {r["text"]: r["toxic"] for r in sample.collect()}
+        assert sample.count() == len(got) == 11 and {t for t, y in got.items() if y} == {sentence(1, 30)}
