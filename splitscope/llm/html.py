@@ -27,6 +27,8 @@ _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion promoted recommended related respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 _COMMENTS = frozenset("comment comments respond disqus".split())
+# Words that say where a box stands or what it looks like, not what it holds.
+_NEUTRAL = frozenset("area bar block bottom box container content inner left list main outer page right section site top wrap wrapper".split())
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -38,6 +40,7 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
+_HEADER_END, _TITLE = re.compile(r"</header\b", re.I), re.compile(r"<h[12]\b", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 
 
@@ -49,8 +52,16 @@ def _marked(name: str, attributes: str) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    words = {w for m in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall(m[1].lower())}
-    return not words.isdisjoint(_COMMENTS if name in ("article", "main") else _MARKS)
+    marks = _COMMENTS if name in ("article", "main") else _MARKS
+    tokens = (_WORD.findall(x) for m in _ATTRIBUTE.finditer(attributes) for x in m[1].lower().strip("\"'").split())
+    # a token counts as a whole: cookie-notice and site-footer are marks, share-price and article-header aren't
+    return any(marks.intersection(t) and (marks | _NEUTRAL).issuperset(t) for t in tokens)
+
+
+def _holds_title(html: str, at: int) -> bool:
+    """Whether a header element whose start tag ends at `at` holds a heading of the first two levels."""
+    end = _HEADER_END.search(html, at)
+    return _TITLE.search(html, at, end.start() if end else len(html)) is not None
 
 
 def page_lines(html: str) -> list[tuple[str, bool]]:
@@ -91,7 +102,7 @@ def page_lines(html: str) -> list[tuple[str, bool]]:
                 parts.append(" ")
             continue
         opens = not m[2]
-        drop = opens and _marked(name, m[4])
+        drop = opens and _marked(name, m[4]) and not (name == "header" and inside and _holds_title(html, at))
         if name in _BREAKS or drop:
             flush()
         if name not in _BOXES and not drop and not any(n == name for n, d in stack if d):
@@ -121,7 +132,8 @@ def main_text(html: str | None) -> str:
     Text lengths are summed over windows of WINDOW lines. A stretch runs from where a window's sum rises from nothing
     to where it falls to nothing; text surges in it if a sum reaches SURGE. From the first stretch with a surge to the
     end of the last one all is main text, what lies between them too. Article and main elements are a hint: text
-    surges in them at any length.
+    surges in them at any length. Where text surges nowhere, the stretch with the largest sum is the main text;
+    a short text without any markup is no page and has none.
     """
     if not html:
         return ""
@@ -142,7 +154,10 @@ def main_text(html: str | None) -> str:
             start = -1
     surging = [(a, b) for a, b, p in regions if p >= SURGE or lines[a][1]]
     if not surging:
-        return ""
+        if not regions or not _MARKUP.search(html):
+            return ""
+        # a page of short lines: the stretch with the largest sum, the first of equal ones
+        surging = [max(regions, key=lambda r: (r[2], -r[0]))[:2]]
     first, last = surging[0][0], surging[-1][1]
     return "\n\n".join(t for t, _ in lines[first:last] if t)
 

@@ -271,3 +271,21 @@ def test_equal_texts_with_different_labels_are_one_toxic_text(documents, spark):
         sample, _ = toxicity.labelled_sample(docs.repartition(tasks), labels)
         got = {r["text"]: r["toxic"] for r in sample.collect()}
         assert sample.count() == len(got) == 11 and {t for t, y in got.items() if y} == {sentence(1, 30)}
+
+
+# --- op 4, marks and short pages ---
+
+
+def test_class_tokens_count_as_a_whole():
+    page = (
+        "<body><nav>menu</nav><article><p class='share-price'>The price of a share rose.</p><div class='article-header'><h1>A title</h1></div>"
+        "<section class='job-search-guide'>How to search for jobs.</section><header><h2>Second title</h2><p>by someone</p></header><p class='lead ad'>gone</p>"
+        "<div class='cookie-notice'>gone</div><div class=\"x site-footer\">gone</div><div id='ad-box-right'>gone</div><header>only a menu</header></article></body>"
+    )
+    assert html.main_text(page).split("\n\n") == ["The price of a share rose.", "A title", "How to search for jobs.", "Second title", "by someone"]
+
+
+def test_pages_of_short_lines_keep_their_largest_stretch():
+    assert html.main_text("<div>short</div>") == "short"
+    assert html.main_text("<div>a</div><div><p>one line</p><p>and another</p></div><div>b</div>") == "one line\n\nand another"
+    assert html.main_text("<nav>a</nav><div class='ad'>b</div>") == "" and html.main_text("<p> </p>") == ""
