@@ -19,6 +19,8 @@ from collections.abc import Iterable
 import numpy as np
 import regex
 
+from splitscope.llm.common import CACHES
+
 #: Characters that the vocabulary's white-space rule matches.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _SPACE_RUN = regex.compile(f"[{_SPACE}]+")
@@ -308,3 +310,11 @@ def vocabulary(path: str) -> Vocabulary:
     if path not in _held:
         _held[path] = Vocabulary(path)
     return _held[path]
+
+
+def _forget() -> None:
+    for v in _held.values():
+        v.old, v.new, v.merged = {}, {}, {}
+
+
+CACHES.append(_forget)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,52 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_returning(fn) if _give_back.get() else fn, schema)
+
+
+_give_back: ContextVar[bool] = ContextVar("give_back", default=False)
+
+
+def memory_given_back(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage whose Python tasks give their memory back when they end, caches included.
+
+    Spark keeps Python workers for later tasks, so what one stage held would lie beside the next one's. A job of one
+    operator is better off with warm caches and leaves them.
+    """
+
+    @functools.wraps(stage)
+    def planned(*args, **kw) -> DataFrame:
+        token = _give_back.set(True)
+        try:
+            return stage(*args, **kw)
+        finally:
+            _give_back.reset(token)
+
+    return planned
+
+
+def _returning(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+#: What tasks of this worker process keep for later ones: functions that let go of it.
+CACHES: list[Callable[[], None]] = []
+
+
+def give_back() -> None:
+    """Empty the caches of this process and return freed memory to the system (where the C library can)."""
+    for forget in CACHES:
+        forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -79,3 +79,31 @@ def test_empty_table(spark, documents):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.collect() == []
+
+
+def test_stages_of_the_pipeline_give_memory_back(spark):
+    """A worker's caches are empty after a task of a stage; a query's tasks leave them."""
+    from splitscope.llm import bpe, common
+    from splitscope.llm.queries import VOCABULARY
+
+    v = bpe.vocabulary(VOCABULARY)
+    v.encode_many(["these words are held"])
+    assert len(v.new) >= 4
+    assert list(common._returning(lambda x: iter(x))([1, 2])) == [1, 2] and not v.new and not v.merged
+    seen = []
+    planned = common.memory_given_back(lambda: seen.append(common._give_back.get()))
+    planned()
+    assert seen == [True] and common._give_back.get() is False
+
+
+def test_shuffle_files_go_and_the_setting_returns(spark):
+    from splitscope.llm import common
+
+    before = spark.conf.get(common.SHUFFLE_CLEANUP)
+    table, path = common.save(spark.range(1000).repartition(5).groupBy((common.F.col("id") % 7).alias("k")).count(), "test")
+    assert sorted(map(tuple, table.collect())) == [(k, 143 if k < 6 else 142) for k in range(7)]
+    assert spark.conf.get(common.SHUFFLE_CLEANUP) == before
+    with pytest.raises(Exception, match="lost"):
+        common.save(spark.range(3).select(common.F.raise_error(common.F.lit("lost"))), "test")
+    assert spark.conf.get(common.SHUFFLE_CLEANUP) == before
+    common.drop(spark, path)
