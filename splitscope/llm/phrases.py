@@ -29,7 +29,7 @@ LEAST, CONTAINED, TOP = 30, 80, 2000
 #: Bits of each filter.
 SLOTS = 1 << 25
 #: Bytes of text that are worked on at once, and distinct words, or pairs, that a task holds before it hands them on.
-GROUP_BYTES, HELD = 8 << 20, 1 << 20
+GROUP_BYTES, HELD = 8 << 20, 1 << 19
 
 _BREAK = b"\xff"
 #: A-Z as a-z, a tab as a space, and what ends a piece as a byte that no UTF-8 text holds.
@@ -66,23 +66,22 @@ def _texts(docs: DataFrame) -> DataFrame:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n): occurrences of every word; the row of a null word has those of all words."""
 
-    def handed(counts: dict[str, Counter]) -> pa.RecordBatch:
-        rows = []
+    def handed(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, c in counts.items():
             c.pop(_BREAK, None)
-            rows.append((lang, None, c.total()))
-            rows += [(lang, w.decode("utf-8", "surrogatepass"), n) for w, n in c.items()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "n"])
+            words, n = [None, *c], [c.total(), *c.values()]
+            for lo in range(0, len(words), 1 << 16):
+                part = [w and w.decode("utf-8", "surrogatepass") for w in words[lo : lo + (1 << 16)]]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string()), pa.array(n[lo : lo + len(part)], pa.int64())], ["lang", "word", "n"])
+        counts.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = defaultdict(Counter)
         for lang, raw in _groups(batches):
             counts[lang].update(tokens(raw))
             if sum(map(len, counts.values())) >= HELD:
-                yield handed(counts)
-                counts.clear()
-        if counts:
-            yield handed(counts)
+                yield from handed(counts)
+        yield from handed(counts)
 
     return map_arrow(_texts(docs), run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -277,7 +276,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     slot = F.crc32(F.concat_ws(" ", "lang", "word").cast("binary")) % SLOTS
     frequent = bit_filter(words.where("word IS NOT NULL").select(slot.alias("slot")))
     totals = words.where("word IS NULL").select("lang", F.col("n").alias("all_words"))
-    pairs = bit_filter(pair_slots(docs, frequent, least))
+    slots, p0 = save(pair_slots(docs, frequent, least), "phrase-pairs")
+    pairs = bit_filter(slots)
+    drop(spark, p0)
     grams, p2 = save(longest_grams(docs, frequent, pairs), "phrase-grams")
     n3, p3 = save(flow(grams.where("words = 4"), grams, 3), "phrase-nodes")
     n2, p4 = save(flow(n3, grams, 2), "phrase-nodes")
