@@ -15,7 +15,7 @@ from splitscope.llm.bpe import vocabulary
 from splitscope.llm.common import map_arrow, text_groups
 
 #: Windows that are balanced together, and the longest piece that a document's tail is cut into.
-WINDOWS, PIECE = 64, 384
+WINDOWS, PIECE = 48, 512
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -112,7 +112,8 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = 2048,
                 for i in range(parts):
                     tails.append(piece(doc_id, ids, whole + (n - whole) * i // parts, whole + (n - whole) * (i + 1) // parts))
                 waiting += n - whole
-                if waiting >= WINDOWS * capacity - capacity // 4:
+                # a tail is shorter than a window, so WINDOWS of them hold what waits, with some room: that they are too few is rare
+                if waiting >= (WINDOWS - 1) * capacity:
                     settle()
             if out:
                 yield rows(out)
