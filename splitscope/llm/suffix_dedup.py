@@ -27,8 +27,9 @@ from splitscope.llm.common import BESIDE, TEXT_KEY, as_long, drop, map_arrow, pr
 SPAN, GRAM = 200, 64
 #: Different runs of a class from which its windows are counted by their hashes instead, one by one over all tasks.
 HOT = 20_000
-#: Bytes of text that runs are taken from at once, and bytes of a shard.
-SLICE, SHARD = 1 << 19, 1 << 19
+#: Bytes of text that runs are taken from at once, bytes of a shard, and bytes of classes that are merged at once (a larger
+#: class is merged alone): arrays of a few hundred kB stay in a core's cache, and their memory is used again.
+SLICE, SHARD, TOGETHER = 1 << 16, 1 << 19, 1 << 17
 _U = np.uint64
 
 
@@ -291,7 +292,7 @@ def _merged(segments: DataFrame) -> DataFrame:
             for m, s, c, x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if last == (m, s):
                     continue
-                if last and m != last[0] and size >= 2 * SHARD:
+                if last and m != last[0] and size >= TOGETHER:
                     yield settle()
                     held, size = [], 0
                 last = (m, s)

@@ -314,6 +314,14 @@ def test_long_texts_are_cut_into_overlapping_slices(monkeypatch):
     assert sorted(starts) == [(0, i) for i in range(len(text) - 199)] + [(2, i) for i in range(101)]
 
 
+def test_runs_are_taken_from_small_slices():
+    """Arrays of a slice stay in a core's cache; texts are neither lost nor cut by it."""
+    texts = [sentence(i, 400).encode() for i in range(300)]
+    got = [(data, number) for data, number, _, _ in suffix_dedup.slices(texts)]
+    assert max(len(data) for data, _ in got) <= 1 << 17
+    assert np.concatenate([n for _, n in got]).tolist() == list(range(300)) and b"".join(d.tobytes() for d, _ in got) == b"".join(texts)
+
+
 def test_text_without_repeats_keeps_whole_characters(documents):
     shared = "漢字é" * 80
     rows = [(1, "a " + sentence(1) + shared + sentence(2)), (2, sentence(3) + "b" + shared + "c"), (3, shared), (4, None), (5, "plain")]
