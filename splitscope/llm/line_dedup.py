@@ -19,6 +19,8 @@ from splitscope.llm.linking import link_components
 SHINGLE, PERCENT, BANDS, WIDTH = 7, 85, 10, 4
 #: Normalised characters of the shortest line that takes part: every line with a word does. Bands need a whole shingle; shorter lines are alike if they are equal.
 SHORTEST = 1
+#: Characters that are banded at once: their arrays stay in a core's cache.
+TOGETHER = 1 << 16
 _U = np.uint64
 _HASHES = BANDS * WIDTH
 _ORDERS = np.argsort(mix(np.arange(_HASHES * _HASHES, dtype=np.uint64).reshape(_HASHES, _HASHES) + _U(7)), axis=1)
@@ -53,11 +55,15 @@ def shingles(normal: str) -> np.ndarray:
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
-    """Keys of the BANDS bands of each line (of SHINGLE characters at least): one permutation, _HASHES buckets.
+    """Keys of the BANDS bands of each line (of SHINGLE characters at least), banded TOGETHER characters at a time."""
+    parts = np.cumsum([len(x) for x in lines]) // TOGETHER
+    cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(lines)]
+    return np.concatenate([_band_keys(lines[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
 
-    The least hash of each bucket is its MinHash; an empty bucket takes the value
-    of the first filled one in an order of its own.
-    """
+
+def _band_keys(lines: list[str]) -> np.ndarray:
+    """One permutation, _HASHES buckets: the least hash of each bucket is its MinHash; an empty bucket takes
+    the value of the first filled one in an order of its own."""
     sizes = np.array([len(x) for x in lines])
     ends = np.cumsum(sizes)
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -143,17 +149,17 @@ def _linked(pairs: DataFrame) -> DataFrame:
 
 
 def _elements(texts: DataFrame) -> DataFrame:
-    """(id, n, key) for each shingle of the lines."""
+    """(id, n, key, label) for each shingle of the lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(x) for x in b.column(1).to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
             if len(sets):
-                ids = np.repeat(b.column(0).to_numpy(), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(sizes, sizes)), pa.array(as_long(np.concatenate(sets)))], ["id", "n", "key"])
+                ids, labels = (np.repeat(b.column(i).to_numpy(), sizes) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(sizes, sizes)), pa.array(as_long(np.concatenate(sets))), pa.array(labels)], ["id", "n", "key", "label"])
 
-    return map_arrow(texts.select("id", "x"), run, "id long, n long, key long")
+    return map_arrow(texts.select("id", "x", "label"), run, "id long, n long, key long, label long")
 
 
 def _texts_of(docs: DataFrame, where: DataFrame) -> DataFrame:

@@ -45,10 +45,10 @@ def _across(rows: DataFrame, share: float, placed: bool) -> DataFrame:
 def _prefixes(sets: DataFrame, share: float) -> DataFrame:
     """(key, id, n, label, at): each set's rarest elements and their places in its order, as many as two sets of similarity `share` must share one of.
 
-    sets: (id, label, n, key), a row for each element. Elements of one set alone
-    come first in its order, and lead to no pair.
+    sets: (id, label, n, key), a row for each element. Pairs are wanted across components alone, so elements of one
+    component alone come first in the order, and lead to no pair: a large component of copies that meets another row by a passage gives the passage's elements.
     """
-    counts = sets.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    counts = sets.groupBy("key").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "df")
     shared = sets.join(counts, "key")
     own = Window.partitionBy("id")  # one set's elements
     placed = shared.select("key", "id", "n", "label", F.row_number().over(own.orderBy("df", "key")).alias("at"), F.count("*").over(own).alias("some"))
@@ -68,17 +68,23 @@ def link_components(
 
     bands: (id long, key long, n long): a row for each band key of a node, n the size of
     its set, or 1 for all if it isn't known yet. fetch: ids -> their texts (a table with id). verify: pairs (a, b) and the
-    texts -> those pairs that are linked. elements: texts -> (id, n, key) for each element of the sets. share: the least similarity.
+    texts -> those pairs that are linked. elements: texts with label -> (id, n, key, label) for each element of the sets (without
+    label, it is joined). share: the least similarity.
     """
     spark = bands.sparkSession
     row = F.struct("id", "n")
-    ends = bands.groupBy("key").agg(F.min(row).alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo.id < hi")
-    members, p1 = save(bands.join(ends, "key").select("id", "n", "key", "lo", "size").distinct(), "members")
-    texts, p2 = save(fetch(members.select("id").distinct()), "member-texts")
+    # nearly all keys are one node's alone: the others are a table of their own, so that the shuffle files of all keys go before all rows are dealt
+    shared, p0 = save(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared-keys")
+    met, p1 = save(bands.join(shared, "key"), "shared-bands")
+    drop(spark, p0)
+    ends = met.groupBy("key").agg(F.min(row).alias("lo"), F.count("*").alias("size"))
+    members, p2 = save(met.join(ends, "key").select("id", "n", "key", "lo", "size").distinct(), "members")
+    drop(spark, p1)
+    texts, p1 = save(fetch(members.select("id").distinct()), "member-texts")
     # the row that shares the most keys with others is nearest to the middle of its group: copies are
     # nearer to what they are copied from than to each other
-    met = members.groupBy("id").agg(F.sum("size").alias("met"))
-    hubs = members.join(met, "id").groupBy("key").agg(F.max_by(row, F.struct("met", "id")).alias("hub"))
+    met = members.withColumn("met", F.sum("size").over(Window.partitionBy("id")))  # one node's keys
+    hubs = met.groupBy("key").agg(F.max_by(row, F.struct("met", "id")).alias("hub"))
     star = members.join(hubs, "key").select("id", "n", F.explode(F.array("lo", "hub")).alias("p")).where("id != p.id")
     star = star.where((F.col("n") >= share * F.col("p.n")) & (F.col("p.n") >= share * F.col("n")))
     tested, p3 = save(star.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct(), "pairs")
@@ -91,7 +97,9 @@ def link_components(
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     rows, p6 = save(labelled.join(mixed, "key"), "open")
     nodes = rows.where(F.col("size") > SMALL).select("id", "label").distinct()
-    sets = elements(texts.join(nodes, "id", "left_semi")).join(nodes, "id")
+    sets = elements(texts.join(nodes, "id"))
+    if "label" not in sets.columns:
+        sets = sets.join(nodes, "id")
     prefixes, p7 = save(_prefixes(sets, share), "prefixes")
     few = _across(rows.where(F.col("size") <= SMALL).withColumn("at", F.lit(1)), share, False)
     pairs = few.unionByName(_across(prefixes, share, True)).distinct()

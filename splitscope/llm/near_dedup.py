@@ -125,16 +125,17 @@ def _linked(pairs: DataFrame) -> DataFrame:
 
 
 def _elements(texts: DataFrame) -> DataFrame:
-    """(id, n, key) for each shingle of the texts."""
+    """(id, n, key, label) for each shingle of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            for i, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, packed, label in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 s = shingle_hashes(unpack.decompress(packed).decode("utf-8", "surrogatepass"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(np.full(len(s), len(s), np.int64)), pa.array(as_long(s))], ["id", "n", "key"])
+                same = (pa.array(np.full(len(s), x, np.int64)) for x in (i, len(s), label))
+                yield pa.RecordBatch.from_arrays([next(same), next(same), pa.array(as_long(s)), next(same)], ["id", "n", "key", "label"])
 
-    return map_arrow(texts.select("id", "packed"), run, "id long, n long, key long")
+    return map_arrow(texts.select("id", "packed", "label"), run, "id long, n long, key long, label long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -155,6 +156,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes, path = save(classes, "classes")
     reps = sketches.join(classes.where("rep IS NOT NULL"), "set_hash").where("doc_id = rep").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "registers", "keys")
     reps, reps_path = save(reps.dropDuplicates(["id", "registers"]), "representatives")
+    # registers and keys are needed of the representatives alone
+    sets, sets_path = save(sketches.select("doc_id", "n_shingles", "set_hash"), "sets")
+    drop(spark, made)
     bands = reps.select("id", "n", F.explode("keys").alias("key"))
     registers = reps.select("id", "n", "registers")
     likely_tables: list[str] = []
@@ -177,12 +181,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     found, used = link_components(bands, fetch, verify, _elements, PERCENT / 100)
     labels = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("doc_id", "n_shingles", "set_hash").join(labels, "set_hash", "left")
+    out = sets.join(labels, "set_hash", "left")
     single = F.col("set_hash").isNull()
     out = out.select("doc_id", "n_shingles", F.when(single, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     out, _ = save(out, "near-duplicates")
-    drop(spark, made, path, reps_path, *likely_tables, *used)
+    drop(spark, sets_path, path, reps_path, *likely_tables, *used)
     return out
 
 

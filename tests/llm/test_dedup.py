@@ -78,6 +78,31 @@ def test_linking_finds_all_links_of_a_bucket(spark, monkeypatch, small):
     assert len(checked) == len(set(checked))
 
 
+def test_prefixes_hold_what_components_share(spark):
+    """A large component of copies and one row that has a passage of theirs: only the passage can lead to a pair."""
+    sets = {i: (1, {*range(20), 1000 + i // 2}) for i in range(40)} | {99: (2, {0, 1, 2, *range(2000, 2003)})}
+    rows = [(i, label, len(x), k) for i, (label, x) in sets.items() for k in x]
+    got = linking._prefixes(spark.createDataFrame(rows, "id long, label long, n long, key long"), 0.5).collect()
+    assert got and {r["key"] for r in got} <= {0, 1, 2}
+    assert all(18 < r["at"] <= 21 for r in got if r["id"] != 99) and sorted(r["at"] for r in got if r["id"] == 99) == [4]
+
+
+def test_only_shared_keys_are_dealt_with_their_rows(spark, monkeypatch):
+    saved = {}
+
+    def save(df, name):
+        table, path = graph.save(df, name)
+        saved.setdefault(name, table.count())
+        return table, path
+
+    monkeypatch.setattr(linking, "save", save)
+    rows = [(i, 100 + i, 4) for i in range(50)] + [(i, i % 2, 4) for i in range(6)] + [(7, 107, 4)] * 3
+    none = spark.createDataFrame([], "a long, b long")
+    elements = spark.createDataFrame([], "id long, n long, key long, label long")
+    found, _ = linking.link_components(spark.createDataFrame(rows, "id long, key long, n long"), lambda ids: ids, lambda pairs, texts: none, lambda texts: elements, 0.5)
+    assert found.collect() == [] and saved["shared-keys"] == 2 and saved["members"] == 6
+
+
 # --- op 3 ---
 
 
@@ -235,6 +260,17 @@ def test_lines_alike_at_085_are_found(documents):
     assert got == {i: [0] * (i % 2) for i, _ in rows}
 
 
+def test_lines_are_banded_in_small_parts(monkeypatch):
+    lines = [sentence(i, 3 + i % 40) for i in range(200)] + ["a" * 5000, "abcdefg"]
+    whole = line_dedup.band_keys(lines)
+    sizes = []
+    part = line_dedup._band_keys
+    monkeypatch.setattr(line_dedup, "TOGETHER", 1000)
+    monkeypatch.setattr(line_dedup, "_band_keys", lambda x: sizes.append(sum(map(len, x[1:]))) or part(x))
+    assert (line_dedup.band_keys(lines) == whole).all() and whole.shape == (202, line_dedup.BANDS)
+    assert len(sizes) > 10 and max(sizes) <= 1000
+
+
 def test_short_lines_take_part(documents):
     """Equal lines of any length, and short lines that share all their shingles; other short lines stay."""
     rows = [(1, "Menu\n}\n\n \t\nabcdefg\naaaaaaa"), (2, " menu \n}\nmenus\n\n \nabcdefh"), (3, "x\nABCDEFG\nmen\naaaaaaaaa"), (4, "x\n漢字"), (5, "漢字\nMENU")]
