@@ -193,7 +193,8 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     Recall of the candidates at the threshold: 1 - (1 - 0.85**4)**10, 0.9994; above it rises steeply.
     """
     spark = docs.sparkSession
-    lines, p1 = save(_lines(docs), "lines")
+    banded, p0 = save(_lines(docs), "banded-lines")
+    lines, p1 = save(banded.drop("keys"), "lines")
     found_lines = lines.where("pos >= 0")
     place = F.struct("doc_id", "t", "pos")
     equal, p2 = save(found_lines.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first")), "equal-lines")
@@ -204,8 +205,10 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
         side = lambda c: texts.select(F.col("id").alias(c), F.col("x").alias(f"x{c}"))
         return _linked(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").sortWithinPartitions("b"))
 
-    bands = found_lines.where(F.size("keys") > 0).select(F.col("line").alias("id"), F.explode("keys").alias("key"), F.lit(1).cast("long").alias("n"))
-    linked, used = link_components(bands, fetch, verify, _elements, PERCENT / 100)
+    keyed = banded.where(F.size("keys") > 0)
+    half = BANDS // 2
+    bands = [keyed.select(F.col("line").alias("id"), F.explode(F.slice("keys", at, half)).alias("key"), F.lit(1).cast("long").alias("n")) for at in (1, half + 1)]
+    linked, used = link_components(bands, fetch, verify, _elements, PERCENT / 100, (p0,))
     # of the lines that are not alone: the first of each component
     classes = equal.join(linked.withColumnRenamed("node", "line"), "line", "left").where("n > 1 OR component IS NOT NULL").select("line", F.coalesce("component", "line").alias("component"), "first")
     keepers = classes.groupBy("component").agg(F.min("first").alias("keeper"))

@@ -9,6 +9,7 @@ their elements (prefix filtering, exact), and rows that share only a passage hav
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -42,14 +43,19 @@ def _across(rows: DataFrame, share: float, placed: bool) -> DataFrame:
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _prefixes(sets: DataFrame, share: float) -> DataFrame:
+def _counts(sets: DataFrame) -> DataFrame:
+    """(key, df): the elements that sets of two components have, and how many sets have them."""
+    counts = sets.groupBy("key").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return counts.where("lo < hi").select("key", "df")
+
+
+def _prefixes(sets: DataFrame, share: float, counts: DataFrame | None = None) -> DataFrame:
     """(key, id, n, label, at): each set's rarest elements and their places in its order, as many as two sets of similarity `share` must share one of.
 
     sets: (id, label, n, key), a row for each element. Pairs are wanted across components alone, so elements of one
     component alone come first in the order, and lead to no pair: a large component of copies that meets another row by a passage gives the passage's elements.
     """
-    counts = sets.groupBy("key").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "df")
-    shared = sets.join(counts, "key")
+    shared = sets.join((_counts(sets) if counts is None else counts).hint("shuffle_hash"), "key")
     own = Window.partitionBy("id")  # one set's elements
     placed = shared.select("key", "id", "n", "label", F.row_number().over(own.orderBy("df", "key")).alias("at"), F.count("*").over(own).alias("some"))
     length = F.col("n") - F.ceil(F.lit(share) * F.col("n") - F.lit(1e-9)) + 1
@@ -58,28 +64,35 @@ def _prefixes(sets: DataFrame, share: float) -> DataFrame:
 
 
 def link_components(
-    bands: DataFrame,
+    bands: DataFrame | list[DataFrame],
     fetch: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame, DataFrame], DataFrame],
     elements: Callable[[DataFrame], DataFrame],
     share: float,
+    read: tuple[str, ...] = (),
 ) -> tuple[DataFrame, list[str]]:
     """(node, component) of all nodes with a link, and the tables to drop in the end.
 
     bands: (id long, key long, n long): a row for each band key of a node, n the size of
-    its set, or 1 for all if it isn't known yet. fetch: ids -> their texts (a table with id). verify: pairs (a, b) and the
+    its set, or 1 for all if it isn't known yet; or several such tables without a key in common, dealt one after the other to need less room. fetch: ids -> their texts (a table with id). verify: pairs (a, b) and the
     texts -> those pairs that are linked. elements: texts with label -> (id, n, key, label) for each element of the sets (without
-    label, it is joined). share: the least similarity.
+    label, it is joined). share: the least similarity. read: tables
+    that only bands are read from, dropped once they are.
     """
-    spark = bands.sparkSession
+    tables = bands if isinstance(bands, list) else [bands]
+    spark = tables[0].sparkSession
     row = F.struct("id", "n")
     # nearly all keys are one node's alone: the others are a table of their own, so that the shuffle files of all keys go before all rows are dealt
-    shared, p0 = save(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared-keys")
-    met, p1 = save(bands.join(shared, "key"), "shared-bands")
-    drop(spark, p0)
+    found = []
+    for some in tables:
+        shared, p0 = save(some.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared-keys")
+        found.append(save(some.join(shared.hint("shuffle_hash"), "key"), "shared-bands"))
+        drop(spark, p0)
+    drop(spark, *read)
+    met = functools.reduce(DataFrame.unionByName, [x for x, _ in found])
     ends = met.groupBy("key").agg(F.min(row).alias("lo"), F.count("*").alias("size"))
     members, p2 = save(met.join(ends, "key").select("id", "n", "key", "lo", "size").distinct(), "members")
-    drop(spark, p1)
+    drop(spark, *(path for _, path in found))
     texts, p1 = save(fetch(members.select("id").distinct()), "member-texts")
     # the row that shares the most keys with others is nearest to the middle of its group: copies are
     # nearer to what they are copied from than to each other
@@ -100,7 +113,10 @@ def link_components(
     sets = elements(texts.join(nodes, "id"))
     if "label" not in sets.columns:
         sets = sets.join(nodes, "id")
-    prefixes, p7 = save(_prefixes(sets, share), "prefixes")
+    # a table of their own, so that their shuffle files go before the sets are dealt
+    counts, p11 = save(_counts(sets), "shared-elements")
+    prefixes, p7 = save(_prefixes(sets, share, counts), "prefixes")
+    drop(spark, p11)
     few = _across(rows.where(F.col("size") <= SMALL).withColumn("at", F.lit(1)), share, False)
     pairs = few.unionByName(_across(prefixes, share, True)).distinct()
     fresh, p8 = save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")

@@ -103,6 +103,36 @@ def test_only_shared_keys_are_dealt_with_their_rows(spark, monkeypatch):
     assert found.collect() == [] and saved["shared-keys"] == 2 and saved["members"] == 6
 
 
+def test_keys_of_several_tables_are_dealt_one_after_the_other(spark, monkeypatch):
+    """The same result, no table but one is dealt at a time, and what bands were read from is gone before texts are fetched."""
+    saved, seen = [], []
+    monkeypatch.setattr(linking, "save", lambda df, name: saved.append(name) or graph.save(df, name))
+    sets = {i: {i // 3, 100 + i % 4} for i in range(24)}
+    rows = [(i, k, 1) for i, x in sets.items() for k in x]
+    schema = "id long, key long, n long"
+    held, path = graph.save(spark.createDataFrame(rows, schema), "held")
+
+    def fetch(ids):
+        seen.extend(r["id"] for r in ids.collect())
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        assert folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) is (len(seen) > 24)
+        return ids
+
+    def verify(pairs, texts):
+        return pairs.where("a div 3 = b div 3").select("a", "b")
+
+    def elements(texts):
+        return spark.createDataFrame(rows, "id long, key long, n long").join(texts, "id", "left_semi")
+
+    parts, _ = linking.link_components([held.where("key < 100"), held.where("key >= 100")], fetch, verify, elements, 0.5, (path,))
+    assert saved.count("shared-keys") == saved.count("shared-bands") == 2 and sorted(seen) == list(range(24))
+    assert dict(map(tuple, parts.collect())) == {i: i // 3 * 3 for i in range(24)}
+    seen.extend([-1])
+    held, path = graph.save(spark.createDataFrame(rows, schema), "held")
+    whole, _ = linking.link_components(held, fetch, verify, elements, 0.5)
+    assert dict(map(tuple, whole.collect())) == {i: i // 3 * 3 for i in range(24)}
+
+
 # --- op 3 ---
 
 
