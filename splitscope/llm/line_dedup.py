@@ -42,10 +42,21 @@ def _grams(points: np.ndarray) -> np.ndarray:
     x = points.astype(np.uint64)
     h = x[:n].copy()
     for i in range(1, SHINGLE):
-        h = h * BASE + x[i : i + n]
+        h *= BASE
+        h += x[i : i + n]
     return mix(h)
 
 
+def _whole_grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of lines (of SHINGLE characters at least), line after line, and the number of each one's line."""
+    sizes = np.array([len(x) for x in lines])
+    ends = np.cumsum(sizes)
+    h = _grams(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32))
+    owner = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
+    whole = np.arange(len(h)) + SHINGLE <= ends[owner]
+    return h[whole], owner[whole]
+
+
 def shingles(normal: str) -> np.ndarray:
     """Sorted distinct hashes of a line's character shingles; a line shorter than one is its own."""
     points = np.frombuffer(normal.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -54,23 +65,26 @@ def shingles(normal: str) -> np.ndarray:
     return np.unique(_grams(points))
 
 
+def _cuts(sizes: list[int]) -> list[tuple[int, int]]:
+    """Spans of items that have about TOGETHER characters."""
+    parts = np.cumsum(sizes) // TOGETHER
+    cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(sizes)]
+    return list(zip(cuts, cuts[1:], strict=False)) if sizes else []
+
+
+def _small_parts(lines: list[str]) -> list[list[str]]:
+    return [lines[a:b] for a, b in _cuts([len(x) for x in lines])]
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
     """Keys of the BANDS bands of each line (of SHINGLE characters at least), banded TOGETHER characters at a time."""
-    parts = np.cumsum([len(x) for x in lines]) // TOGETHER
-    cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(lines)]
-    return np.concatenate([_band_keys(lines[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+    return np.concatenate([_band_keys(x) for x in _small_parts(lines)])
 
 
 def _band_keys(lines: list[str]) -> np.ndarray:
     """One permutation, _HASHES buckets: the least hash of each bucket is its MinHash; an empty bucket takes
     the value of the first filled one in an order of its own."""
-    sizes = np.array([len(x) for x in lines])
-    ends = np.cumsum(sizes)
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    h = _grams(points)
-    owner = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
-    whole = np.arange(len(h)) + SHINGLE <= ends[owner]
-    h, owner = h[whole], owner[whole]
+    h, owner = _whole_grams(lines)
     bucket = ((h >> _U(32)) * _U(_HASHES) >> _U(32)).astype(np.int64)
     least = np.full(len(lines) * _HASHES, ~_U(0))
     np.minimum.at(least, owner * _HASHES + bucket, h << _U(32) | h >> _U(32))
@@ -130,20 +144,32 @@ def _lines(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, _LINES)
 
 
+def alike(xs: list[str], ys: list[str]) -> np.ndarray:
+    """Whether the sets of shingles of each pair of lines (of SHINGLE characters at least) have the similarity asked for.
+
+    The number of a pair stands in the upper bits of its shingles' hashes, so that all sets are counted by one sort.
+    """
+    bits = _U(64 - len(xs).bit_length())
+
+    def sizes(keys: np.ndarray) -> np.ndarray:
+        keys = np.sort(keys)
+        return np.bincount((keys[np.r_[True, keys[1:] != keys[:-1]]] >> bits).astype(np.int64), minlength=len(xs))
+
+    a, b = (owner.astype(np.uint64) << bits | h >> (_U(64) - bits) for h, owner in map(_whole_grams, (xs, ys)))
+    union = sizes(np.concatenate([a, b]))
+    return 100 * (sizes(a) + sizes(b) - union) >= PERCENT * union
+
+
 def _linked(pairs: DataFrame) -> DataFrame:
     """Pairs of lines whose sets of shingles have the similarity asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
         for p in batches:
-            keep = []
-            for b, xa, xb in zip(*(p.column(c).to_pylist() for c in ("b", "xa", "xb")), strict=True):
-                if b != last:
-                    last, held = b, shingles(xb)
-                other = shingles(xa)
-                common = len(np.intersect1d(held, other, assume_unique=True))
-                keep.append(100 * common >= PERCENT * (len(held) + len(other) - common))
-            yield p.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            xs, ys = (p.column(c).to_pylist() for c in ("xa", "xb"))
+            cuts = _cuts([len(x) + len(y) for x, y in zip(xs, ys, strict=True)])
+            keep = [alike(xs[i:j], ys[i:j]) for i, j in cuts]
+            if keep:
+                yield p.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
 
     return map_arrow(pairs, run, "a long, b long")
 
@@ -203,7 +229,7 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
 
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         side = lambda c: texts.select(F.col("id").alias(c), F.col("x").alias(f"x{c}"))
-        return _linked(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").sortWithinPartitions("b"))
+        return _linked(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb"))
 
     keyed = banded.where(F.size("keys") > 0)
     half = BANDS // 2

@@ -21,6 +21,8 @@ from splitscope.llm.graph import components
 
 #: Rows of a bucket up to which its pairs across components are made: a row then has fewer than so many in each.
 SMALL = 32
+#: Of a set: how many of its elements may be in others, and 128 bits, each the parity of those elements that fall on it.
+OUTLINE = ("some", "w0", "w1")
 
 
 def _across(rows: DataFrame, share: float, placed: bool) -> DataFrame:
@@ -29,17 +31,20 @@ def _across(rows: DataFrame, share: float, placed: bool) -> DataFrame:
     Rows outside a key's largest component meet all rows of other components, so
     rows of one component never meet each other. If the key is an element in its place `at`, sizes must fit, and
     what stands from there on in both orders must suffice for the similarity: the first
-    element that two similar sets have in common does.
+    element that two similar sets have in common does. And the bits in which their outlines differ stand
+    for as many elements that one of them lacks: what is left must suffice as well.
     """
     sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     known = rows.join(main.select("key", "main"), "key")
-    some = known.where("label != main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("at").alias("ia"))
-    other = known.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("at").alias("ib"), "main")
+    some = known.where("label != main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("at").alias("ia"), *(F.col(c).alias(f"{c}a") for c in OUTLINE if placed))
+    other = known.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("at").alias("ib"), "main", *(F.col(c).alias(f"{c}b") for c in OUTLINE if placed))
     fits = (F.col("na") >= share * F.col("nb")) & (F.col("nb") >= share * F.col("na"))
     left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + 1
-    enough = fits & (left >= share / (1 + share) * (F.col("na") + F.col("nb")) - 1e-6)
-    met = some.join(other, "key").where("la != lb AND (lb = main OR a > b)").where(enough if placed else F.lit(True))
+    least = F.lit(share / (1 + share)) * (F.col("na") + F.col("nb")) - 1e-6
+    met = some.join(other, "key").where("la != lb AND (lb = main OR a > b)")
+    if placed:
+        met = met.where(fits & (left >= least) & (F.expr("somea + someb - bit_count(w0a ^ w0b) - bit_count(w1a ^ w1b)") >= 2 * least))
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -50,17 +55,18 @@ def _counts(sets: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, share: float, counts: DataFrame | None = None) -> DataFrame:
-    """(key, id, n, label, at): each set's rarest elements and their places in its order, as many as two sets of similarity `share` must share one of.
+    """(key, id, n, label, at, and OUTLINE): each set's rarest elements and their places in its order, as many as two sets of similarity `share` must share one of.
 
     sets: (id, label, n, key), a row for each element. Pairs are wanted across components alone, so elements of one
     component alone come first in the order, and lead to no pair: a large component of copies that meets another row by a passage gives the passage's elements.
+    Outlines are of a set's elements that components share: others can't be in two sets of different components.
     """
     shared = sets.join((_counts(sets) if counts is None else counts).hint("shuffle_hash"), "key")
     own = Window.partitionBy("id")  # one set's elements
-    placed = shared.select("key", "id", "n", "label", F.row_number().over(own.orderBy("df", "key")).alias("at"), F.count("*").over(own).alias("some"))
+    placed = shared.select("key", "id", "n", "label", F.row_number().over(own.orderBy("df", "key")).alias("at"), F.count("*").over(own).alias("some"), *(F.bit_xor(F.expr(f"if(key & 64 = {64 * i}, shiftleft(1L, cast(key & 63 as int)), 0L)")).over(own).alias(f"w{i}") for i in (0, 1)))
     length = F.col("n") - F.ceil(F.lit(share) * F.col("n") - F.lit(1e-9)) + 1
     at = F.col("n") - F.col("some") + F.col("at")
-    return placed.where(at <= length).select("key", "id", "n", "label", at.alias("at"))
+    return placed.where(at <= length).select("key", "id", "n", "label", at.alias("at"), *OUTLINE)
 
 
 def link_components(

@@ -103,6 +103,22 @@ def test_only_shared_keys_are_dealt_with_their_rows(spark, monkeypatch):
     assert found.collect() == [] and saved["shared-keys"] == 2 and saved["members"] == 6
 
 
+def test_pairs_that_cannot_be_alike_are_not_made(spark):
+    """Rows outside the largest component that share rare elements with all of it, but too few: no pair. Rows alike enough meet."""
+    share = 0.8
+    core = set(range(1000, 1040))
+    sets = {i: (1, core | {i}) for i in range(30)}
+    sets |= {100 + i: (100 + i, {*range(1000, 1033), *range(2000, 2008)}) for i in range(30)}  # 33 of 49 elements with each copy
+    sets |= {200: (200, core | {3000, 3001})}
+    sets |= {300 + i: (300 + i, {*range(2000, 2008), *range(1033, 1040), *range(4000 + 40 * i, 4030 + 40 * i)}) for i in range(100)}  # what only one of the two has is common elsewhere
+    rows = [(i, label, len(x), k) for i, (label, x) in sets.items() for k in x]
+    prefixes = linking._prefixes(spark.createDataFrame(rows, "id long, label long, n long, key long"), share)
+    got = {(r["a"], r["b"]) for r in linking._across(prefixes, share, True).collect()}
+    want = {(a, b) for a in sets for b in sets if a > b and sets[a][0] != sets[b][0] and len(sets[a][1] & sets[b][1]) >= share * len(sets[a][1] | sets[b][1])}
+    assert {(200, i) for i in range(30)} <= want <= got
+    assert not any(a in range(100, 130) and b < 30 for a, b in got)
+
+
 def test_keys_of_several_tables_are_dealt_one_after_the_other(spark, monkeypatch):
     """The same result, no table but one is dealt at a time, and what bands were read from is gone before texts are fetched."""
     saved, seen = [], []
@@ -301,6 +317,25 @@ def test_lines_are_banded_in_small_parts(monkeypatch):
     assert len(sizes) > 10 and max(sizes) <= 1000
 
 
+def test_pairs_are_compared_together(monkeypatch):
+    """The same links as by sets; repeats within a line count once; no call takes many long lines."""
+    r = random.Random(11)
+    pairs = [("abcdefg", "abcdefg"), ("a" * 30, "a" * 9), ("abcdefg", "abcdefh"), ("x" * 20_000, "x" * 19_000 + "y")]
+    for k in range(300):
+        a = sentence(500 + k, r.randint(2, 40))
+        b = list(a + a[: 30 * (k % 2)])
+        for _ in range(k % 5):
+            b[r.randrange(len(b))] = "Z"
+        pairs.append((a, "".join(b)))
+    sets = [[{x[i : i + 7] for i in range(len(x) - 6)} for x in p] for p in pairs]
+    want = [100 * len(a & b) >= 85 * len(a | b) for a, b in sets]
+    assert 50 < sum(want) < 250
+    assert line_dedup.alike(*map(list, zip(*pairs, strict=True))).tolist() == want
+    monkeypatch.setattr(line_dedup, "TOGETHER", 2000)
+    cuts = line_dedup._cuts([len(a) + len(b) for a, b in pairs])
+    assert [k for i, j in cuts for k in range(i, j)] == list(range(len(pairs))) and len(cuts) > 10 and line_dedup._cuts([]) == []
+
+
 def test_short_lines_take_part(documents):
     """Equal lines of any length, and short lines that share all their shingles; other short lines stay."""
     rows = [(1, "Menu\n}\n\n \t\nabcdefg\naaaaaaa"), (2, " menu \n}\nmenus\n\n \nabcdefh"), (3, "x\nABCDEFG\nmen\naaaaaaaaa"), (4, "x\n漢字"), (5, "漢字\nMENU")]
