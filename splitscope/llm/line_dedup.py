@@ -11,6 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from splitscope.llm import dealt
 from splitscope.llm.common import BASE, BESIDE, TEXT_KEY, as_long, drop, map_arrow, mix, raw_text, renewed, save, text_groups, text_key, with_text_key
 from splitscope.llm.linking import link_components
 
@@ -19,8 +20,8 @@ from splitscope.llm.linking import link_components
 SHINGLE, PERCENT, BANDS, WIDTH = 7, 85, 10, 4
 #: Normalised characters of the shortest line that takes part: every line with a word does. Bands need a whole shingle; shorter lines are alike if they are equal.
 SHORTEST = 1
-#: Characters that are banded at once: their arrays stay in a core's cache.
-TOGETHER = 1 << 16
+#: Characters that are banded at once: their arrays stay in a core's cache. Lines that a task remembers, to hash and band them once.
+TOGETHER, REMEMBERED = 1 << 16, 1 << 16
 _U = np.uint64
 _HASHES = BANDS * WIDTH
 _ORDERS = np.argsort(mix(np.arange(_HASHES * _HASHES, dtype=np.uint64).reshape(_HASHES, _HASHES) + _U(7)), axis=1)
@@ -37,32 +38,29 @@ def line_key(normal: str) -> int:
 
 
 def _grams(points: np.ndarray) -> np.ndarray:
-    """Hash of the SHINGLE characters from each position on."""
-    n = len(points) - SHINGLE + 1
+    """Hash of the SHINGLE characters from each position on: a polynomial, each part made of two of half its length."""
     x = points.astype(np.uint64)
-    h = x[:n].copy()
-    for i in range(1, SHINGLE):
-        h *= BASE
-        h += x[i : i + n]
-    return mix(h)
+
+    def of(n: int) -> np.ndarray:
+        if n == 1:
+            return x
+        right = of(n // 2)
+        left = right if n % 2 == 0 else of(n - n // 2)
+        m = len(x) - n + 1
+        h = left[:m] * _U(pow(int(BASE), n // 2, 1 << 64))
+        h += right[n - n // 2 :][:m]
+        return h
+
+    return mix(of(SHINGLE))
 
 
 def _whole_grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of lines (of SHINGLE characters at least), line after line, and the number of each one's line."""
     sizes = np.array([len(x) for x in lines])
-    ends = np.cumsum(sizes)
     h = _grams(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32))
-    owner = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
-    whole = np.arange(len(h)) + SHINGLE <= ends[owner]
-    return h[whole], owner[whole]
-
-
-def shingles(normal: str) -> np.ndarray:
-    """Sorted distinct hashes of a line's character shingles; a line shorter than one is its own."""
-    points = np.frombuffer(normal.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(points) < SHINGLE:
-        points = np.r_[points, np.zeros(SHINGLE - len(points), np.uint32)]
-    return np.unique(_grams(points))
+    whole = np.ones(len(h), bool)
+    whole[(np.cumsum(sizes)[:-1, None] - np.arange(1, SHINGLE)).ravel()] = False
+    return h[whole], np.repeat(np.arange(len(lines)), sizes - SHINGLE + 1)
 
 
 def _cuts(sizes: list[int]) -> list[tuple[int, int]]:
@@ -104,42 +102,65 @@ def _band_keys(lines: list[str]) -> np.ndarray:
     return key
 
 
-_LINES = "doc_id long, t long, pos int, line long, keys array<long>"
+_LINES = f"doc_id long, t long, pos int, line long, {dealt.schema(2)}"
+_EMPTY = pa.RecordBatch.from_arrays([pa.nulls(0, x) for x in (pa.int64(), pa.int64(), pa.int32(), pa.int64())], ["doc_id", "t", "pos", "line"])
+
+
+def _beside(a: pa.RecordBatch, b: pa.RecordBatch) -> pa.RecordBatch:
+    """The columns of both, one of which has no row: null there."""
+    n = max(a.num_rows, b.num_rows)
+    wide = [c if len(c) else pa.nulls(n, c.type) for c in (*a.columns, *b.columns)]
+    return pa.RecordBatch.from_arrays(wide, [*a.schema.names, *b.schema.names])
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line of SHORTEST characters or more, with its band keys, if it holds a shingle, the first time it is
-    met in a group of texts; and a row for each document, with pos -1 and its number of lines as `line`."""
+    """A row for each line of SHORTEST characters or more; a row for each document, with pos -1 and its number of lines as `line`;
+    and band keys and their lines, dealt by key (kind is null else), of the lines that hold a shingle, the first time that a task meets them."""
+    buckets = dealt.n_buckets(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        fresh: list[str] = []
+        size = 0
+        out = dealt.Parts(buckets, 0, 2)
+        none = dealt.deal(np.empty(0, np.int64), buckets, 0, [], 2)
+
+        def banded() -> Iterator[pa.RecordBatch]:
+            if fresh:
+                lines = np.array([seen[x] for x in fresh], np.int64)
+                yield from out.add(as_long(band_keys(fresh)).ravel(), np.repeat(lines, BANDS))
+
         for ids, texts in text_groups(batches, ("doc_id", "text")):
-            doc, key, pos, line, fresh = [], [], [], [], []
-            seen: dict[str, int] = {}
-            for i, text in zip(ids, texts, strict=True):
-                t = text_key(text)
-                lines = (text or "").split("\n")
-                doc.append(i), key.append(t), pos.append(-1), line.append(len(lines)), fresh.append(False)
+            keys, counts, pos, line = [], [], [], []
+            for text in texts:
+                keys.append(text_key(text))
+                lines = (text or "").lower().split("\n")  # a line's case doesn't depend on others
+                before = len(pos)
+                pos.append(-1), line.append(len(lines))
                 for p, x in enumerate(lines):
-                    x = normal_line(x)
+                    x = " ".join(x.split())
                     if len(x) < SHORTEST:
                         continue
-                    new = x not in seen
-                    if new:
-                        seen[x] = line_key(x)
-                    doc.append(i), key.append(t), pos.append(p), line.append(seen[x]), fresh.append(new and len(x) >= SHINGLE)
-            banded = [x for x in seen if len(x) >= SHINGLE]
-            made = as_long(band_keys(banded)) if banded else np.empty((0, BANDS), np.int64)
-            stops = np.cumsum(np.array(fresh) * BANDS)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(doc, pa.int64()),
-                    pa.array(key, pa.int64()),
-                    pa.array(pos, pa.int32()),
-                    pa.array(line, pa.int64()),
-                    pa.ListArray.from_arrays(np.r_[0, stops].astype(np.int32), pa.array(made.ravel(), pa.int64())),
-                ],
-                ["doc_id", "t", "pos", "line", "keys"],
-            )
+                    key = seen.get(x)
+                    if key is None:
+                        key = seen[x] = line_key(x)
+                        if len(x) >= SHINGLE:
+                            fresh.append(x)
+                            size += len(x)
+                    pos.append(p), line.append(key)
+                counts.append(len(pos) - before)
+            at = pa.array(np.repeat(np.arange(len(ids)), counts))
+            found = [pa.array(ids, pa.int64()).take(at), pa.array(keys, pa.int64()).take(at), pa.array(pos, pa.int32()), pa.array(line, pa.int64())]
+            yield _beside(pa.RecordBatch.from_arrays(found, _EMPTY.schema.names), none)
+            if size >= 16 * TOGETHER or len(seen) >= REMEMBERED:
+                for x in banded():
+                    yield _beside(_EMPTY, x)
+                fresh.clear()
+                size = 0
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+        for x in (*banded(), *out.rest()):
+            yield _beside(_EMPTY, x)
 
     return map_arrow(docs.select("doc_id", "text"), run, _LINES)
 
@@ -147,17 +168,26 @@ def _lines(docs: DataFrame) -> DataFrame:
 def alike(xs: list[str], ys: list[str]) -> np.ndarray:
     """Whether the sets of shingles of each pair of lines (of SHINGLE characters at least) have the similarity asked for.
 
-    The number of a pair stands in the upper bits of its shingles' hashes, so that all sets are counted by one sort.
+    The number of a pair stands in the upper bits of its shingles' hashes and the side in the last, so that all sets are counted by one sort.
     """
     bits = _U(64 - len(xs).bit_length())
-
-    def sizes(keys: np.ndarray) -> np.ndarray:
-        keys = np.sort(keys)
-        return np.bincount((keys[np.r_[True, keys[1:] != keys[:-1]]] >> bits).astype(np.int64), minlength=len(xs))
-
-    a, b = (owner.astype(np.uint64) << bits | h >> (_U(64) - bits) for h, owner in map(_whole_grams, (xs, ys)))
-    union = sizes(np.concatenate([a, b]))
-    return 100 * (sizes(a) + sizes(b) - union) >= PERCENT * union
+    number = {x: i for i, x in enumerate(dict.fromkeys((*xs, *ys)))}  # a line of several pairs is hashed once
+    h, _ = _whole_grams(list(number))
+    h >>= _U(64) - bits
+    h &= ~_U(1)
+    sizes = np.array([len(x) - SHINGLE + 1 for x in number])
+    starts = np.cumsum(sizes) - sizes
+    keys = []
+    for side, lines in enumerate((xs, ys)):
+        line = np.array([number[x] for x in lines])
+        n = sizes[line]
+        owner = np.repeat(np.arange(len(lines)), n)
+        keys.append(h[np.arange(len(owner)) + (starts[line] - np.cumsum(n) + n)[owner]] | (owner.astype(np.uint64) << bits | _U(side)))
+    keys = np.sort(np.concatenate(keys))
+    keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
+    count = lambda x: np.bincount((x >> bits).astype(np.int64), minlength=len(xs))
+    common = count(keys[1:][keys[1:] ^ keys[:-1] == _U(1)])
+    return 100 * common >= PERCENT * (count(keys) - common)
 
 
 def _linked(pairs: DataFrame) -> DataFrame:
@@ -174,25 +204,31 @@ def _linked(pairs: DataFrame) -> DataFrame:
     return map_arrow(pairs, run, "a long, b long")
 
 
-def _elements(texts: DataFrame) -> DataFrame:
-    """(id, n, key, label) for each shingle of the lines."""
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """What linking's _prefixes gives for the lines' sets of shingles; texts: (id, x, label)."""
+    buckets = dealt.n_buckets(texts.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for b in batches:
-            sets = [shingles(x) for x in b.column(1).to_pylist()]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            if len(sets):
-                ids, labels = (np.repeat(b.column(i).to_numpy(), sizes) for i in (0, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(sizes, sizes)), pa.array(as_long(np.concatenate(sets))), pa.array(labels)], ["id", "n", "key", "label"])
+            ids, labels = (b.column(i).to_numpy() for i in (0, 2))
+            lines = b.column(1).to_pylist()
+            for i, j in _cuts([len(x) for x in lines]):
+                h, owner = _whole_grams(lines[i:j])
+                order = np.argsort(h)
+                order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
+                h, owner = h[order], owner[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
+                yield ids[i:j], labels[i:j], as_long(h[new]), owner[new]
 
-    return map_arrow(texts.select("id", "x", "label"), run, "id long, n long, key long, label long")
+    rows = map_arrow(texts.select("id", "x", "label"), lambda batches: dealt.deal_sets(sets(batches), buckets), dealt.schema(4))
+    return dealt.prefix_rows(rows, PERCENT / 100)
 
 
 def _texts_of(docs: DataFrame, where: DataFrame) -> DataFrame:
     """(id, x): the normalised lines at the places `where` (t, pos, line). Texts move compressed."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=1)
         for b in batches:
             texts = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in texts], pa.int64()), pa.array([press.compress(raw_text(t)) for t in texts], pa.binary())], ["t", "packed"])
@@ -220,26 +256,24 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """
     spark = docs.sparkSession
     banded, p0 = save(_lines(docs), "banded-lines")
-    lines, p1 = save(banded.drop("keys"), "lines")
+    lines, p1 = save(banded.where("kind IS NULL").select("doc_id", "t", "pos", "line"), "lines")
     found_lines = lines.where("pos >= 0")
     place = F.struct("doc_id", "t", "pos")
     equal, p2 = save(found_lines.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first")), "equal-lines")
     def fetch(ids: DataFrame) -> DataFrame:
-        return _texts_of(docs, equal.join(ids.toDF("line"), "line").select("line", "first.t", "first.pos"))
+        return _texts_of(docs, equal.join(ids.toDF("line").hint("shuffle_hash"), "line").select("line", "first.t", "first.pos"))
 
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         side = lambda c: texts.select(F.col("id").alias(c), F.col("x").alias(f"x{c}"))
         return _linked(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb"))
 
-    keyed = banded.where(F.size("keys") > 0)
-    half = BANDS // 2
-    bands = [keyed.select(F.col("line").alias("id"), F.explode(F.slice("keys", at, half)).alias("key"), F.lit(1).cast("long").alias("n")) for at in (1, half + 1)]
-    linked, used = link_components(bands, fetch, verify, _elements, PERCENT / 100, (p0,))
+    bands = dealt.shared_rows(banded.where("kind IS NOT NULL").select("bucket", "kind", "c0", "c1")).withColumn("n", F.lit(1).cast("long"))
+    linked, used = link_components(bands, fetch, verify, None, PERCENT / 100, (p0,), shared=True, prefixes_of=_prefixes)
     # of the lines that are not alone: the first of each component
-    classes = equal.join(linked.withColumnRenamed("node", "line"), "line", "left").where("n > 1 OR component IS NOT NULL").select("line", F.coalesce("component", "line").alias("component"), "first")
+    classes = equal.join(linked.withColumnRenamed("node", "line").hint("shuffle_hash"), "line", "left").where("n > 1 OR component IS NOT NULL").select("line", F.coalesce("component", "line").alias("component"), "first")
     keepers = classes.groupBy("component").agg(F.min("first").alias("keeper"))
     classes, p3 = save(classes.join(keepers, "component").select("line", "keeper"), "line-classes")
-    gone = found_lines.select("doc_id", "t", "pos", "line").join(classes, "line").where(~F.struct("doc_id", "t", "pos").eqNullSafe(F.col("keeper")))
+    gone = found_lines.select("doc_id", "t", "pos", "line").join(classes.hint("shuffle_hash"), "line").where(~F.struct("doc_id", "t", "pos").eqNullSafe(F.col("keeper")))
     removed, p4 = save(gone.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("pos")).alias("removed")), "removed-lines")
     documents = lines.where("pos = -1").select("doc_id", "t", F.col("line").alias("n_lines"))
     drop(spark, p2, p3, *used)

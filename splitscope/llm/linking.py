@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitscope.llm.common import drop, save
+from splitscope.llm.dealt import WORDS
 from splitscope.llm.graph import components
 
 
 #: Rows of a bucket up to which its pairs across components are made: a row then has fewer than so many in each.
 SMALL = 32
-#: Of a set: how many of its elements may be in others, and 128 bits, each the parity of those elements that fall on it.
-OUTLINE = ("some", "w0", "w1")
+#: Of a set: how many of its elements may be in others, and 64 * WORDS bits, each the parity of those elements that fall on it.
+OUTLINE = ("some", *(f"w{i}" for i in range(WORDS)))
 
 
 def _across(rows: DataFrame, share: float, placed: bool) -> DataFrame:
@@ -44,7 +45,7 @@ def _across(rows: DataFrame, share: float, placed: bool) -> DataFrame:
     least = F.lit(share / (1 + share)) * (F.col("na") + F.col("nb")) - 1e-6
     met = some.join(other, "key").where("la != lb AND (lb = main OR a > b)")
     if placed:
-        met = met.where(fits & (left >= least) & (F.expr("somea + someb - bit_count(w0a ^ w0b) - bit_count(w1a ^ w1b)") >= 2 * least))
+        met = met.where(fits & (left >= least) & (F.expr("somea + someb - " + " - ".join(f"bit_count(w{i}a ^ w{i}b)" for i in range(WORDS))) >= 2 * least))
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -63,7 +64,7 @@ def _prefixes(sets: DataFrame, share: float, counts: DataFrame | None = None) ->
     """
     shared = sets.join((_counts(sets) if counts is None else counts).hint("shuffle_hash"), "key")
     own = Window.partitionBy("id")  # one set's elements
-    placed = shared.select("key", "id", "n", "label", F.row_number().over(own.orderBy("df", "key")).alias("at"), F.count("*").over(own).alias("some"), *(F.bit_xor(F.expr(f"if(key & 64 = {64 * i}, shiftleft(1L, cast(key & 63 as int)), 0L)")).over(own).alias(f"w{i}") for i in (0, 1)))
+    placed = shared.select("key", "id", "n", "label", F.row_number().over(own.orderBy("df", "key")).alias("at"), F.count("*").over(own).alias("some"), *(F.bit_xor(F.expr(f"if(key & {64 * (WORDS - 1)} = {64 * i}, shiftleft(1L, cast(key & 63 as int)), 0L)")).over(own).alias(f"w{i}") for i in range(WORDS)))
     length = F.col("n") - F.ceil(F.lit(share) * F.col("n") - F.lit(1e-9)) + 1
     at = F.col("n") - F.col("some") + F.col("at")
     return placed.where(at <= length).select("key", "id", "n", "label", at.alias("at"), *OUTLINE)
@@ -73,9 +74,11 @@ def link_components(
     bands: DataFrame | list[DataFrame],
     fetch: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame, DataFrame], DataFrame],
-    elements: Callable[[DataFrame], DataFrame],
+    elements: Callable[[DataFrame], DataFrame] | None,
     share: float,
     read: tuple[str, ...] = (),
+    shared: bool = False,
+    prefixes_of: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """(node, component) of all nodes with a link, and the tables to drop in the end.
 
@@ -83,7 +86,8 @@ def link_components(
     its set, or 1 for all if it isn't known yet; or several such tables without a key in common, dealt one after the other to need less room. fetch: ids -> their texts (a table with id). verify: pairs (a, b) and the
     texts -> those pairs that are linked. elements: texts with label -> (id, n, key, label) for each element of the sets (without
     label, it is joined). share: the least similarity. read: tables
-    that only bands are read from, dropped once they are.
+    that only bands are read from, dropped once they are. shared: bands hold only keys that two nodes have, and n follows from id. prefixes_of:
+    texts with label -> what _prefixes gives for their sets, in place of elements.
     """
     tables = bands if isinstance(bands, list) else [bands]
     spark = tables[0].sparkSession
@@ -91,12 +95,17 @@ def link_components(
     # nearly all keys are one node's alone: the others are a table of their own, so that the shuffle files of all keys go before all rows are dealt
     found = []
     for some in tables:
-        shared, p0 = save(some.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared-keys")
-        found.append(save(some.join(shared.hint("shuffle_hash"), "key"), "shared-bands"))
+        if shared:
+            found.append(save(some, "shared-bands"))
+            continue
+        keys, p0 = save(some.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared-keys")
+        found.append(save(some.join(keys.hint("shuffle_hash"), "key"), "shared-bands"))
         drop(spark, p0)
     drop(spark, *read)
     met = functools.reduce(DataFrame.unionByName, [x for x, _ in found])
-    ends = met.groupBy("key").agg(F.min(row).alias("lo"), F.count("*").alias("size"))
+    # min_by needs no sort of the rows, but n must follow from the id
+    least = F.struct(F.min("id").alias("id"), F.min_by("n", "id").alias("n")) if shared else F.min(row)
+    ends = met.groupBy("key").agg(least.alias("lo"), F.count("*").alias("size"))
     members, p2 = save(met.join(ends, "key").select("id", "n", "key", "lo", "size").distinct(), "members")
     drop(spark, *(path for _, path in found))
     texts, p1 = save(fetch(members.select("id").distinct()), "member-texts")
@@ -116,13 +125,16 @@ def link_components(
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     rows, p6 = save(labelled.join(mixed, "key"), "open")
     nodes = rows.where(F.col("size") > SMALL).select("id", "label").distinct()
-    sets = elements(texts.join(nodes, "id"))
-    if "label" not in sets.columns:
-        sets = sets.join(nodes, "id")
-    # a table of their own, so that their shuffle files go before the sets are dealt
-    counts, p11 = save(_counts(sets), "shared-elements")
-    prefixes, p7 = save(_prefixes(sets, share, counts), "prefixes")
-    drop(spark, p11)
+    if prefixes_of:
+        prefixes, p7 = save(prefixes_of(texts.join(nodes, "id")), "prefixes")
+    else:
+        sets = elements(texts.join(nodes, "id"))
+        if "label" not in sets.columns:
+            sets = sets.join(nodes, "id")
+        # a table of their own, so that their shuffle files go before the sets are dealt
+        counts, p11 = save(_counts(sets), "shared-elements")
+        prefixes, p7 = save(_prefixes(sets, share, counts), "prefixes")
+        drop(spark, p11)
     few = _across(rows.where(F.col("size") <= SMALL).withColumn("at", F.lit(1)), share, False)
     pairs = few.unionByName(_across(prefixes, share, True)).distinct()
     fresh, p8 = save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")

@@ -3,10 +3,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from splitscope.llm import graph, line_dedup, linking, near_dedup, suffix_dedup
+from splitscope.llm import dealt, graph, line_dedup, linking, near_dedup, suffix_dedup
 from tests.llm.conftest import ODD, sentence
 
 
@@ -345,6 +346,75 @@ def test_short_lines_take_part(documents):
     assert left == {1: rows[0][1], 2: "menus\n\n \nabcdefh", 3: "x\nmen", 4: "漢字"}
 
 
+def as_dealt(batches):
+    """The batches as a task gets them after by_bucket."""
+    table = pa.Table.from_batches(list(batches))
+    return table.sort_by([("bucket", "ascending"), ("kind", "ascending")]).to_batches(max_chunksize=4)
+
+
+@pytest.mark.parametrize("part", [3, 40, 1 << 18])
+def test_shared_rows_of_arrays(spark, monkeypatch, part):
+    """Rows whose key has two ids, also if a key's rows come in parts, repeat, or one key has most rows."""
+    monkeypatch.setattr(dealt, "PART", part)
+    r = random.Random(9)
+    rows = [(r.choice([7, r.randrange(-60, 60)]), r.randrange(-40, 40)) for _ in range(150)]
+    rows += [(1000 + i // 3, -i // 3) for i in range(60)] + [(5000, 1)] * 9 + [(5001, 1)] * 4 + [(5001, 2)]
+    r.shuffle(rows)
+    ids = defaultdict(set)
+    for k, i in rows:
+        ids[k].add(i)
+    want = {(i, k) for k, x in ids.items() if len(x) > 1 for i in x}
+    out = dealt.Parts(5, 0, 2)
+    batches = [b for k, i in rows for b in out.add(np.array([k]), np.array([i]))] + list(out.rest())
+    got = [x for b in dealt._shared(iter(as_dealt(batches))) for x in zip(*b.to_pydict().values(), strict=True)]
+    assert set(got) == want
+    table = spark.createDataFrame([tuple(x.values()) for b in batches for x in b.to_pylist()], dealt.schema(2))
+    assert set(map(tuple, dealt.shared_rows(table).collect())) == want
+
+
+@pytest.mark.parametrize("part", [7, 100, 1 << 18])
+def test_prefix_rows_of_arrays(spark, monkeypatch, part):
+    """The rows that _prefixes gives."""
+    monkeypatch.setattr(dealt, "PART", part)
+    r = random.Random(12)
+    sets = {-i if i % 2 else i << 40: (r.randrange(4), set(r.sample(range(-20, 20), r.randint(1, 12))) | {10**15 + i}) for i in range(60)}
+    flat = [(i, label, len(x), k) for i, (label, x) in sets.items() for k in x]
+    want = linking._prefixes(spark.createDataFrame(flat, "id long, label long, n long, key long"), 0.7)
+    ids = sorted(sets)
+    groups = []
+    for at in range(0, 60, 20):
+        own = ids[at : at + 20]
+        keys = [(k, j) for j, i in enumerate(own) for k in sorted(sets[i][1])]
+        groups.append((np.array(own), np.array([sets[i][0] for i in own]), *(np.array(c) for c in zip(*keys, strict=True))))
+    batches = list(dealt.deal_sets(iter(groups), 5))
+    placed = dealt._placed(iter(as_dealt(batches)), 3)
+    got = [x for b in dealt._ordered(iter(as_dealt(placed)), 0.7) for x in zip(*b.to_pydict().values(), strict=True)]
+    rows = sorted(map(tuple, want.collect()))
+    assert rows and sorted(got) == rows
+    table = spark.createDataFrame([tuple(x.values()) for b in batches for x in b.to_pylist()], dealt.schema(4))
+    out = dealt.prefix_rows(table, 0.7)
+    assert out.columns == want.columns and sorted(map(tuple, out.collect())) == rows
+
+
+def test_lines_deal_keys_as_arrays(documents, monkeypatch):
+    """Of many lines, few rows are dealt; neither keys nor shingles are rows of their own before they are known to be shared."""
+    saved = {}
+
+    def save(df, name):
+        table, path = graph.save(df, name)
+        saved[name] = table.count()
+        return table, path
+
+    monkeypatch.setattr(line_dedup, "save", save)
+    monkeypatch.setattr(linking, "save", save)
+    rows = [(i, "\n".join(sentence(9000 + 50 * i + k, 12) for k in range(50))) for i in range(20)]
+    rows += [(20, rows[0][1].upper())]
+    got = {x["doc_id"]: x["removed"] for x in line_dedup.line_duplicates(documents(rows)).collect()}
+    assert got == {i: list(range(50)) if i == 20 else [] for i in range(21)}
+    assert saved["lines"] == 21 * 51 and "shared-keys" not in saved and "shared-elements" not in saved
+    assert saved["banded-lines"] < 21 * 51 + 20 * 50
+
+
 # --- op 8 ---
 
 
