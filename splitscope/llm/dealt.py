@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from splitscope.llm.common import as_long, map_arrow, mix
 
 #: Numbers of a column that are dealt or worked on at once; buckets for a shuffle partition.
-PART, EACH = 1 << 18, 8
+PART, EACH = 1 << 18, 2
 _U = np.uint64
 
 

@@ -22,6 +22,8 @@ SHINGLE, PERCENT, BANDS, WIDTH = 7, 85, 10, 4
 SHORTEST = 1
 #: Characters that are banded at once: their arrays stay in a core's cache. Lines that a task remembers, to hash and band them once.
 TOGETHER, REMEMBERED = 1 << 16, 1 << 16
+#: Lines of a bucket up to which its pairs are made (linking's SMALL): larger ones are few, and their lines' prefixes cost less than those pairs.
+SMALL = 16
 _U = np.uint64
 _HASHES = BANDS * WIDTH
 _ORDERS = np.argsort(mix(np.arange(_HASHES * _HASHES, dtype=np.uint64).reshape(_HASHES, _HASHES) + _U(7)), axis=1)
@@ -268,7 +270,7 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
         return _linked(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb"))
 
     bands = dealt.shared_rows(banded.where("kind IS NOT NULL").select("bucket", "kind", "c0", "c1")).withColumn("n", F.lit(1).cast("long"))
-    linked, used = link_components(bands, fetch, verify, None, PERCENT / 100, (p0,), shared=True, prefixes_of=_prefixes)
+    linked, used = link_components(bands, fetch, verify, None, PERCENT / 100, (p0,), shared=True, prefixes_of=_prefixes, small=SMALL)
     # of the lines that are not alone: the first of each component
     classes = equal.join(linked.withColumnRenamed("node", "line").hint("shuffle_hash"), "line", "left").where("n > 1 OR component IS NOT NULL").select("line", F.coalesce("component", "line").alias("component"), "first")
     keepers = classes.groupBy("component").agg(F.min("first").alias("keeper"))

@@ -79,6 +79,7 @@ def link_components(
     read: tuple[str, ...] = (),
     shared: bool = False,
     prefixes_of: Callable[[DataFrame], DataFrame] | None = None,
+    small: int | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """(node, component) of all nodes with a link, and the tables to drop in the end.
 
@@ -87,10 +88,11 @@ def link_components(
     texts -> those pairs that are linked. elements: texts with label -> (id, n, key, label) for each element of the sets (without
     label, it is joined). share: the least similarity. read: tables
     that only bands are read from, dropped once they are. shared: bands hold only keys that two nodes have, and n follows from id. prefixes_of:
-    texts with label -> what _prefixes gives for their sets, in place of elements.
+    texts with label -> what _prefixes gives for their sets, in place of elements. small: in place of SMALL.
     """
     tables = bands if isinstance(bands, list) else [bands]
     spark = tables[0].sparkSession
+    small = SMALL if small is None else small
     row = F.struct("id", "n")
     # nearly all keys are one node's alone: the others are a table of their own, so that the shuffle files of all keys go before all rows are dealt
     found = []
@@ -124,7 +126,7 @@ def link_components(
     labelled = members.select("id", "n", "key", "size").join(labels, "id", "left").select("id", "n", "key", "size", F.coalesce("component", "id").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     rows, p6 = save(labelled.join(mixed, "key"), "open")
-    nodes = rows.where(F.col("size") > SMALL).select("id", "label").distinct()
+    nodes = rows.where(F.col("size") > small).select("id", "label").distinct()
     if prefixes_of:
         prefixes, p7 = save(prefixes_of(texts.join(nodes, "id")), "prefixes")
     else:
@@ -135,7 +137,7 @@ def link_components(
         counts, p11 = save(_counts(sets), "shared-elements")
         prefixes, p7 = save(_prefixes(sets, share, counts), "prefixes")
         drop(spark, p11)
-    few = _across(rows.where(F.col("size") <= SMALL).withColumn("at", F.lit(1)), share, False)
+    few = _across(rows.where(F.col("size") <= small).withColumn("at", F.lit(1)), share, False)
     pairs = few.unionByName(_across(prefixes, share, True)).distinct()
     fresh, p8 = save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     more, p9 = save(verify(fresh, texts), "links")
