@@ -200,16 +200,98 @@ def _ordered(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.Rec
     yield from _prefixes(elements, sets, share)
 
 
+def _shared_elements(rows: DataFrame) -> DataFrame:
+    met = map_arrow(by_bucket(rows), functools.partial(_placed, buckets=n_buckets(rows.sparkSession)), schema(3))
+    return by_bucket(met)
+
+
 def prefix_rows(rows: DataFrame, share: float) -> DataFrame:
     """What linking's _prefixes gives, for sets dealt as arrays.
 
     rows: COUNTS (key, df, least label, greatest label), to be summed; ELEMENTS (key, id) of all sets;
     and SETS (id, n, label), dealt by id, which pass through.
     """
-    buckets = n_buckets(rows.sparkSession)
-    buckets = n_buckets(rows.sparkSession)
-    met = map_arrow(by_bucket(rows), functools.partial(_placed, buckets=buckets), schema(3))
-    return map_arrow(by_bucket(met), functools.partial(_ordered, share=share), ", ".join(f"{c} long" for c in _PREFIX))
+    return map_arrow(_shared_elements(rows), functools.partial(_ordered, share=share), ", ".join(f"{c} long" for c in _PREFIX))
+
+
+def _dealt_prefixes(batches: Iterator[pa.RecordBatch], share: float, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The prefix rows of a task's sets, dealt by key."""
+    out = Parts(buckets, 0, len(_PREFIX))
+    for b in _ordered(batches, share):
+        yield from out.add(*(c.to_numpy() for c in b.columns))
+    yield from out.rest()
+
+
+#: Pairs that are tested at once.
+PAIRS = 1 << 15
+
+
+def _across(columns: list[np.ndarray], share: float) -> Iterator[np.ndarray]:
+    """The pairs (greater id, lesser id) that linking's _across gives for prefix rows: all rows of a bucket's keys; some come more than once."""
+    key, label = columns[0], columns[3]
+    order = np.lexsort((label, key))
+    key, label = key[order], label[order]
+    # the rows of one key and label; the largest of a key comes last, as its rows don't meet each other
+    run = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (label[1:] != label[:-1])])
+    size = np.diff(np.r_[run, len(key)])
+    by_size = np.lexsort((size, key[run]))
+    last = np.r_[key[run][by_size][1:] != key[run][by_size][:-1], True]
+    main = np.zeros(len(run), bool)
+    main[by_size[last]] = True
+    main = np.repeat(main, size)
+    again = np.lexsort((main, key))
+    order, key, main = order[again], key[again], main[again]
+    start = _first(key)
+    ends = np.repeat(np.r_[start[1:], len(key)], np.diff(np.r_[start, len(key)]))
+    meets = np.where(main, 0, ends - np.arange(len(key)) - 1)
+    upto = np.cumsum(meets)
+    id_, n, label, at, some, *words = (c[order] for c in columns[1:])
+    words = [w.view(_U) for w in words]
+    for lo in range(0, int(upto[-1]), PAIRS):
+        hi = min(lo + PAIRS, int(upto[-1]))
+        rows = np.arange(np.searchsorted(upto, lo, "right"), np.searchsorted(upto, hi, "left") + 1)
+        before = upto[rows] - meets[rows]
+        from_, to = np.maximum(lo - before, 0), np.minimum(hi - before, meets[rows])
+        x = np.repeat(rows, to - from_)
+        y = x + 1 + np.repeat(from_ - np.cumsum(to - from_) + (to - from_), to - from_) + np.arange(len(x))
+        nx, ny = n[x], n[y]
+        least = share / (1 + share) * (nx + ny) - 1e-6
+        fits = (label[x] != label[y]) & (nx >= share * ny) & (ny >= share * nx) & (np.minimum(nx - at[x], ny - at[y]) + 1 >= least)
+        x, y, least = x[fits], y[fits], least[fits]
+        left = some[x] + some[y]
+        for w in words:
+            left = left - np.bitwise_count(w[x] ^ w[y])
+        x, y = x[left >= 2 * least], y[left >= 2 * least]
+        if len(x):
+            yield np.unique(np.stack((np.maximum(id_[x], id_[y]), np.minimum(id_[x], id_[y])), axis=1), axis=0)
+
+
+def _paired(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of the prefix rows of a task's keys, once for each bucket."""
+
+    def met(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        found = list(_across([np.concatenate(c) for c in zip(*held, strict=True)], share)) if held else []
+        if found:
+            a, b = np.unique(np.concatenate(found), axis=0).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], ["a", "b"])
+
+    now, held = None, []
+    for bucket, _, columns in parts(batches):
+        if bucket != now:
+            yield from met(held)
+            now, held = bucket, []
+        held.append(columns)
+    yield from met(held)
+
+
+def prefix_pairs(rows: DataFrame, share: float) -> DataFrame:
+    """The pairs that linking's _across gives for the prefix_rows of `rows`; some come more than once.
+
+    Prefix rows move as arrays and a bucket's pairs are tested in numpy, PAIRS at once: a large group of rows in
+    different components that share rare elements makes as many pairs as before, but no rows of them.
+    """
+    moved = map_arrow(_shared_elements(rows), functools.partial(_dealt_prefixes, share=share, buckets=n_buckets(rows.sparkSession)), schema(len(_PREFIX)))
+    return map_arrow(by_bucket(moved), functools.partial(_paired, share=share), "a long, b long")
 
 
 def deal_sets(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:

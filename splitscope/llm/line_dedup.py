@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitscope.llm import dealt
-from splitscope.llm.common import BASE, BESIDE, TEXT_KEY, as_long, drop, map_arrow, mix, raw_text, renewed, save, text_groups, text_key, with_text_key
+from splitscope.llm.common import BASE, BESIDE, CACHES, TEXT_KEY, as_long, drop, map_arrow, mix, renewed, save, text_groups, text_key, with_text_key
 from splitscope.llm.linking import link_components
+from splitscope.llm.phrases import SLOTS, bit_filter, in_filter
 
 #: Characters of a shingle; similarity in percent from which lines are one; bands, and hashes of a band.
 #: Lines of one language have less than 1 % of seven-character shingles in common by chance, so four hashes a band keep buckets small.
@@ -24,6 +24,8 @@ SHORTEST = 1
 TOGETHER, REMEMBERED = 1 << 16, 1 << 16
 #: Lines of a bucket up to which its pairs are made (linking's SMALL): larger ones are few, and their lines' prefixes cost less than those pairs.
 SMALL = 16
+#: Bits of the bitmaps of lines that are compared together, as a power of two.
+MARKS = 20
 _U = np.uint64
 _HASHES = BANDS * WIDTH
 _ORDERS = np.argsort(mix(np.arange(_HASHES * _HASHES, dtype=np.uint64).reshape(_HASHES, _HASHES) + _U(7)), axis=1)
@@ -39,29 +41,60 @@ def line_key(normal: str) -> int:
     return int.from_bytes(hashlib.blake2b(normal.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+#: Arrays that a task works in: new ones for each part would be given back to the system and fetched again.
+_ROOM: dict[str, np.ndarray] = {}
+CACHES.append(_ROOM.clear)
+
+
+def _room(name: str, n: int, dtype: type = np.uint64) -> np.ndarray:
+    """An array of n numbers: zeros, if it is new, else what was left there; kept up to 16 * TOGETHER numbers."""
+    if n > 16 * TOGETHER:
+        return np.zeros(n, dtype)
+    if name not in _ROOM or len(_ROOM[name]) < n:
+        _ROOM[name] = np.zeros(max(n, 2 * TOGETHER), dtype)
+    return _ROOM[name][:n]
+
+
 def _grams(points: np.ndarray) -> np.ndarray:
-    """Hash of the SHINGLE characters from each position on: a polynomial, each part made of two of half its length."""
-    x = points.astype(np.uint64)
+    """Hash of the SHINGLE characters from each position on: a polynomial, each part made of two of half its length. Stands in room that the next call takes."""
+    parts = {1: _room("1", len(points))}
+    parts[1][:] = points
 
     def of(n: int) -> np.ndarray:
-        if n == 1:
-            return x
-        right = of(n // 2)
-        left = right if n % 2 == 0 else of(n - n // 2)
-        m = len(x) - n + 1
-        h = left[:m] * _U(pow(int(BASE), n // 2, 1 << 64))
-        h += right[n - n // 2 :][:m]
-        return h
+        if n not in parts:
+            right = of(n // 2)
+            left = of(n - n // 2)
+            m = len(points) - n + 1
+            parts[n] = _room(str(n), m)
+            np.multiply(left[:m], _U(pow(int(BASE), n // 2, 1 << 64)), out=parts[n])
+            parts[n] += right[n - n // 2 :][:m]
+        return parts[n]
+
+    h = of(SHINGLE)
+    other = parts[1][: len(h)]  # of no use any more
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):  # mix, in place
+        np.right_shift(h, _U(shift), out=other)
+        h ^= other
+        if factor:
+            h *= _U(factor)
+    return h
 
-    return mix(of(SHINGLE))
+
+def _points(lines: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _torn(sizes: np.ndarray) -> np.ndarray:
+    """Positions in lines joined whose shingles run into the next line."""
+    return (np.cumsum(sizes)[:-1, None] - np.arange(1, SHINGLE)).ravel()
 
 
 def _whole_grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of lines (of SHINGLE characters at least), line after line, and the number of each one's line."""
     sizes = np.array([len(x) for x in lines])
-    h = _grams(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32))
+    h = _grams(_points(lines))
     whole = np.ones(len(h), bool)
-    whole[(np.cumsum(sizes)[:-1, None] - np.arange(1, SHINGLE)).ravel()] = False
+    whole[_torn(sizes)] = False
     return h[whole], np.repeat(np.arange(len(lines)), sizes - SHINGLE + 1)
 
 
@@ -84,10 +117,19 @@ def band_keys(lines: list[str]) -> np.ndarray:
 def _band_keys(lines: list[str]) -> np.ndarray:
     """One permutation, _HASHES buckets: the least hash of each bucket is its MinHash; an empty bucket takes
     the value of the first filled one in an order of its own."""
-    h, owner = _whole_grams(lines)
-    bucket = ((h >> _U(32)) * _U(_HASHES) >> _U(32)).astype(np.int64)
+    sizes = np.array([len(x) for x in lines])
+    h = _grams(_points(lines))
+    upper = _room("upper", len(h))
+    np.right_shift(h, _U(32), out=upper)
+    h <<= _U(32)
+    h |= upper
+    h[_torn(sizes)] = ~_U(0)  # the least of no bucket
+    upper *= _U(_HASHES)
+    upper >>= _U(32)
+    at = as_long(upper)
+    at += np.repeat(np.arange(0, len(lines) * _HASHES, _HASHES), sizes)[: len(h)]
     least = np.full(len(lines) * _HASHES, ~_U(0))
-    np.minimum.at(least, owner * _HASHES + bucket, h << _U(32) | h >> _U(32))
+    np.minimum.at(least, at, h)
     least = least.reshape(-1, _HASHES)
     held = least != ~_U(0)
     line, empty = np.nonzero(~held)
@@ -170,24 +212,41 @@ def _lines(docs: DataFrame) -> DataFrame:
 def alike(xs: list[str], ys: list[str]) -> np.ndarray:
     """Whether the sets of shingles of each pair of lines (of SHINGLE characters at least) have the similarity asked for.
 
-    The number of a pair stands in the upper bits of its shingles' hashes and the side in the last, so that all sets are counted by one sort.
+    A bitmap of each line's shingles comes first: a bit that one line alone has stands for a shingle that the other lacks.
+    For the pairs that this doesn't rule out, the number of a pair stands in the upper bits of its shingles' hashes and the side in the last, so that all sets are counted by one sort.
     """
-    bits = _U(64 - len(xs).bit_length())
     number = {x: i for i, x in enumerate(dict.fromkeys((*xs, *ys)))}  # a line of several pairs is hashed once
-    h, _ = _whole_grams(list(number))
-    h >>= _U(64) - bits
-    h &= ~_U(1)
+    h, of = _whole_grams(list(number))
     sizes = np.array([len(x) - SHINGLE + 1 for x in number])
     starts = np.cumsum(sizes) - sizes
+    sides = [np.array([number[x] for x in lines]) for lines in (xs, ys)]
+    m = 1 << max(6, MARKS - len(number).bit_length())
+    held = _room("held", len(number) * m, bool)
+    at = of * m + as_long(h & _U(m - 1))
+    held[at] = True
+    marks = np.packbits(held.reshape(-1, m), axis=1).view(np.uint64)
+    held[at] = False
+    apart = np.bitwise_count(marks[sides[0]] ^ marks[sides[1]]).sum(axis=1, dtype=np.int64)
+    out = (100 + PERCENT) * apart <= (100 - PERCENT) * (sizes[sides[0]] + sizes[sides[1]])  # sizes are those of the sets or more
+    left = np.flatnonzero(out)
+    if len(left):
+        out[left] = _equal_enough(h, starts, sizes, [line[left] for line in sides])
+    return out
+
+
+def _equal_enough(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray, sides: list[np.ndarray]) -> np.ndarray:
+    """What alike gives, for the two sides' numbers of lines, whose shingles' hashes are h[start : start + size]."""
+    pairs = len(sides[0])
+    bits = _U(64 - pairs.bit_length())
+    h = h >> _U(64) - bits & ~_U(1)
     keys = []
-    for side, lines in enumerate((xs, ys)):
-        line = np.array([number[x] for x in lines])
+    for side, line in enumerate(sides):
         n = sizes[line]
-        owner = np.repeat(np.arange(len(lines)), n)
+        owner = np.repeat(np.arange(pairs), n)
         keys.append(h[np.arange(len(owner)) + (starts[line] - np.cumsum(n) + n)[owner]] | (owner.astype(np.uint64) << bits | _U(side)))
     keys = np.sort(np.concatenate(keys))
     keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
-    count = lambda x: np.bincount((x >> bits).astype(np.int64), minlength=len(xs))
+    count = lambda x: np.bincount((x >> bits).astype(np.int64), minlength=pairs)
     common = count(keys[1:][keys[1:] ^ keys[:-1] == _U(1)])
     return 100 * common >= PERCENT * (count(keys) - common)
 
@@ -206,8 +265,8 @@ def _linked(pairs: DataFrame) -> DataFrame:
     return map_arrow(pairs, run, "a long, b long")
 
 
-def _prefixes(texts: DataFrame) -> DataFrame:
-    """What linking's _prefixes gives for the lines' sets of shingles; texts: (id, x, label)."""
+def _pairs(texts: DataFrame) -> DataFrame:
+    """The pairs that linking's _across gives for the prefixes of the lines' sets of shingles; texts: (id, x, label)."""
     buckets = dealt.n_buckets(texts.sparkSession)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -223,30 +282,45 @@ def _prefixes(texts: DataFrame) -> DataFrame:
                 yield ids[i:j], labels[i:j], as_long(h[new]), owner[new]
 
     rows = map_arrow(texts.select("id", "x", "label"), lambda batches: dealt.deal_sets(sets(batches), buckets), dealt.schema(4))
-    return dealt.prefix_rows(rows, PERCENT / 100)
+    return dealt.prefix_pairs(rows, PERCENT / 100)
+
+
+def _slots(t: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two slots of a filter for each place."""
+    h = mix(t.view(_U) + pos.astype(np.uint64) * BASE)
+    return as_long(h % _U(SLOTS)), as_long((h >> _U(32)) % _U(SLOTS))
 
 
 def _texts_of(docs: DataFrame, where: DataFrame) -> DataFrame:
-    """(id, x): the normalised lines at the places `where` (t, pos, line). Texts move compressed."""
+    """(id, x): the normalised lines at the places `where` (t, pos, line; a table, as it is read twice).
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+    A filter of a fixed size rules most other places out, so that few lines leave their documents; a filter that is too full admits more, which changes nothing.
+    """
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in texts], pa.int64()), pa.array([press.compress(raw_text(t)) for t in texts], pa.binary())], ["t", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_slots(*(c.to_numpy() for c in b.columns))))], ["slot"])
+
+    bits = bit_filter(map_arrow(where.select("t", "pos"), slots, "slot long"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            out = []
-            for packed, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines = unpack.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
-                out += [(w["line"], normal_line(lines[w["pos"]])) for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.string())], ["id", "x"])
-
-    packed = map_arrow(docs.where("text IS NOT NULL").select("text"), pack, "t long, packed binary")
-    wanted = where.groupBy("t").agg(F.collect_set(F.struct("pos", "line")).alias("wanted"))  # lines of one text
-    return map_arrow(packed.join(wanted, "t").dropDuplicates(["t"]).select("packed", "wanted"), cut, "id long, x string")
+            texts = b.column(0).to_pylist()
+            n = np.array([x.count("\n") + 1 for x in texts], np.int64)
+            own = np.repeat(np.arange(len(texts)), n)
+            pos = np.arange(len(own)) - (np.cumsum(n) - n)[own]
+            one, two = _slots(np.array([text_key(x) for x in texts], np.int64)[own], pos)
+            at = np.flatnonzero(in_filter(bits, one))
+            at = at[in_filter(bits, two[at])]
+            held, lines, out = -1, [], []
+            for d, p in zip(own[at].tolist(), pos[at].tolist(), strict=True):
+                if d != held:
+                    held, lines = d, texts[d].split("\n")
+                out.append(normal_line(lines[p]))
+            yield pa.RecordBatch.from_arrays([pa.array([line_key(x) for x in out], pa.int64()), pa.array(out, pa.string())], ["id", "x"])
+
+    lines = map_arrow(docs.where("text IS NOT NULL").select("text"), cut, "id long, x string")
+    return lines.join(where.select(F.col("line").alias("id")).hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
 
 
 def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -262,15 +336,19 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     found_lines = lines.where("pos >= 0")
     place = F.struct("doc_id", "t", "pos")
     equal, p2 = save(found_lines.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first")), "equal-lines")
+    more = []
+
     def fetch(ids: DataFrame) -> DataFrame:
-        return _texts_of(docs, equal.join(ids.toDF("line").hint("shuffle_hash"), "line").select("line", "first.t", "first.pos"))
+        where, path = save(equal.join(ids.toDF("line").hint("shuffle_hash"), "line").select("line", "first.t", "first.pos"), "member-places")
+        more.append(path)
+        return _texts_of(docs, where)
 
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         side = lambda c: texts.select(F.col("id").alias(c), F.col("x").alias(f"x{c}"))
         return _linked(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb"))
 
     bands = dealt.shared_rows(banded.where("kind IS NOT NULL").select("bucket", "kind", "c0", "c1")).withColumn("n", F.lit(1).cast("long"))
-    linked, used = link_components(bands, fetch, verify, None, PERCENT / 100, (p0,), shared=True, prefixes_of=_prefixes, small=SMALL)
+    linked, used = link_components(bands, fetch, verify, None, PERCENT / 100, (p0,), shared=True, pairs_of=_pairs, small=SMALL)
     # of the lines that are not alone: the first of each component
     classes = equal.join(linked.withColumnRenamed("node", "line").hint("shuffle_hash"), "line", "left").where("n > 1 OR component IS NOT NULL").select("line", F.coalesce("component", "line").alias("component"), "first")
     keepers = classes.groupBy("component").agg(F.min("first").alias("keeper"))
@@ -278,7 +356,7 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     gone = found_lines.select("doc_id", "t", "pos", "line").join(classes.hint("shuffle_hash"), "line").where(~F.struct("doc_id", "t", "pos").eqNullSafe(F.col("keeper")))
     removed, p4 = save(gone.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("pos")).alias("removed")), "removed-lines")
     documents = lines.where("pos = -1").select("doc_id", "t", F.col("line").alias("n_lines"))
-    drop(spark, p2, p3, *used)
+    drop(spark, p2, p3, *used, *more)
     return documents, removed, [p1, p4]
 
 

@@ -78,7 +78,7 @@ def link_components(
     share: float,
     read: tuple[str, ...] = (),
     shared: bool = False,
-    prefixes_of: Callable[[DataFrame], DataFrame] | None = None,
+    pairs_of: Callable[[DataFrame], DataFrame] | None = None,
     small: int | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """(node, component) of all nodes with a link, and the tables to drop in the end.
@@ -87,8 +87,8 @@ def link_components(
     its set, or 1 for all if it isn't known yet; or several such tables without a key in common, dealt one after the other to need less room. fetch: ids -> their texts (a table with id). verify: pairs (a, b) and the
     texts -> those pairs that are linked. elements: texts with label -> (id, n, key, label) for each element of the sets (without
     label, it is joined). share: the least similarity. read: tables
-    that only bands are read from, dropped once they are. shared: bands hold only keys that two nodes have, and n follows from id. prefixes_of:
-    texts with label -> what _prefixes gives for their sets, in place of elements. small: in place of SMALL.
+    that only bands are read from, dropped once they are. shared: bands hold only keys that two nodes have, and n follows from id. pairs_of:
+    texts with label -> the pairs that _across gives for the _prefixes of their sets, in place of elements. small: in place of SMALL.
     """
     tables = bands if isinstance(bands, list) else [bands]
     spark = tables[0].sparkSession
@@ -127,8 +127,8 @@ def link_components(
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     rows, p6 = save(labelled.join(mixed, "key"), "open")
     nodes = rows.where(F.col("size") > small).select("id", "label").distinct()
-    if prefixes_of:
-        prefixes, p7 = save(prefixes_of(texts.join(nodes, "id")), "prefixes")
+    if pairs_of:
+        rare, p7 = save(pairs_of(texts.join(nodes, "id")), "prefix-pairs")
     else:
         sets = elements(texts.join(nodes, "id"))
         if "label" not in sets.columns:
@@ -137,8 +137,9 @@ def link_components(
         counts, p11 = save(_counts(sets), "shared-elements")
         prefixes, p7 = save(_prefixes(sets, share, counts), "prefixes")
         drop(spark, p11)
+        rare = _across(prefixes, share, True)
     few = _across(rows.where(F.col("size") <= small).withColumn("at", F.lit(1)), share, False)
-    pairs = few.unionByName(_across(prefixes, share, True)).distinct()
+    pairs = few.unionByName(rare).distinct()
     fresh, p8 = save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     more, p9 = save(verify(fresh, texts), "links")
     paths += [p6, p7, p8, p9]

@@ -96,7 +96,7 @@ def bit_filter(slots: DataFrame) -> np.ndarray:
     return bits
 
 
-def _set(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+def in_filter(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (slots & 7) & 1).astype(bool)
 
 
@@ -169,7 +169,7 @@ def longest_grams(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, ids, kept, keys in _numbered(batches, frequent):
             linked = np.zeros(len(ids) + 2, bool)
-            linked[: len(keys)] = kept[:-1] & kept[1:] & _set(pairs, (keys & np.uint64(SLOTS - 1)).astype(np.int64))
+            linked[: len(keys)] = kept[:-1] & kept[1:] & in_filter(pairs, (keys & np.uint64(SLOTS - 1)).astype(np.int64))
             at = np.flatnonzero(linked)
             if not len(at):
                 continue

@@ -337,6 +337,82 @@ def test_pairs_are_compared_together(monkeypatch):
     assert [k for i, j in cuts for k in range(i, j)] == list(range(len(pairs))) and len(cuts) > 10 and line_dedup._cuts([]) == []
 
 
+def test_pairs_far_apart_are_not_counted(monkeypatch):
+    """Bitmaps rule out pairs of different lines, none that are alike, and leave nothing behind in the arrays that calls share."""
+    counted = []
+    count = line_dedup._equal_enough
+    monkeypatch.setattr(line_dedup, "_equal_enough", lambda h, starts, sizes, sides: counted.append(len(sides[0])) or count(h, starts, sizes, sides))
+    r = random.Random(21)
+    xs = [sentence(600 + k, 30) for k in range(200)]
+    ys = [x if k % 4 == 0 else x[:60] + "Z" + x[61:] if k % 4 == 1 else sentence(1600 + k, 30) if k % 4 == 2 else x[: len(x) // 2] + sentence(2600 + k, 15) for k, x in enumerate(xs)]
+    keys = line_dedup.band_keys(xs)
+    for _ in range(3):
+        counted.clear()
+        assert line_dedup.alike(xs, ys).tolist() == [k % 4 < 2 for k in range(200)] and sum(counted) <= 110
+        some = r.sample(range(200), 20)
+        assert (line_dedup.band_keys([xs[i] for i in some]) == keys[some]).all()
+
+
+def test_texts_of_few_lines_move(spark, documents, monkeypatch):
+    """The lines at some places, each once, though texts repeat; of other lines few leave their documents."""
+    rows = [(i, "\n".join(f"{sentence(3000 + 40 * i + k, 6)}  {'É' * (k % 3)} " for k in range(40))) for i in range(30)]
+    rows += [(100, rows[3][1]), (101, None), (102, ""), (103, rows[4][1].split("\n")[7])]
+    places = [(i, p) for i in range(30) for p in (0, 7, 39)]
+    want = {line_dedup.line_key(x): x for i, p in places for x in [line_dedup.normal_line(rows[i][1].split("\n")[p])]}
+    where = [(line_dedup.line_key(line_dedup.normal_line(rows[i][1].split("\n")[p])), line_dedup.text_key(rows[i][1]), p) for i, p in places]
+    moved = []
+
+    def mapped(df, fn, schema, real=line_dedup.map_arrow):
+        out = real(df, fn, schema)
+        moved.append(out)
+        return out
+
+    monkeypatch.setattr(line_dedup, "map_arrow", mapped)
+    got = line_dedup._texts_of(documents(rows), spark.createDataFrame(where, "line long, t long, pos int")).collect()
+    assert len(got) == len(want) and {x["id"]: x["x"] for x in got} == want
+    assert len(places) <= moved[-1].count() <= 110
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_a_full_filter_changes_nothing(spark, documents, monkeypatch, full):
+    rows = [(i, "\n".join(sentence(4000 + 10 * i + k, 6) for k in range(10))) for i in range(10)]
+    where = [(line_dedup.line_key(rows[i][1].split("\n")[3]), line_dedup.text_key(rows[i][1]), 3) for i in range(10)]
+    if full:
+        monkeypatch.setattr(line_dedup, "bit_filter", lambda slots: np.full(line_dedup.SLOTS // 8, 255, np.uint8))
+    got = line_dedup._texts_of(documents(rows), spark.createDataFrame(where, "line long, t long, pos int")).collect()
+    assert sorted(x["x"] for x in got) == sorted(rows[i][1].split("\n")[3] for i in range(10))
+
+
+@pytest.mark.parametrize("part", [7, 1 << 18])
+def test_prefix_pairs_of_arrays(spark, monkeypatch, part):
+    """The pairs that linking's _across gives for the prefix rows, with no row for each pair that an element makes."""
+    monkeypatch.setattr(dealt, "PART", part)
+    monkeypatch.setattr(dealt, "PAIRS", part)
+    r = random.Random(14)
+    core = list(range(1000, 1060))
+    sets = {}
+    for i in range(120):  # a group in which one component is large and others have many rows
+        own = set(core) - set(r.sample(core, r.randint(0, 9))) | set(r.sample(range(2000, 2040), r.randint(0, 6)))
+        sets[-i if i % 2 else i << 40] = (1 if i < 70 else 100 + i % 25, own)
+    for i in range(40):
+        sets[5000 + i] = (200 + i % 7, set(r.sample(range(-20, 20), r.randint(1, 12))))
+    flat = [(i, label, len(x), k) for i, (label, x) in sets.items() for k in x]
+    prefixes = linking._prefixes(spark.createDataFrame(flat, "id long, label long, n long, key long"), 0.7)
+    want = {tuple(x) for x in linking._across(prefixes, 0.7, True).select("a", "b").collect()}
+    alike = {(a, b) for a in sets for b in sets if a > b and sets[a][0] != sets[b][0] and len(sets[a][1] & sets[b][1]) >= 0.7 * len(sets[a][1] | sets[b][1])}
+    assert len(alike) > 500 and alike <= want
+    columns = [np.array(c, np.int64) for c in zip(*prefixes.collect(), strict=True)]
+    found = list(dealt._across(columns, 0.7))
+    assert {tuple(x) for y in found for x in y.tolist()} == want
+    own = sorted(sets)
+    keys = [(k, j) for j, i in enumerate(own) for k in sorted(sets[i][1])]
+    batches = dealt.deal_sets(iter([(np.array(own), np.array([sets[i][0] for i in own]), *(np.array(c) for c in zip(*keys, strict=True)))]), 5)
+    table = spark.createDataFrame([tuple(x.values()) for b in batches for x in b.to_pylist()], dealt.schema(4))
+    out = dealt.prefix_pairs(table, 0.7)
+    assert {tuple(x) for x in out.select("a", "b").collect()} == want
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_short_lines_take_part(documents):
     """Equal lines of any length, and short lines that share all their shingles; other short lines stay."""
     rows = [(1, "Menu\n}\n\n \t\nabcdefg\naaaaaaa"), (2, " menu \n}\nmenus\n\n \nabcdefh"), (3, "x\nABCDEFG\nmen\naaaaaaaaa"), (4, "x\n漢字"), (5, "漢字\nMENU")]
