@@ -227,23 +227,37 @@ PAIRS = 1 << 15
 
 
 def _across(columns: list[np.ndarray], share: float) -> Iterator[np.ndarray]:
-    """The pairs (greater id, lesser id) that linking's _across gives for prefix rows: all rows of a bucket's keys; some come more than once."""
+    """The pairs (greater id, lesser id) that linking's _across gives for prefix rows: all rows of a bucket's keys; some come more than once.
+
+    Rows of a key's largest component don't meet each other. And of two rows the smaller set's stands so early in its
+    order that a set of its own size could be alike: two later rows don't meet either.
+    """
     key, label = columns[0], columns[3]
     order = np.lexsort((label, key))
     key, label = key[order], label[order]
-    # the rows of one key and label; the largest of a key comes last, as its rows don't meet each other
-    run = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (label[1:] != label[:-1])])
+    run = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (label[1:] != label[:-1])])  # the rows of one key and label
     size = np.diff(np.r_[run, len(key)])
     by_size = np.lexsort((size, key[run]))
     last = np.r_[key[run][by_size][1:] != key[run][by_size][:-1], True]
     main = np.zeros(len(run), bool)
     main[by_size[last]] = True
-    main = np.repeat(main, size)
-    again = np.lexsort((main, key))
-    order, key, main = order[again], key[again], main[again]
+    first = np.r_[True, key[run][1:] != key[run][:-1]]
+    several = np.repeat(~(first & np.r_[first[1:], True]), size)  # rows whose key has more than one label
+    main = np.repeat(main, size)[several]
+    order, key = order[several], key[several]
+    if not len(key):
+        return
+    early = columns[2][order] - columns[4][order] + 1 >= 2 * share / (1 + share) * columns[2][order] - 1e-6
+    # of a key: early rows, late ones, the early and the late of the largest component
+    again = np.lexsort((~early, main, key))
+    order, key, main, early = order[again], key[again], main[again], early[again]
     start = _first(key)
-    ends = np.repeat(np.r_[start[1:], len(key)], np.diff(np.r_[start, len(key)]))
-    meets = np.where(main, 0, ends - np.arange(len(key)) - 1)
+    sizes = np.diff(np.r_[start, len(key)])
+    others, met = (np.add.reduceat(x.astype(np.int64), start) for x in (~main, main & early))
+    number = np.arange(len(key))
+    from_ = np.where(early, number + 1, np.repeat(start + others, sizes))
+    upto = np.where(early, np.repeat(start + sizes, sizes), np.repeat(start + others + met, sizes))
+    meets = np.where(main, 0, upto - from_)
     upto = np.cumsum(meets)
     id_, n, label, at, some, *words = (c[order] for c in columns[1:])
     words = [w.view(_U) for w in words]
@@ -251,19 +265,21 @@ def _across(columns: list[np.ndarray], share: float) -> Iterator[np.ndarray]:
         hi = min(lo + PAIRS, int(upto[-1]))
         rows = np.arange(np.searchsorted(upto, lo, "right"), np.searchsorted(upto, hi, "left") + 1)
         before = upto[rows] - meets[rows]
-        from_, to = np.maximum(lo - before, 0), np.minimum(hi - before, meets[rows])
-        x = np.repeat(rows, to - from_)
-        y = x + 1 + np.repeat(from_ - np.cumsum(to - from_) + (to - from_), to - from_) + np.arange(len(x))
+        skip = np.maximum(lo - before, 0)
+        many = np.minimum(hi - before, meets[rows]) - skip
+        x = np.repeat(rows, many)
+        y = np.repeat(from_[rows] + skip - np.cumsum(many) + many, many) + np.arange(len(x))
         nx, ny = n[x], n[y]
         least = share / (1 + share) * (nx + ny) - 1e-6
-        fits = (label[x] != label[y]) & (nx >= share * ny) & (ny >= share * nx) & (np.minimum(nx - at[x], ny - at[y]) + 1 >= least)
+        fits = np.flatnonzero((label[x] != label[y]) & (nx >= share * ny) & (ny >= share * nx) & (np.minimum(nx - at[x], ny - at[y]) + 1 >= least))
         x, y, least = x[fits], y[fits], least[fits]
         left = some[x] + some[y]
         for w in words:
             left = left - np.bitwise_count(w[x] ^ w[y])
-        x, y = x[left >= 2 * least], y[left >= 2 * least]
-        if len(x):
-            yield np.unique(np.stack((np.maximum(id_[x], id_[y]), np.minimum(id_[x], id_[y])), axis=1), axis=0)
+        fits = np.flatnonzero(left >= 2 * least)
+        if len(fits):
+            x, y = id_[x[fits]], id_[y[fits]]
+            yield np.unique(np.stack((np.maximum(x, y), np.minimum(x, y)), axis=1), axis=0)
 
 
 def _paired(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:

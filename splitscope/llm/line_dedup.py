@@ -34,7 +34,12 @@ _TABLE = (np.arange(BANDS, dtype=np.uint64) + _U(1)) * _U(0xE7037ED1A0B428DB)
 
 def normal_line(line: str) -> str:
     """Lower case, runs of white space as one space, trimmed."""
-    return " ".join(line.lower().split())
+    return _trimmed(line.lower())
+
+
+def _trimmed(x: str) -> str:
+    """Runs of white space as one space, trimmed. Of white space the space alone is printable: most lines need no split."""
+    return x if x.isprintable() and "  " not in x and x[:1] != " " and x[-1:] != " " else " ".join(x.split())
 
 
 def line_key(normal: str) -> int:
@@ -182,7 +187,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                 before = len(pos)
                 pos.append(-1), line.append(len(lines))
                 for p, x in enumerate(lines):
-                    x = " ".join(x.split())
+                    x = _trimmed(x)
                     if len(x) < SHORTEST:
                         continue
                     key = seen.get(x)
