@@ -353,6 +353,14 @@ def test_pairs_far_apart_are_not_counted(monkeypatch):
         assert (line_dedup.band_keys([xs[i] for i in some]) == keys[some]).all()
 
 
+def test_lines_are_trimmed_as_by_split():
+    """Lines with any white space, and printable ones that are taken as they are."""
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    lines = ["", " ", "a", "a b c", " a", "a ", "a  b", "a\u200bb", "\xad", "é 漢 x"] + [x for c in spaces for x in (c, f"a{c}b", f"{c}a", f"a{c}", f"a {c}b")]
+    assert [line_dedup._trimmed(x) for x in lines] == [" ".join(x.split()) for x in lines]
+    assert line_dedup._trimmed(lines[3]) is lines[3]
+
+
 def test_texts_of_few_lines_move(spark, documents, monkeypatch):
     """The lines at some places, each once, though texts repeat; of other lines few leave their documents."""
     rows = [(i, "\n".join(f"{sentence(3000 + 40 * i + k, 6)}  {'É' * (k % 3)} " for k in range(40))) for i in range(30)]
